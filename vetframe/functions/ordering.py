@@ -36,11 +36,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
-def _same_group(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+def settle(df: DataFrame) -> DataFrame:
+    """Compute an aggregate once and continue from its checkpoint.
+
+    Several results derive from one count table, each with other columns. Left lazy, each would
+    scan the source again; settled, the source is read once, and a lost executor costs a read of
+    the checkpoint, not a new scan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def running_totals(

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import count_where, quoted, ratio
+from ..functions.ordering import settle
 
 # The limits of the three criteria, and the threshold grid (19 values, 0.05 to 0.95).
 DP_GAP_MAX, EO_GAP_MAX, DI_RATIO_MIN = 0.1, 0.1, 0.8
@@ -58,12 +59,14 @@ def group_counts(
         (quoted(y_true) == quoted(y_pred)).alias("_c"),
         _attribute_rows(attributes),
     )
-    return flagged.groupBy("attribute", "group").agg(
-        F.count("*").alias("n"),
-        count_where(F.col("_t")).alias("positives"),
-        count_where(F.col("_p")).alias("selected"),
-        count_where(F.col("_t") & F.col("_p")).alias("hits"),
-        count_where(F.col("_c")).alias("correct"),
+    return settle(
+        flagged.groupBy("attribute", "group").agg(
+            F.count("*").alias("n"),
+            count_where(F.col("_t")).alias("positives"),
+            count_where(F.col("_p")).alias("selected"),
+            count_where(F.col("_t") & F.col("_p")).alias("hits"),
+            count_where(F.col("_c")).alias("correct"),
+        )
     )
 
 
@@ -97,7 +100,7 @@ def threshold_counts(
     )
     on = F.col("_reached") > F.col("_i")
     n, pos = F.col("n"), F.col("positives")
-    return (
+    return settle(
         histogram.select("*", F.inline(steps))
         .groupBy("threshold", "attribute", "group")
         .agg(
@@ -296,7 +299,7 @@ def intersectional(
     combination = F.concat_ws(
         "|", *[F.coalesce(quoted(a).cast("string"), F.lit("nan")) for a in attributes]
     )
-    rates = (
+    rates = settle(
         preds.groupBy(combination.alias("intersection_group"))
         .agg(
             F.count("*").alias("count"),

@@ -22,7 +22,7 @@ from ..functions.columns import (
     unpivot_text,
     value_counts,
 )
-from ..functions.ordering import BUFFER_LIMIT, exact_quantiles
+from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, settle
 from ..functions.parsing import EMAIL, PHONE, is_iso_date
 
 # Severity thresholds in percent, fence factor, score deductions, name hints.
@@ -407,6 +407,15 @@ def duplicate_rows(
     )
 
 
+def _one_value(c: Column) -> Column:
+    return F.coalesce(F.min(c) == F.max(c), F.lit(False))
+
+
+def _is_constant(c: Column) -> Column:
+    """At most one distinct value, NULL included."""
+    return (F.count(c) == 0) | (_one_value(c) & (F.count(c) == F.count("*")))
+
+
 def constant_columns(df: DataFrame, mode: str = "distinct") -> DataFrame:
     """``(column_name, is_constant)`` by one of three rules.
 
@@ -417,16 +426,13 @@ def constant_columns(df: DataFrame, mode: str = "distinct") -> DataFrame:
     """
     clean = nan_to_null(df)
 
-    def one_value(c):
-        return F.coalesce(F.min(c) == F.max(c), F.lit(False))
-
     def metrics(name, c):
         if mode == "std":
             flag = F.coalesce(F.stddev_samp(c), F.lit(0.0)) == 0
         elif mode == "text":
-            flag = one_value(c) & (F.count("*") > 1)
+            flag = _one_value(c) & (F.count("*") > 1)
         else:
-            flag = (F.count(c) == 0) | (one_value(c) & (F.count(c) == F.count("*")))
+            flag = _is_constant(c)
         return {"is_constant": flag.cast("int")}
 
     columns = {"std": numeric_columns, "text": string_columns}.get(mode, lambda d: d.columns)(df)
@@ -634,12 +640,22 @@ def validation_summary(
 def integrity_findings(df: DataFrame, label: str | None = None) -> DataFrame:
     """Findings on the table as flat rows ``(agent, severity, code, column_name, message)``.
 
-    Missing shares, constants and the label's value range come from one aggregate pass; duplicates
-    need their own shuffle.
+    Missing shares and constants come from one pass; duplicates and label classes need a shuffle
+    each.
     """
     agent = F.lit("data_integrity").alias("agent")
-    missing = missing_values(df)
-    worst = missing.agg(
+    facts = settle(
+        per_column(
+            nan_to_null(df),
+            df.columns,
+            lambda name, c: {
+                "missing_percent": _percent(count_where(c.isNull()), F.count("*")),
+                "is_constant": _is_constant(c).cast("int"),
+            },
+            "column_name string, missing_percent double, is_constant int",
+        )
+    )
+    worst = facts.agg(
         F.max_by("column_name", F.struct("missing_percent", "column_name")).alias("column_name"),
         F.max("missing_percent").alias("share"),
     ).filter(F.col("share") > MISSING_FINDING)
@@ -653,7 +669,7 @@ def integrity_findings(df: DataFrame, label: str | None = None) -> DataFrame:
             F.lit(None).cast("string").alias("column_name"),
             F.format_string("%d rows repeat an earlier row", "duplicate_rows").alias("message"),
         ),
-        constant_columns(df).filter("is_constant = 1").select(
+        facts.filter("is_constant = 1").select(
             agent, F.lit("info").alias("severity"), F.lit("constant").alias("code"),
             "column_name", F.lit("the column holds a single value").alias("message"),
         ),

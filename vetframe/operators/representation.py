@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import count_where, quoted, ratio
-from ..functions.ordering import BUFFER_LIMIT, order_statistics
+from ..functions.ordering import BUFFER_LIMIT, order_statistics, settle
 
 # Limits of the representation status, weights and limits of the diversity scores.
 SEVERELY_UNDER, UNDER, SLIGHTLY_OVER, OVER = 0.7, 0.85, 1.15, 1.3
@@ -42,7 +42,7 @@ def attribute_counts(
             for a in attributes
         ]
     )
-    return (
+    return settle(
         df.select(*by, F.inline(pairs))
         .groupBy(*by, "attribute", "group")
         .agg(F.count("*").alias("n"))
@@ -485,8 +485,8 @@ def age_band(age: Column) -> Column:
 def representation_report(
     df: DataFrame, attributes: Sequence[str], benchmark: DataFrame
 ) -> dict[str, DataFrame]:
-    """All representation tables by name; the counts are computed once and kept while in use."""
-    counts = attribute_counts(df, attributes).persist()
+    """All representation tables by name, derived from one count table."""
+    counts = attribute_counts(df, attributes)
     measures = diversity(counts)
     gaps = representation_gaps(counts, benchmark)
     return {

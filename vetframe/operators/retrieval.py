@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.ordering import settle
 from .stopwords import ENGLISH
 
 # Vocabulary size, results per query, smallest similarity, the answer without any.
@@ -109,11 +110,11 @@ def build_index(
 ) -> Index:
     """Index chunks ``(chunk_id, text, …)``.
 
+    The texts are cut into terms once; vocabulary and weights both derive from the settled counts.
     The vocabulary holds at most ``max_terms`` rows and is broadcast.
     """
-    counts = term_counts(chunks, "chunk_id", "text", stop_words)
-    total = chunks.agg(F.count("*")).scalar()
-    terms = vocabulary(counts, total, max_terms)
+    counts = settle(term_counts(chunks, "chunk_id", "text", stop_words))
+    terms = settle(vocabulary(counts, chunks.count(), max_terms))
     return Index(chunks, weighted(counts, "chunk_id", terms), terms)
 
 

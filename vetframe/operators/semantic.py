@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import parsing as P
 from ..functions.columns import count_where, nan_to_null, per_column, quoted, ratio
-from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, hash_order
+from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, hash_order, settle
 
 # Shares a column must exceed, and the confidence each verdict carries.
 BOOLEAN_SHARE, NUMERIC_SHARE, HALF_SHARE, INTEGER_SHARE = 0.8, 0.8, 0.5, 0.9
@@ -148,8 +148,13 @@ def column_types(
 ) -> DataFrame:
     """``(column_name, detected_type, confidence, null_count, unique_count)`` per column."""
     source = df if sample_size is None else hash_sample(df, key, sample_size)
-    counts = pattern_counts(source, columns)
-    joined = counts.join(distinct_counts(source, columns, approximate), "column_name")
+    return _typed(
+        pattern_counts(source, columns), distinct_counts(source, columns, approximate)
+    )
+
+
+def _typed(counts: DataFrame, distinct: DataFrame) -> DataFrame:
+    joined = counts.join(distinct, "column_name")
     return joined.withColumn("detected_type", detected_type()).select(
         "column_name",
         "detected_type",
@@ -159,8 +164,11 @@ def column_types(
     )
 
 
-def column_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column_name, patterns)``: names of the patterns more than 30 % of the values match."""
+def column_patterns(counts: DataFrame) -> DataFrame:
+    """``(column_name, patterns)``: names of the patterns more than 30 % of the values match.
+
+    ``counts`` is the result of ``pattern_counts``.
+    """
     found = F.array_compact(
         F.array(
             *[
@@ -171,7 +179,7 @@ def column_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             ]
         )
     )
-    return pattern_counts(df, columns).select("column_name", found.alias("patterns"))
+    return counts.select("column_name", found.alias("patterns"))
 
 
 def sample_values(
@@ -240,10 +248,11 @@ def column_info(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
     Range and format are only kept where the detected type calls for them.
     """
+    counts = settle(pattern_counts(df, columns))
     info = (
-        column_types(df, columns)
+        _typed(counts, distinct_counts(df, columns))
         .join(sample_values(df, columns), "column_name", "left")
-        .join(column_patterns(df, columns), "column_name", "left")
+        .join(column_patterns(counts), "column_name", "left")
         .join(range_info(df, columns), "column_name", "left")
         .join(format_info(df, columns), "column_name", "left")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import count_where, quoted, ratio
-from ..functions.ordering import hash_cuts, hash_order
+from ..functions.ordering import hash_cuts, hash_order, settle
 
 # Split sizes, seeds and the sampling score.
 TRAIN_SHARE, SPLIT_SEED, FOLD_SEED, FOLDS = 0.75, 7, 42, 5
@@ -75,10 +75,12 @@ def fold_count(smallest_class: int, folds: int = FOLDS) -> int:
 
 def class_shares(df: DataFrame, label: str, split: str = "split") -> DataFrame:
     """Counts per class in all, train and test rows, and the shift of the test share."""
-    counts = df.groupBy(quoted(label).alias("label")).agg(
-        F.count("*").alias("n_all"),
-        count_where(quoted(split) == "train").alias("n_train"),
-        count_where(quoted(split) == "test").alias("n_test"),
+    counts = settle(
+        df.groupBy(quoted(label).alias("label")).agg(
+            F.count("*").alias("n_all"),
+            count_where(quoted(split) == "train").alias("n_train"),
+            count_where(quoted(split) == "test").alias("n_test"),
+        )
     )
     total, test = counts.agg(F.sum("n_all")).scalar(), counts.agg(F.sum("n_test")).scalar()
     share_all = F.coalesce(ratio(F.col("n_all"), total), F.lit(0.0))

@@ -862,7 +862,8 @@ def numeric_column_types(spark, sf_dir):
     + ") AS patterns FROM types",
 )
 def column_patterns(spark, sf_dir):
-    found = semantic.column_patterns(V.strs(spark, sf_dir), STR_COLUMNS)
+    counts = semantic.pattern_counts(V.strs(spark, sf_dir), STR_COLUMNS)
+    found = semantic.column_patterns(counts)
     return found.select("column_name", F.array_join("patterns", "|").alias("patterns"))
 
 

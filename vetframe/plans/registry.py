@@ -1,9 +1,9 @@
 """All registered queries, and the SQL they are checked against."""
 
-from . import profile_queries
+from . import group_queries, model_queries, profile_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (profile_queries,):
+for module in (group_queries, profile_queries, model_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
