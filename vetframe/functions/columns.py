@@ -52,6 +52,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Double division that yields NULL on a zero denominator instead of raising."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))

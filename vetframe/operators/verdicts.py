@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import count_where, quoted, ratio
+from ..functions.columns import count_where, let, quoted, ratio
 from ..functions.ordering import global_row_number
 from .text import strip
 
@@ -45,6 +45,17 @@ def json_array_text(answer: Column) -> Column:
     return _first_match(answer, FENCE, ARRAY_BLOCK)
 
 
+def batch_array_text(answer: Column) -> Column:
+    """The JSON array of a batch answer: the fenced part, or all of it, if that is an array;
+    else the widest ``[{…}]`` inside."""
+
+    def array_in(t):
+        whole = t.startswith("[") & t.endswith("]")
+        return F.when(whole, t).otherwise(_first_match(t, ARRAY_BLOCK))
+
+    return let(strip(_first_match(strip(answer), FENCE)), array_in)
+
+
 def json_object_text(answer: Column) -> Column:
     """The JSON object in an answer: inside a code fence, else the widest ``{…}``, else all."""
     return _first_match(answer, OBJECT_FENCE, OBJECT_BLOCK)
@@ -54,13 +65,14 @@ def _requote_line(line: Column) -> Column:
     """Escape stray quotes inside the value of a ``"key": "value"`` line."""
     mark = '": "'
     at = F.locate(mark, line)
-    head = F.substring(line, F.lit(1), at + len(mark) - 1)
     rest = F.substring(line, at + len(mark), F.length(line))
     quotes = F.length(line) - F.length(F.translate(line, '"', ""))
-    tail = F.when(rest.endswith('",'), F.lit('",')).otherwise(F.lit('"'))
+    ends = line.endswith('",') | line.endswith('"')
+    broken = (at > 0) & (quotes > 4) & ends
+    tail = F.when(line.endswith('",'), F.lit('",')).otherwise(F.lit('"'))
     value = F.substring(rest, F.lit(1), F.length(rest) - F.length(tail))
+    head = F.substring(line, F.lit(1), at + len(mark) - 1)
     fixed = F.concat(head, F.replace(value, F.lit('"'), F.lit('\\"')), tail)
-    broken = (at > 0) & (quotes > 4) & (rest.endswith('",') | rest.endswith('"'))
     return F.when(broken, fixed).otherwise(line)
 
 
@@ -80,9 +92,14 @@ def repair_json(text: Column) -> Column:
         F.transform(F.split(out, "\n"), strip),
         lambda l: (l != "") & ~l.startswith("//") & ~l.startswith("#"),
     )
-    out = F.array_join(lines, "\n")
-    out = F.when(out.startswith("["), out).otherwise(F.concat(F.lit("["), out))
-    out = F.when(out.endswith("]"), out).otherwise(F.concat(out, F.lit("]")))
+
+    def bracketed(t):
+        return F.concat(
+            F.when(t.startswith("["), "").otherwise("["), t,
+            F.when(t.endswith("]"), "").otherwise("]"),
+        )
+
+    out = let(F.array_join(lines, "\n"), bracketed)
     return F.when(text.isNull() | (text == ""), "[]").otherwise(out)
 
 
@@ -91,12 +108,14 @@ def parse_statements(answer: Column) -> Column:
 
     An answer that is already valid is taken as it is; otherwise it is repaired first.
     """
-    found = json_array_text(answer)
-    plain, mended = found, repair_json(found)
-    return F.coalesce(
-        F.when(F.try_parse_json(plain).isNotNull(), F.from_json(plain, STATEMENT_SCHEMA)),
-        F.when(F.try_parse_json(mended).isNotNull(), F.from_json(mended, STATEMENT_SCHEMA)),
-    )
+
+    def read(t):
+        return F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, STATEMENT_SCHEMA))
+
+    def read_or_mend(t):
+        return F.coalesce(read(t), let(repair_json(t), read))
+
+    return let(json_array_text(answer), read_or_mend)
 
 
 def assign_batches(
@@ -120,7 +139,7 @@ def answer_entries(answers: DataFrame, answer: str = "response") -> DataFrame:
     Of several entries with the same index the last one counts. Entries of one answer are compared
     inside the answer, so the shuffle only carries one entry per index.
     """
-    body = json_array_text(strip(F.col(answer)))
+    body = batch_array_text(F.col(answer))
     parsed = answers.select("batch_id", F.try_parse_json(body).alias("_json"))
     elements = F.try_variant_get("_json", "$", "array<variant>")
 
@@ -146,7 +165,7 @@ def answer_entries(answers: DataFrame, answer: str = "response") -> DataFrame:
 
 def readable_answers(answers: DataFrame, answer: str = "response") -> DataFrame:
     """``(batch_id, readable)``: 1 where the answer holds a JSON array."""
-    body = json_array_text(strip(F.col(answer)))
+    body = batch_array_text(F.col(answer))
     array = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
     return answers.select("batch_id", array.isNotNull().cast("int").alias("readable"))
 
