@@ -52,6 +52,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def row_array(items: Sequence[Column], schema: str) -> Column:
+    """An array of the given structs; typed, so that it may also be empty."""
+    return F.array(*items).cast(f"array<struct<{schema}>>")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

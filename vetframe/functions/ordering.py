@@ -148,12 +148,20 @@ def order_statistics(
             aggregates.append(
                 F.expr(f"percentile_disc({share!r}D) within group (order by _v{i})").alias(f"s{i}")
             )
+        # Ranks still in the same interval share one sketch.
+        sketches: dict[tuple, list[int]] = {}
         for i, p in enumerate(large):
-            low, high = _bracket(p["rank"] - p["below"], p["inside"])
+            sketches.setdefault((p["c"], p["low"], p["high"]), []).append(i)
+        for j, members in enumerate(sketches.values()):
+            shares = [
+                F.lit(s)
+                for i in members
+                for s in _bracket(large[i]["rank"] - large[i]["below"], large[i]["inside"])
+            ]
             aggregates.append(
                 F.percentile_approx(
-                    interior(p), F.array(F.lit(low), F.lit(high)), F.lit(SKETCH_ACCURACY)
-                ).alias(f"a{i}")
+                    interior(large[members[0]]), F.array(*shares), F.lit(SKETCH_ACCURACY)
+                ).alias(f"a{j}")
             )
         staged = df.select("*", *[interior(p).alias(f"_v{i}") for i, p in enumerate(small)])
         row = staged.agg(*aggregates).first()
@@ -162,9 +170,14 @@ def order_statistics(
         pending = []
         if not large:
             break
+        cuts = {
+            i: row[f"a{j}"][2 * at : 2 * at + 2]
+            for j, members in enumerate(sketches.values())
+            for at, i in enumerate(members)
+        }
         aggregates = []
         for i, p in enumerate(large):
-            x, (a, b) = interior(p), row[f"a{i}"]
+            x, (a, b) = interior(p), cuts[i]
             aggregates += [
                 count_where(x < F.lit(a)).alias(f"lt{i}"),
                 count_where(x == F.lit(a)).alias(f"eqa{i}"),
@@ -173,7 +186,7 @@ def order_statistics(
             ]
         sides = df.agg(*aggregates).first()
         for i, p in enumerate(large):
-            a, b = row[f"a{i}"]
+            a, b = cuts[i]
             local = p["rank"] - p["below"]
             lt, eqa, mid, eqb = (sides[f"{k}{i}"] for k in ("lt", "eqa", "mid", "eqb"))
             if local < lt:

@@ -473,11 +473,15 @@ def model_quality(predicted: DataFrame, label: str, task: str, name: str) -> Dat
 
 def falsification(
     df: DataFrame, estimator: Estimator, key: Sequence[str], features: Sequence[str], label: str,
-    task: str = "classification", seed: int = 42,
+    task: str = "classification", seed: int = 42, model: Transformer | None = None,
 ) -> DataFrame:
-    """Agent row: loss of quality when the model is refitted on the corrupted table."""
+    """Agent row: loss of quality when the model is refitted on the corrupted table.
+
+    ``model`` is the estimator already fitted on the clean table, if there is one.
+    """
     dirty = corrupt(df, key, list(features)[:2], seed=seed)
-    base = model_quality(estimator.fit(df).transform(df), label, task, "base_quality")
+    fitted = estimator.fit(df) if model is None else model
+    base = model_quality(fitted.transform(df), label, task, "base_quality")
     after = model_quality(estimator.fit(dirty).transform(dirty), label, task, "q").scalar()
     drop = F.col("corruption_perf_drop")
     return (

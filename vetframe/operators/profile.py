@@ -18,6 +18,7 @@ from ..functions.columns import (
     per_column,
     quoted,
     ratio,
+    row_array,
     string_columns,
     unpivot_text,
     value_counts,
@@ -233,15 +234,16 @@ def outlier_points(
     """``(key…, column_name, value)`` for every value outside its fences."""
     columns = [c for c in numeric_columns(df) if c not in key]
     fences = outlier_fences(df, columns, buffer_limit=buffer_limit)
-    found = F.array(
-        *[
+    found = row_array(
+        [
             F.when(
                 _outside(quoted(c), fences[c][2], fences[c][3]),
                 F.struct(F.lit(c).alias("column_name"), quoted(c).cast("double").alias("value")),
             )
             for c in columns
             if c in fences
-        ]
+        ],
+        "column_name: string, value: double",
     )
     return nan_to_null(df).select(*key, F.inline(F.array_compact(found)))
 
@@ -311,6 +313,8 @@ def histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         ]
     ).first()
     ranges = {c: row[f"r{i}"] for i, c in enumerate(columns) if row[f"r{i}"]["lo"] is not None}
+    if not ranges:
+        return df.sparkSession.createDataFrame([], schema)
 
     def bin_of(c):
         lo, hi = ranges[c]["lo"], ranges[c]["hi"]
@@ -347,37 +351,39 @@ def histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     )
 
 
-def correlations(df: DataFrame, batch: int = 200) -> DataFrame:
-    """``(column_a, column_b, correlation)`` of numeric columns, pairwise complete, one pass."""
-    clean = nan_to_null(df)
+def correlations(df: DataFrame) -> DataFrame:
+    """``(column_a, column_b, correlation)`` of numeric columns, pairwise complete, one pass.
+
+    A row is unpivoted into its value pairs and aggregated per pair number. One pair's aggregate
+    is compiled once; hundreds of them side by side would exceed what Spark compiles at all.
+    """
     columns = numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    schema = "column_a string, column_b string, correlation double"
-    out = None
-    for start in range(0, len(pairs), batch):
-        part = pairs[start : start + batch]
-        wide = clean.agg(
-            *[
-                F.corr(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"c{i}")
-                for i, (a, b) in enumerate(part)
-            ]
+    if not pairs:
+        return df.sparkSession.createDataFrame(
+            [], "column_a string, column_b string, correlation double"
         )
-        rows = wide.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(a).alias("column_a"),
-                            F.lit(b).alias("column_b"),
-                            F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")).alias("correlation"),
-                        )
-                        for i, (a, b) in enumerate(part)
-                    ]
-                )
+    values = F.array(
+        *[
+            F.struct(
+                quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y")
             )
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return df.sparkSession.createDataFrame([], schema) if out is None else out
+            for a, b in pairs
+        ]
+    )
+    names = F.array(
+        *[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs]
+    )
+    found = (
+        nan_to_null(df)
+        .select(F.posexplode(values).alias("_pair", "_v"))
+        .groupBy("_pair")
+        .agg(F.corr("_v.x", "_v.y").alias("_corr"))
+    )
+    return found.select(
+        F.get(names, F.col("_pair")).alias("_n"),
+        F.when(~F.isnan("_corr"), F.col("_corr")).alias("correlation"),
+    ).select("_n.column_a", "_n.column_b", "correlation")
 
 
 # ---------------------------------------------------------------- duplicates and constants
@@ -399,10 +405,10 @@ def duplicate_rows(
     else:
         groups = clean.groupBy(*[quoted(c) for c in columns])
     return (
-        groups.agg(F.count("*").alias("n"))
+        groups.agg(F.count("*").alias("_rows"))
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_rows"),
+            F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("duplicate_rows"),
         )
     )
 
@@ -541,14 +547,15 @@ def format_entries(
 ) -> DataFrame:
     """``(key…, column_name, value)`` of every value that breaks its format."""
     chosen = _format_columns(df, rules, match)
-    found = F.array(
-        *[
+    found = row_array(
+        [
             F.when(
                 quoted(c).isNotNull() & ~_valid(kind, quoted(c)),
                 F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value")),
             )
             for c, kind in chosen.items()
-        ]
+        ],
+        "column_name: string, value: string",
     )
     return nan_to_null(df).select(*key, F.inline(F.array_compact(found)))
 
@@ -594,14 +601,15 @@ def range_entries(
 ) -> DataFrame:
     """``(key…, column_name, value)`` of every value outside its range."""
     chosen = _range_columns(df, rules, match)
-    found = F.array(
-        *[
+    found = row_array(
+        [
             F.when(
                 _outside(quoted(c), low, high),
                 F.struct(F.lit(c).alias("column_name"), quoted(c).cast("double").alias("value")),
             )
             for c, (low, high) in chosen.items()
-        ]
+        ],
+        "column_name: string, value: double",
     )
     return nan_to_null(df).select(*key, F.inline(F.array_compact(found)))
 

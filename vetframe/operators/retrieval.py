@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.columns import let
 from ..functions.ordering import settle
 from .stopwords import ENGLISH
 
@@ -58,7 +59,7 @@ def _with_pairs(words: Column) -> Column:
         F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.concat(words, pairs)
+    return F.concat(F.array(F.lit(None).cast("string")), words, pairs)
 
 
 def term_counts(
@@ -66,6 +67,8 @@ def term_counts(
 ) -> DataFrame:
     """``(key, term, tf)`` with single words and neighbouring pairs.
 
+    Every text also has one row with a NULL term, so that texts without terms are still counted.
+
     The text is shuffled by key before it is exploded into terms, several times its size; counting
     and all later work per key then needs no further shuffle.
     """
@@ -73,17 +76,17 @@ def term_counts(
         key, index_terms(F.col(text), stop_words).alias("_w")
     )
     return (
-        tokens.select(key, F.explode(_with_pairs(F.col("_w"))).alias("term"))
+        tokens.select(key, F.explode(let(F.col("_w"), _with_pairs)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
-def vocabulary(counts: DataFrame, chunks: int | Column, max_terms: int = MAX_TERMS) -> DataFrame:
+def vocabulary(counts: DataFrame, chunks: int, max_terms: int = MAX_TERMS) -> DataFrame:
     """The most frequent terms with chunk frequency and smoothed idf, at most ``max_terms`` rows."""
-    total = F.lit(chunks) if isinstance(chunks, int) else chunks
     return (
-        counts.groupBy("term")
+        counts.filter("term is not null")
+        .groupBy("term")
         .agg(F.sum("tf").alias("corpus_frequency"), F.count("*").alias("chunk_frequency"))
         .orderBy(F.col("corpus_frequency").desc(), "term")
         .limit(max_terms)
@@ -91,7 +94,9 @@ def vocabulary(counts: DataFrame, chunks: int | Column, max_terms: int = MAX_TER
             "term",
             "corpus_frequency",
             "chunk_frequency",
-            (F.ln((1 + total) / (1 + F.col("chunk_frequency")).cast("double")) + 1).alias("idf"),
+            (F.ln((1 + F.lit(chunks)) / (1 + F.col("chunk_frequency")).cast("double")) + 1).alias(
+                "idf"
+            ),
         )
     )
 
@@ -114,7 +119,8 @@ def build_index(
     The vocabulary holds at most ``max_terms`` rows and is broadcast.
     """
     counts = settle(term_counts(chunks, "chunk_id", "text", stop_words))
-    terms = settle(vocabulary(counts, chunks.count(), max_terms))
+    total = counts.filter("term is null").count()
+    terms = settle(vocabulary(counts, total, max_terms))
     return Index(chunks, weighted(counts, "chunk_id", terms), terms)
 
 
@@ -138,9 +144,8 @@ def similarities(
         joined = postings.join(F.broadcast(query), "term")
     else:
         salted = postings.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
-        copies = query.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")
-        )
+        salts = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
+        copies = query.withColumn("_salt", F.explode(salts))
         joined = salted.join(copies, ["term", "_salt"])
     return joined.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(F.col("weight") * F.col("_qw")), 6).alias("similarity")

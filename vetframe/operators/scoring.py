@@ -136,7 +136,9 @@ def validate_model(
             robust = modeling.robustness_regression(
                 model, prepared, key, features, target, trials=trials
             )
-        broken = modeling.falsification(prepared, estimator, key, features, target, task)
+        broken = modeling.falsification(
+            prepared, estimator, key, features, target, task, model=model
+        )
         results = results.unionByName(robust.select("agent", "score"))
         results = results.unionByName(broken.select("agent", "score"))
     importances = modeling.permutation_importance(

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import parsing as P
-from ..functions.columns import count_where, nan_to_null, per_column, quoted, ratio
+from ..functions.columns import count_where, nan_to_null, per_column, quoted, ratio, row_array
 from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, hash_order, settle
 
 # Shares a column must exceed, and the confidence each verdict carries.
@@ -315,15 +315,16 @@ def cell_violations(df: DataFrame, expected: dict[str, str], key: Sequence[str])
     """``(key…, column_name, value, reason)`` of every cell that breaks its declared type."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     checked = [c for c, t in expected.items() if c in fields and t in CHECKED_TYPES]
-    found = F.array(
-        *[
+    found = row_array(
+        [
             F.struct(
                 F.lit(c).alias("column_name"),
                 P.as_text(quoted(c), fields[c]).alias("value"),
                 _cell_reason(P.as_text(quoted(c), fields[c]), expected[c]).alias("reason"),
             )
             for c in checked
-        ]
+        ],
+        "column_name: string, value: string, reason: string",
     )
     return nan_to_null(df).select(*key, F.inline(found)).filter("reason is not null")
 

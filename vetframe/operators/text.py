@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import let
+
 # Chunk sizes, statement limits and the words that make a statement testable.
 CHUNK_WORDS, CHUNK_OVERLAP, CHUNK_MIN_CHARS = 500, 50, 50
 PARAGRAPH_TARGET, PARAGRAPH_MIN, PARAGRAPH_SLACK = 512, 120, 1.2
@@ -44,13 +48,12 @@ SEGMENT_MARK = "\n\n---\n\n"
 
 def strip(c: Column) -> Column:
     """Remove white space, line ends included, from both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\r\f\v"))
 
 
 def words(text: Column) -> Column:
     """The words of a text; none for a blank one."""
-    bare = strip(text)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def word_chunks(
@@ -66,13 +69,16 @@ def word_chunks(
     A text is cut inside its own row, so chunks come without a shuffle.
     """
     stride = size - overlap
-    split = df.select(*key, *keep, words(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
-    starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(stride))
-    pieces = F.transform(
-        starts, lambda i: F.array_join(F.slice("_w", i + 1, F.lit(size)), " ")
-    )
+
+    def pieces(w):
+        starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride))
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+        return F.when(F.size(w) > 0, cut)
+
     return (
-        split.select(*key, *keep, F.posexplode(pieces).alias("pos", "text"))
+        df.select(
+            *key, *keep, F.posexplode(let(words(F.col(text)), pieces)).alias("pos", "text")
+        )
         .filter(F.length("text") > CHUNK_MIN_CHARS)
     )
 
@@ -249,11 +255,13 @@ def statements(
     if per_text is not None:
         sentences = F.slice(sentences, 1, per_text)
     s = F.col("original_statement")
+    lowered = F.lower(s)
+    testable = reduce(lambda a, b: a | b, [lowered.contains(w) for w in TESTABLE_WORDS])
     return df.select(*key, F.posexplode(sentences).alias("_at", "original_statement")).select(
         *key,
         (F.col("_at") + 1).alias("sentence_number"),
         "original_statement",
-        F.lower(s).rlike("|".join(TESTABLE_WORDS)).cast("int").alias("is_testable"),
+        testable.cast("int").alias("is_testable"),
         F.when(
             F.length(s) > ASSERTION_CHARS,
             F.concat(F.substring(s, 1, ASSERTION_CHARS), F.lit("...")),

@@ -343,13 +343,15 @@ def corrupt(spark, sf_dir):
 
 @query("falsification")
 def falsification(spark, sf_dir):
-    lines, estimator, _ = _fitted(spark, sf_dir)
-    return V.rounded(modeling.falsification(lines, estimator, LINE_KEY, FEATURES, "y_true"))
+    lines, estimator, model = _fitted(spark, sf_dir)
+    return V.rounded(
+        modeling.falsification(lines, estimator, LINE_KEY, FEATURES, "y_true", model=model)
+    )
 
 
 @query("validate_model")
 def validate_model(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
+    lines = _lines(spark, sf_dir).drop("l_returnflag")
     results = scoring.validate_model(
         lines, "y_true", LINE_KEY, sensitive=["a1"], folds=2, trials=2, repeats=1, drop_ids=False
     )
