@@ -270,13 +270,13 @@ def hash_cuts(
     ``sizes`` is an array column over ``n``, the rows of the stratum. The histogram of hash
     buckets says which bucket holds a wanted rank, and only that bucket (about a millionth of the
     stratum) is ranked. Rows are then assigned by comparing their hash with the cuts, so the table
-    itself is not sorted or shuffled.
+    itself is not sorted or shuffled. The table is read twice, and the small result is settled.
     """
     strata = list(strata)
     hashed = df.select(*strata, hash_order(keys, seed).alias("_h")).withColumn(
         "_bucket", F.shiftright("_h", BUCKET_SHIFT)
     )
-    histogram = hashed.groupBy(*strata, "_bucket").agg(F.count("*").alias("_c"))
+    histogram = settle(hashed.groupBy(*strata, "_bucket").agg(F.count("*").alias("_c")))
     totals = histogram.groupBy(*strata).agg(F.sum("_c").alias("n"))
     wanted = totals.select(
         *[F.col(s).alias(f"_w_{s}") for s in strata], F.posexplode(sizes).alias("_cut", "_want")
@@ -314,7 +314,7 @@ def hash_cuts(
     hit = (F.col("_t_bucket") == F.col("_r_b")) & (F.col("_need") == F.col("_rank"))
     for s in strata:
         hit = hit & F.col(f"_t_{s}").eqNullSafe(F.col(f"_r_{s}"))
-    return (
+    return settle(
         target.join(ranked, hit)
         .groupBy(*[F.col(f"_t_{s}").alias(s) for s in strata])
         .agg(

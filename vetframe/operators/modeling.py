@@ -434,8 +434,8 @@ def corrupt(
     The rows are those with the smallest key hashes, found by their cut; no sort.
     """
     wanted = F.array(F.greatest(F.lit(1), F.floor(F.col("n") * share)).cast("long"))
-    cut = hash_cuts(df, key, seed, wanted).select(F.get("cuts", F.lit(0))).scalar()
-    chosen = hash_order(key, seed) <= cut
+    cut = hash_cuts(df, key, seed, wanted).first()
+    chosen = hash_order(key, seed) <= F.lit(cut["cuts"][0]) if cut else F.lit(False)
     row = df.agg(
         *[
             F.struct(

@@ -115,7 +115,7 @@ def validate_model(
     k = splits.fold_count(smallest, folds) if strata else folds
     folded = splits.assign_folds(
         prepared, key, k, stratify=strata if strata and smallest >= 2 else None
-    )
+    ).persist()
     out_of_fold = modeling.cross_val_predict(folded, estimator, k).persist()
 
     split = splits.train_test_split(

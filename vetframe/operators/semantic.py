@@ -1,8 +1,7 @@
 """Semantic column types, schema validation and cell-level violations.
 
 The type of a column follows from the shares of its values that look like a boolean, number, date
-and so on. All shares of all columns come from one aggregation without a shuffle; only the number of
-distinct values needs one. Types are judged on every value of the column, or on a repeatable
+and so on. All shares and the number of distinct values come from one scan. Types are judged on every value of the column, or on a repeatable
 sample when ``sample_size`` is given.
 """
 
@@ -63,44 +62,59 @@ def _cells(text: DataFrame) -> DataFrame:
     return text.select(F.inline(pairs))
 
 
-def pattern_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """How many values of each column look like what; one row per column, one pass.
+def _matches(cells: DataFrame) -> DataFrame:
+    """How many of the cells ``(column_name, value, weight)`` look like what, per column.
 
-    The cells are unpivoted first: the matching code is then generated once, not once per column,
-    and the shuffle carries one partial row per task and column.
+    The cells are unpivoted, so the matching code is generated once, not once per column, and the
+    shuffle carries one partial row per task and column.
     """
     c = F.col("value")
     number = P.to_number(c)
-    return (
-        _cells(text_frame(df, columns))
-        .groupBy("column_name")
-        .agg(
-            count_where(c.isNull()).alias("null_count"),
-            F.count(c).alias("n"),
-            *[count_where(c.rlike(p)).alias(f"{k}_matches") for k, p in P.PATTERNS.items()],
-            count_where(P.is_number(c)).alias("numeric_values"),
-            count_where(number == F.floor(number)).alias("integer_values"),
-            count_where(P.is_date(c)).alias("date_values"),
-        )
+
+    def weight_of(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("weight"))), F.lit(0))
+
+    return cells.groupBy("column_name").agg(
+        weight_of(c.isNull()).alias("null_count"),
+        weight_of(c.isNotNull()).alias("n"),
+        *[weight_of(c.rlike(p)).alias(f"{k}_matches") for k, p in P.PATTERNS.items()],
+        weight_of(P.is_number(c)).alias("numeric_values"),
+        weight_of(number == F.floor(number)).alias("integer_values"),
+        weight_of(P.is_date(c)).alias("date_values"),
+        F.count(c).alias("_cells"),
     )
 
 
-def distinct_counts(
+def pattern_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """How many values of each column look like what; one row per column, no value shuffled."""
+    cells = _cells(text_frame(df, columns)).withColumn("weight", F.lit(1).cast("long"))
+    return _matches(cells).drop("_cells")
+
+
+def column_counts(
     df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """``(column_name, unique_count)``, exact by default; the option uses a sketch per column."""
-    text = text_frame(df, columns)
+    """``pattern_counts`` with ``unique_count``.
+
+    An exact distinct count has to shuffle the distinct values anyway, so the patterns are matched
+    after it: once per distinct value, weighted by how often it occurs. The approximate count is a
+    sketch next to the map-side match counts and shuffles nothing but those.
+    """
     if approximate:
-        return per_column(
-            text, text.columns, lambda n, c: {"unique_count": F.approx_count_distinct(c)},
-            "column_name string, unique_count long",
+        sketch = _cells(text_frame(df, columns)).groupBy("column_name").agg(
+            F.approx_count_distinct("value").alias("unique_count")
         )
-    values = _cells(text).groupBy("column_name", "value").agg(F.count("*"))
-    return values.groupBy("column_name").agg(F.count("value").alias("unique_count"))
+        return pattern_counts(df, columns).join(sketch, "column_name")
+    values = (
+        _cells(text_frame(df, columns))
+        .groupBy("column_name", "value")
+        .agg(F.count("*").alias("weight"))
+    )
+    return _matches(values).withColumnRenamed("_cells", "unique_count")
 
 
 def detected_type() -> Column:
-    """The cascade of checks, over ``pattern_counts`` joined with ``unique_count``."""
+    """The cascade of checks, over the columns of ``column_counts``."""
 
     def share(name):
         return ratio(F.col(name), F.col("n"))
@@ -148,14 +162,11 @@ def column_types(
 ) -> DataFrame:
     """``(column_name, detected_type, confidence, null_count, unique_count)`` per column."""
     source = df if sample_size is None else hash_sample(df, key, sample_size)
-    return _typed(
-        pattern_counts(source, columns), distinct_counts(source, columns, approximate)
-    )
+    return _typed(column_counts(source, columns, approximate))
 
 
-def _typed(counts: DataFrame, distinct: DataFrame) -> DataFrame:
-    joined = counts.join(distinct, "column_name")
-    return joined.withColumn("detected_type", detected_type()).select(
+def _typed(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("detected_type", detected_type()).select(
         "column_name",
         "detected_type",
         _confidence(F.col("detected_type")).alias("confidence"),
@@ -248,9 +259,9 @@ def column_info(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
     Range and format are only kept where the detected type calls for them.
     """
-    counts = settle(pattern_counts(df, columns))
+    counts = settle(column_counts(df, columns))
     info = (
-        _typed(counts, distinct_counts(df, columns))
+        _typed(counts)
         .join(sample_values(df, columns), "column_name", "left")
         .join(column_patterns(counts), "column_name", "left")
         .join(range_info(df, columns), "column_name", "left")

@@ -21,7 +21,9 @@ def _with_cuts(
     cuts = hash_cuts(df, key, seed, sizes, strata)
     hashed = df.withColumn("_hash", hash_order(key, seed))
     if not strata:
-        return hashed.withColumn("_cuts", cuts.select("cuts").scalar())
+        row = cuts.first()
+        limits = F.array(*[F.lit(c) for c in row["cuts"]]) if row else F.array()
+        return hashed.withColumn("_cuts", limits.cast("array<bigint>"))
     condition = F.lit(True)
     renamed = cuts.select(
         *[F.col(s).alias(f"_c_{s}") for s in strata], F.col("cuts").alias("_cuts")

@@ -242,7 +242,7 @@ def assign_folds(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    lines = modeling.class_weights(_lines(spark, sf_dir), "y_true")
+    lines = modeling.class_weights(_lines(spark, sf_dir), "y_true").persist()
     rows = lines.count()
     estimator = modeling.baseline_classifier(FEATURES, "y_true", rows, iterations=50)
     return lines, estimator, estimator.fit(lines)
