@@ -21,6 +21,8 @@ BUFFER_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
 #: Hash buckets per stratum: 2**20, from the top bits of a 64-bit hash.
 BUCKET_SHIFT = 44
+#: A lookup table up to this many rows is broadcast; a larger one is joined by shuffle.
+LOOKUP_ROWS = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -47,6 +49,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Settle a small result that a big table is joined with, and broadcast it if it is small.
+
+    Its rows are counted first. Without the hint the planner would judge it by the size of what it
+    was computed from, and shuffle the big table by a key that may be badly skewed.
+    """
+    settled = settle(df)
+    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
+
+
 def running_totals(
     df: DataFrame,
     order_by: Sequence[Column],
@@ -75,10 +87,15 @@ def running_totals(
     # One row per range and group touching it: at most ranges + groups rows.
     before = Window.partitionBy(*(group_by or [F.lit(0)])).orderBy("_range")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col("_range").alias("_o_range"),
-        *[F.col(g).alias(f"_o_{g}") for g in group_by],
-        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o{s}") for s in summands.values()],
+    offsets = lookup(
+        sizes.select(
+            F.col("_range").alias("_o_range"),
+            *[F.col(g).alias(f"_o_{g}") for g in group_by],
+            *[
+                F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o{s}")
+                for s in summands.values()
+            ],
+        )
     )
     within = Window.partitionBy("_range", *group_by).orderBy(*order_by)
     within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -277,24 +294,37 @@ def hash_cuts(
         "_bucket", F.shiftright("_h", BUCKET_SHIFT)
     )
     histogram = settle(hashed.groupBy(*strata, "_bucket").agg(F.count("*").alias("_c")))
-    totals = histogram.groupBy(*strata).agg(F.sum("_c").alias("n"))
-    wanted = totals.select(
-        *[F.col(s).alias(f"_w_{s}") for s in strata], F.posexplode(sizes).alias("_cut", "_want")
-    )
     so_far = Window.partitionBy(*(strata or [F.lit(0)])).orderBy("_bucket")
     cumulative = histogram.withColumn(
         "_upto", F.sum("_c").over(so_far.rowsBetween(Window.unboundedPreceding, 0))
     )
-    matches = (F.col("_want") <= F.col("_upto")) & (F.col("_want") > F.col("_upto") - F.col("_c"))
-    for s in strata:
-        matches = matches & cumulative[s].eqNullSafe(F.col(f"_w_{s}"))
-    target = cumulative.join(wanted, matches).select(
-        *[F.col(s).alias(f"_t_{s}") for s in strata],
-        F.col("_bucket").alias("_t_bucket"),
-        "_cut",
-        (F.col("_want") - (F.col("_upto") - F.col("_c"))).alias("_need"),
+    totals = histogram.groupBy(*strata).agg(F.sum("_c").alias("n"))
+    if strata:
+        totals = lookup(totals.select(*[F.col(s).alias(f"_w_{s}") for s in strata], "n"))
+        same = F.lit(True)
+        for s in strata:
+            same = same & F.col(s).eqNullSafe(F.col(f"_w_{s}"))
+        sized = cumulative.join(totals, same)
+    else:
+        sized = cumulative.withColumn("n", totals.scalar())
+    # The wanted ranks that fall into a bucket are picked out inside the bucket's own row.
+    before = F.col("_upto") - F.col("_c")
+    inside = F.filter(
+        F.transform(sizes, lambda w, i: F.struct(i.alias("_cut"), w.alias("_want"))),
+        lambda s: (s["_want"] > before) & (s["_want"] <= F.col("_upto")),
+    )
+    target = settle(
+        sized.select(
+            *[F.col(s).alias(f"_t_{s}") for s in strata],
+            F.col("_bucket").alias("_t_bucket"),
+            before.alias("_before"),
+            F.inline(inside),
+        ).select(
+            *[f"_t_{s}" for s in strata], "_t_bucket", "_cut",
+            (F.col("_want") - F.col("_before")).alias("_need"),
+        )
     )
-    needles = target.select(*[f"_t_{s}" for s in strata], "_t_bucket").distinct()
+    needles = lookup(target.select(*[f"_t_{s}" for s in strata], "_t_bucket").distinct())
     same = F.col("_bucket") == F.col("_t_bucket")
     for s in strata:
         same = same & F.col(s).eqNullSafe(F.col(f"_t_{s}"))

@@ -150,7 +150,7 @@ def _against_group(
     rates = counts.filter(F.col("group").isNotNull()).withColumn(name, rate)
     references = reference_groups(counts, privileged, by)
     extremes = (
-        rates.join(references, keys)
+        rates.join(F.broadcast(references), keys)
         .groupBy(*keys)
         .agg(
             F.max(name).alias("_max"),
@@ -158,7 +158,8 @@ def _against_group(
             F.max(F.when(F.col("group") == F.col("reference_group"), F.col(name))).alias("_ref"),
         )
     )
-    return rates.join(extremes, keys).select(
+    # One row per attribute (and threshold): bounded by the columns named and the grid.
+    return rates.join(F.broadcast(extremes), keys).select(
         *keys,
         "group",
         name,
@@ -200,12 +201,12 @@ def disparate_impact(
     rates = counts.filter(F.col("group").isNotNull()).withColumn(
         "rate", ratio(F.col("selected"), F.col("n"))
     )
-    joined = rates.join(reference_groups(counts, privileged, by), keys)
+    joined = rates.join(F.broadcast(reference_groups(counts, privileged, by)), keys)
     is_reference = F.col("group") == F.col("reference_group")
-    anchored = joined.join(
-        joined.groupBy(*keys).agg(F.max(F.when(is_reference, F.col("rate"))).alias("ref_rate")),
-        keys,
-    ).withColumn("ratio", ratio(F.col("rate"), F.col("ref_rate")))
+    reference = joined.groupBy(*keys).agg(
+        F.max(F.when(is_reference, F.col("rate"))).alias("ref_rate")
+    )
+    anchored = joined.join(F.broadcast(reference), keys).withColumn("ratio", ratio(F.col("rate"), F.col("ref_rate")))
     rank = F.struct(F.coalesce("ratio", F.lit(float("inf"))), F.col("group"))
     worst = F.min_by(F.struct("group", "rate", "ratio"), F.when(~is_reference, rank))
     return (

@@ -27,7 +27,7 @@ from ..functions.columns import (
     ratio,
     string_columns,
 )
-from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, hash_cuts, hash_order, settle
+from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, hash_cuts, hash_order, lookup, settle
 from .repair import most_common_values
 
 # Model settings, perturbation sizes, limits and factors of the agent scores.
@@ -66,8 +66,8 @@ def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFram
     """Add the balanced class weight rows / (classes · rows of the class)."""
     counts = settle(df.groupBy(quoted(label).alias("_class")).agg(F.count("*").alias("_size")))
     total, classes = counts.agg(F.sum("_size")).scalar(), counts.agg(F.count("_class")).scalar()
-    weights = counts.select(
-        "_class", ratio(total, classes * F.col("_size")).alias(weight)
+    weights = lookup(
+        counts.select("_class", ratio(total, classes * F.col("_size")).alias(weight))
     )
     return df.join(weights, df[label] == F.col("_class")).select(*[df[c] for c in df.columns], weight)
 

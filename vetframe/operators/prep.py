@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import count_where, name_has, nan_to_null, quoted
-from ..functions.ordering import running_totals
+from ..functions.ordering import lookup, running_totals
 
 #: Name parts that mark an identifier column.
 ID_TOKENS = ("id", "uuid", "guid", "hash")
-#: Label encodings up to this many classes are joined by broadcast.
-BROADCAST_CLASSES = 100_000
 
 
 def drop_id_like(
@@ -88,9 +86,7 @@ def label_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Add the rank of the label among the sorted distinct labels, -1 where it is missing."""
     distinct = df.select(quoted(label).alias("_label")).filter(F.col("_label").isNotNull())
     ranked = running_totals(distinct.distinct(), [F.col("_label")], {"_rank": F.lit(1)})
-    # A label column normally has few classes; the hint is only given when that is checked.
-    if ranked.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
-        ranked = F.broadcast(ranked)
+    ranked = lookup(ranked)
     return df.join(ranked, df[label] == F.col("_label"), "left").select(
         *[df[c] for c in df.columns],
         F.coalesce(F.col("_rank") - 1, F.lit(-1)).cast("int").alias(code),

@@ -54,6 +54,9 @@ def group_shares(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keys = [*by, "attribute"]
     known = counts.filter(F.col("group").isNotNull())
     totals = known.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    if not by:
+        # One row per attribute column, so an attribute with very many groups is not shuffled.
+        totals = F.broadcast(totals)
     return known.join(totals, keys).select(
         *keys, "group", "n", ratio(F.col("n"), F.col("_total")).alias("share")
     )

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import let
-from ..functions.ordering import settle
+from ..functions.ordering import lookup, settle
 from .stopwords import ENGLISH
 
 # Vocabulary size, results per query, smallest similarity, the answer without any.
@@ -176,9 +176,9 @@ def retrieve_with_sources(
     queries: DataFrame, index: Index, top_k: int = TOP_K, **options
 ) -> DataFrame:
     """Retrieved chunks with text, title and address; one fallback row for a query without any."""
-    found = retrieve(queries, index, top_k, **options)
+    found = lookup(retrieve(queries, index, top_k, **options))
     sources = index.chunks.select("chunk_id", "text", "source_title", "source_url")
-    located = found.join(sources, "chunk_id")
+    located = sources.join(found, "chunk_id")
     return (
         queries.select("query_id")
         .join(located, "query_id", "left")

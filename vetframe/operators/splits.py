@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import count_where, quoted, ratio
-from ..functions.ordering import hash_cuts, hash_order, settle
+from ..functions.ordering import hash_cuts, hash_order, lookup, settle
 
 # Split sizes, seeds and the sampling score.
 TRAIN_SHARE, SPLIT_SEED, FOLD_SEED, FOLDS = 0.75, 7, 42, 5
@@ -25,8 +25,8 @@ def _with_cuts(
         limits = F.array(*[F.lit(c) for c in row["cuts"]]) if row else F.array()
         return hashed.withColumn("_cuts", limits.cast("array<bigint>"))
     condition = F.lit(True)
-    renamed = cuts.select(
-        *[F.col(s).alias(f"_c_{s}") for s in strata], F.col("cuts").alias("_cuts")
+    renamed = lookup(
+        cuts.select(*[F.col(s).alias(f"_c_{s}") for s in strata], F.col("cuts").alias("_cuts"))
     )
     for s in strata:
         condition = condition & hashed[s].eqNullSafe(renamed[f"_c_{s}"])

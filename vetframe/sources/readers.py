@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import count_where, nan_to_null, numeric_columns, quoted, ratio, string_columns
-from ..functions.ordering import running_totals
+from ..functions.ordering import lookup, running_totals, settle
 from ..operators.profile import FENCE_FACTOR, adjusted_skewness
 from ..operators.text import title_from_file
 
@@ -110,16 +110,15 @@ def _outliers_by(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
         ]
     )
     keys = ["by", "column_name"]
-    counts = (
+    counts = settle(
         df.select(quoted(by).alias("by"), F.inline(pairs))
         .groupBy(*keys, "x")
         .agg(F.count("*").alias("n"))
     )
     rows = counts.groupBy(*keys).agg(F.sum("n").alias("_rows"))
-    known = running_totals(
-        counts.filter("x is not null"), [F.col("x")], {"upto": F.col("n")}, keys
-    )
-    totals = known.groupBy(*keys).agg(F.sum("n").alias("total"))
+    present = counts.filter("x is not null")
+    known = settle(running_totals(present, [F.col("x")], {"upto": F.col("n")}, keys))
+    totals = lookup(present.groupBy(*keys).agg(F.sum("n").alias("total")))
 
     def quartile(share):
         position = F.lit(share) * (F.col("total") - 1)
@@ -129,7 +128,7 @@ def _outliers_by(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
         part = F.max(position - low)
         return at[0] + part * (at[1] - at[0])
 
-    fences = (
+    fences = lookup(
         known.join(totals, keys)
         .groupBy(*keys)
         .agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
