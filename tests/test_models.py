@@ -137,6 +137,18 @@ def test_mixed_features_take_every_kind_of_column(table):
     assert prepared.filter("when_date_day is null").count() == 0 and len(stages) == 5
 
 
+def test_many_categories_are_hashed(table):
+    df = table.select("x1", "g", F.col("id").cast("string").alias("name"), "y")
+    fitted = modeling.fairness_baseline(df, "y", 600, max_categories=50).fit(df)
+    assert modeling.predict(fitted, df).filter("score is null").count() == 0
+    assert fitted.stages[-1].numFeatures > 2**18
+
+
+def test_background_size_is_checked(table, model):
+    with pytest.raises(ValueError):
+        attribution.shapley_values(table, ["id"], FEATURES, table, modeling.margin_scorer(model))
+
+
 def test_full_validation_has_nine_scores(table):
     results = scoring.validate_model(table, "y", ["id"], ["g"], folds=2, trials=2, repeats=1)
     scores = {r.agent: r.score for r in results.collect()}

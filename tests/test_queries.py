@@ -14,11 +14,10 @@ TABLES = (
 ).split()
 #: Queries that train a model or draw at random, and greedy packing: checked elsewhere.
 WITHOUT_SQL = {
-    "paragraph_chunks", "train_test_split", "random_split", "assign_folds", "baseline_classifier",
-    "baseline_regressor", "fairness_baseline", "mixed_features", "cross_val_predict", "robustness",
-    "robustness_regression", "robustness_curve", "permutation_importance", "corrupt",
-    "falsification", "validate_model", "background_sample", "shapley_values",
-    "shapley_interactions",
+    "paragraph_chunks", "baseline_classifier", "baseline_regressor", "fairness_baseline",
+    "mixed_features", "cross_val_predict", "robustness", "robustness_regression",
+    "robustness_curve", "permutation_importance", "falsification", "validate_model",
+    "background_sample", "shapley_values", "shapley_interactions",
 }
 SAMPLE = (
     "missing_values", "iqr_outliers", "distributions", "correlations", "column_types",

@@ -155,12 +155,13 @@ def _hybrids(
 ) -> DataFrame:
     """One row per (row, permutation): its values, a background row and a feature order.
 
-    The background is at most ``BACKGROUND_ROWS`` rows by construction, and travels as one array
-    literal; no join is needed.
+    The background may hold at most ``BACKGROUND_ROWS`` rows and travels as one array literal; no
+    join is needed.
     """
-    rows = background.select(
-        F.array(*[quoted(f).cast("double") for f in features]).alias("b")
-    ).collect()
+    values = F.array(*[quoted(f).cast("double") for f in features]).alias("b")
+    rows = background.select(values).limit(BACKGROUND_ROWS + 1).collect()
+    if not 0 < len(rows) <= BACKGROUND_ROWS:
+        raise ValueError(f"the background must hold 1 to {BACKGROUND_ROWS} rows")
     table = F.array(*[F.array(*[F.lit(float(v)) for v in r["b"]]) for r in rows])
     order = F.transform(
         F.array_sort(

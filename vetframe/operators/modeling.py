@@ -40,6 +40,8 @@ REPEATS, TOP_FEATURES = 5, 15
 CORRUPT_SHARE, CORRUPT_SIZE, CORRUPT_LIMIT, CORRUPT_CAP = 0.05, 10.0, 0.05, 0.5
 #: Rows shuffled together by the permutation test; a table larger than this is cut into blocks.
 PERMUTATION_BLOCK = 200_000
+#: Categories of a column that one-hot encoding may keep on the driver.
+MAX_CATEGORIES = 10_000
 
 PREDICTION_COLUMNS = ("features", "rawPrediction", "probability", "prediction")
 
@@ -114,11 +116,38 @@ def one_hot_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
     return stages, outputs
 
 
-def fairness_baseline(df: DataFrame, label: str, rows: int) -> Pipeline:
-    """One-hot text columns, numbers as they are, logistic regression."""
-    text = [c for c in string_columns(df) if c != label]
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Number of distinct non-null values per column, one job for all of them."""
+    if not columns:
+        return {}
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value"))
+            for c in columns
+        ]
+    )
+    counts = (
+        df.select(F.inline(pairs)).distinct().groupBy("column_name").agg(F.count("value").alias("k"))
+    )
+    found = {r["column_name"]: r["k"] for r in counts.collect()}
+    return {c: found.get(c, 0) for c in columns}
+
+
+def fairness_baseline(
+    df: DataFrame, label: str, rows: int, max_categories: int = MAX_CATEGORIES
+) -> Pipeline:
+    """One-hot text columns, numbers as they are, logistic regression.
+
+    One-hot encoding keeps its categories on the driver, so a column with more than
+    ``max_categories`` of them is hashed into a wide sparse vector instead.
+    """
     numbers = [c for c in numeric_columns(df) if c != label]
-    stages, encoded = one_hot_stages(text)
+    counts = distinct_values(df, [c for c in string_columns(df) if c != label])
+    stages, encoded = one_hot_stages([c for c, k in counts.items() if k <= max_categories])
+    many = [c for c, k in counts.items() if k > max_categories]
+    if many:
+        stages.append(FeatureHasher(inputCols=many, outputCol="_hashed"))
+        encoded.append("_hashed")
     model = LogisticRegression(
         featuresCol="features", labelCol=label, maxIter=PLAIN_ITERATIONS,
         regParam=1.0 / max(rows, 1), standardization=False,
@@ -169,20 +198,8 @@ def mixed_features(
     others = [c for c in df.columns if c not in skip and c not in numbers]
     dates = _date_like(clean, others)
     text = [c for c in others if c not in dates]
-    counts = {}
-    if text:
-        pairs = F.array(
-            *[
-                F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value"))
-                for c in text
-            ]
-        )
-        rows = (
-            clean.select(F.inline(pairs)).distinct()
-            .groupBy("column_name").agg(F.count("value").alias("n")).collect()
-        )
-        counts = {r["column_name"]: r["n"] for r in rows}
-    few = [c for c in text if counts.get(c, 0) <= LOW_CARDINALITY]
+    counts = distinct_values(clean, text)
+    few = [c for c in text if counts[c] <= LOW_CARDINALITY]
     many = [c for c in text if c not in few]
 
     parts = {name: part for c in dates for name, part in _date_parts(c).items()}

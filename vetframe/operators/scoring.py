@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import numeric_columns
+from ..functions.ordering import settle
 from . import evaluation, fairness, modeling, prep, profile, splits
 
 # The weight of each agent and the limits of the overall status.
@@ -69,8 +70,9 @@ def validate_model(
 ) -> DataFrame:
     """All nine agents on a table and a baseline model: rows ``(agent, score)``.
 
-    The prepared features and the out-of-fold predictions are persisted while they are shared, and
-    the model is fitted once per fold, once in full and once on corrupted data.
+    The prepared features and the out-of-fold predictions are persisted while the scores are
+    computed and released then. The model is fitted once per fold, once in full and once on
+    corrupted data.
     """
     clean = prep.drop_empty(df, label)
     if drop_ids:
@@ -158,7 +160,10 @@ def validate_model(
         calibration = df.sparkSession.createDataFrame(
             [("calibration", SKIPPED_SCORE)], "agent string, score double"
         )
-    return results.unionByName(calibration)
+    scores = settle(results.unionByName(calibration))
+    for shared in (out_of_fold, folded, prepared):
+        shared.unpersist()
+    return scores
 
 
 def _performance(predicted: DataFrame, target: str, kind: str) -> DataFrame:
