@@ -19,6 +19,7 @@ counts as an id; repeated rows are packed once for each row. Extra columns are l
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import batch_of, stored, utf8
+from .base import batch_of, chunks, stored, utf8
+from .wordhash import word_hashes
 
 #: Tokens of a sequence.
 CAPACITY = 4096
@@ -36,44 +38,175 @@ END_TOKEN = 1
 SHARD_ROWS = 40_000
 #: A sequence filled less than this is taken apart for the next round.
 KEEP = 0.998
-#: Words whose tokens a worker remembers.
-CACHE_WORDS = 400_000
+#: Pieces whose tokens a worker remembers (about 120 MB).
+CACHE_PIECES = 500_000
+#: Characters of text that are split at a time.
+TEXT_BYTES = 4 << 20
 
 _tokenizers: dict = {}
 
 
 class WordTokenizer:
-    """Token ids of texts, by words.
-
-    The vocabulary splits texts at white space before anything else, so a text's ids are those of
-    its words one after another. Words repeat, and their ids are remembered (a bounded number).
+    """Token ids of texts, by the pieces that the tokenizer splits them into.
+
+    The vocabulary's tokenizer lowers the case, splits at white space, and splits words into runs
+    of letters and runs of marks, before it merges the bytes of each piece. Pieces repeat, so the
+    distinct ones of a whole run of texts are found first (by hashes), and the ids of a bounded
+    number of pieces are remembered. The bytes of letters and marks are merged by rank, which the
+    byte-pair merges of this kind of vocabulary come down to. Whatever is not plainly Latin letters
+    and ASCII marks (digits, apostrophes, other scripts, special tokens) goes to the tokenizer
+    itself, word by word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids as unsigned little-endian 32-bit numbers."""
+        self._merge = _merger(path)
+        self._pieces: dict[bytes, bytes] = {}
+        self._words: dict[bytes, bytes] = {}
+
+    def many(self, texts: list) -> Iterator[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit numbers."""
+        for lo, hi in chunks(texts, TEXT_BYTES):
+            part = [t or "" for t in texts[lo:hi]]
+            if self._merge is None:
+                yield from map(self._slow, part)
+                continue
+            lower = [_lower(t) for t in part]
+            fast = self._fast([b for b in lower if b is not None])
+            for t, b in zip(part, lower):
+                yield self._slow(t) if b is None else next(fast)
+
+    def _slow(self, text: str) -> np.ndarray:
         words = utf8(text).split()
-        known = self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
+        known = self._words
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = self._encoded(w)
+        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+
+    def _encoded(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        return _numbers(self._model.encode(text, add_special_tokens=False).ids)
+
+    def _fast(self, parts: list[bytes]) -> Iterator[np.ndarray]:
+        whole = b"\n".join(parts)
+        data = np.frombuffer(whole, dtype=np.uint8)
+        starts, ends, odd = _split(data)
+        borders = np.cumsum([0] + [len(p) + 1 for p in parts])
+        _, at, which = np.unique(
+            word_hashes(data, starts, ends), return_index=True, return_inverse=True
+        )
+        known, merge = self._pieces, self._merge
+        if len(known) > CACHE_PIECES:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            encoded = self._model.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in part], add_special_tokens=False
+        pieces = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        ids = [known.get(p) for p in pieces]
+        for i in [i for i, found in enumerate(ids) if found is None]:
+            piece = pieces[i]
+            ids[i] = known[piece] = (
+                self._encoded(piece) if odd[at[i]] else _numbers(merge(piece + _WORD_END))
             )
-            for w, e in zip(part, encoded):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        begins = np.cumsum(lengths) - lengths
+        n = lengths[which]
+        upto = np.append(0, np.cumsum(n))
+        # Token t of piece p stands at begins[p] + (t - first token of p).
+        out = flat[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])]
+        tokens = upto[np.searchsorted(starts, borders)]
+        for a, b in zip(tokens[:-1].tolist(), tokens[1:].tolist()):
+            yield out[a:b]
+
+
+def _numbers(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: Stands for the end of a word; no UTF-8 text has this byte.
+_WORD_END = b"\xff"
+#: Bytes: white space 0, letters 1, marks 2, all others 3.
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[97:123] = 1
+_KIND[0x80:0xC9] = 1
+for _c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~":
+    _KIND[_c] = 2
+
+
+def _lower(text: str) -> bytes | None:
+    """Lower-case UTF-8 of a text below U+0240 without special tokens, and without a letter whose
+    lower case depends on more than itself; else nothing."""
+    if "<|" in text or "\u0130" in text or "\u03a3" in text:
+        return None
+    lower = utf8(text.lower())
+    if text.isascii() or np.frombuffer(lower, dtype=np.uint8).max() < 0xC9:
+        return lower
+    return None
+
+
+def _split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces in lower-case UTF-8 below U+0240, and whether a piece is a
+    whole word that is not made of letters and marks only."""
+    kind = np.zeros(len(data) + 2, dtype=np.uint8)
+    kind[1:-1] = _KIND[data]
+    # U+0080 to U+00BF and the signs of multiplication and division are no letters (or few are).
+    for i in np.flatnonzero(data == 0xC2).tolist():
+        kind[i + 1 : i + 3] = 3
+    for i in np.flatnonzero(data[:-1] == 0xC3).tolist() if (data == 0xC3).any() else ():
+        if data[i + 1] in (0x97, 0xB7):
+            kind[i + 1 : i + 3] = 3
+    others = np.flatnonzero(kind == 3)
+    if len(others):
+        space = kind == 0
+        word_starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        word_ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        for w in np.unique(np.searchsorted(word_starts, others, side="right") - 1).tolist():
+            kind[word_starts[w] : word_ends[w]] = 3
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    kinds = kind[change[:-1]]
+    pieces = kinds != 0
+    return change[:-1][pieces] - 1, change[1:][pieces] - 1, kinds[pieces] == 3
+
+
+def _merger(path: str):
+    """Byte-pair merging by rank for a vocabulary file, if its kind allows that."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
+        return None
+    vocabulary = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    first = len(vocabulary) - len(pairs)
+    if any(vocabulary.get(a + b) != first + i for i, (a, b) in enumerate(pairs)):
+        return None  # ids aren't in the order of the merges
+    alphabet = {c: b for b, c in enumerate(_byte_letters())}
+    ranks = {}
+    for token, rank in vocabulary.items():
+        end = token.endswith("</w>")
+        plain = bytes(alphabet[c] for c in (token[:-4] if end else token))
+        ranks[plain + _WORD_END if end else plain] = rank
+    if any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    merging = tiktoken.Encoding(
+        "words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
+    )
+    return merging._core_bpe.encode_single_piece
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies use for each byte: printable Latin-1
+    bytes stand for themselves, the others are numbered from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -105,20 +238,20 @@ def tokenize(
         ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ]
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
-    closing = np.array([end_token], dtype="<u4").tobytes()
+    closing = np.array([end_token], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).ids
-        step = 4 * capacity
+        encode = tokenizer(vocabulary).many
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in schema}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + closing
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
+            texts = batch.column(1).to_pylist()
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+                ids = np.concatenate([ids, closing])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity].tobytes()
                     rows["doc_id"].append(doc)
                     rows["piece"].append(k)
-                    rows["start"].append(at // 4)
+                    rows["start"].append(at)
                     rows["length"].append(len(part) // 4)
                     rows["ids_crc32"].append(zlib.crc32(part))
                     if with_ids:

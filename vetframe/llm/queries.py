@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import lines, packing
+from . import decontamination, lines, packing, simhash, substrings, toxicity
 from .base import find_package
 
 QUERIES: dict = {}
@@ -63,6 +63,55 @@ def line_dedup(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- 2: toxicity
+
+
+def _fold_of():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
+
+
+@query("op2_toxicity")
+def toxicity_scores(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(_fold_of() != 1))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", (_fold_of() == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_matches",
+    )
+
+
+# ---------------------------------------------------------------- 5: passages
+
+
+@query("op5_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    return substrings.deduplicate(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+        F.size("factors").cast("long").alias("n_factors"),
+    )
+
+
+# ---------------------------------------------------------------- 6: SimHash
+
+
+@query("op6_simhash_near_dedup")
+def simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+# ---------------------------------------------------------------- 8: benchmark passages
+
+
+@query("op8_decontamination")
+def benchmark_passages(spark, sf_dir):
+    return decontamination.matches(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 # ---------------------------------------------------------------- 10: packing
 
 
