@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import decontamination, lines, packing, simhash, substrings, toxicity
+from . import (
+    decontamination, fingerprint, licenses, lines, packing, pii, simhash, substrings, toxicity,
+    urls,
+)
 from .base import find_package
 
 QUERIES: dict = {}
@@ -80,6 +83,27 @@ def toxicity_scores(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- 3: urls
+
+URL_RULES = (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"),
+)
+
+
+@query("op3_url_filter")
+def url_filter(spark, sf_dir):
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+# ---------------------------------------------------------------- 4: license notices
+
+
+@query("op4_license_scan")
+def license_scan(spark, sf_dir):
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- 5: passages
 
 
@@ -102,6 +126,24 @@ def simhash_near_dedup(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- 7: personal data
+
+
+@query("op7_personal_data")
+def personal_data(spark, sf_dir):
+    found = pii.detect(_table(spark, sf_dir, "documents"))
+
+    def number(kind):
+        at = pii.KINDS.index(kind)
+        return F.size(F.filter("base", lambda s: s["kind"] == at)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(k) for k in pii.KINDS],
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 # ---------------------------------------------------------------- 8: benchmark passages
 
 
@@ -112,6 +154,21 @@ def benchmark_passages(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- 9: fingerprints
+
+
+@query("op9_fingerprints")
+def fingerprints(spark, sf_dir):
+    found = fingerprint.compare(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprint.as_text(F.col("fp")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 # ---------------------------------------------------------------- 10: packing
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .base import batch_of, stored, utf8
+from .base import batch_of, null_safe, stored, utf8
 from .bktree import BKTree, Sets
 from .components import connected_components
 
@@ -69,17 +69,23 @@ def fingerprints(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of each row as a signed 64-bit number."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """``(doc_id, text_hash, fp)``: the fingerprint of each row as a signed 64-bit number, and a
+    hash of the text that tells rows with the same id apart."""
+    slim = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
+    )
     ids = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [simhash(t.as_py(), shingle_words) for t in batch.column(1)]
             fp = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), fp], names=["doc_id", "text_hash", "fp"]
+            )
 
-    return slim.mapInArrow(run, f"doc_id {ids}, fp long")
+    return slim.mapInArrow(run, f"doc_id {ids}, text_hash long, fp long")
 
 
 def block_masks(radius: int, agreeing: int = AGREEING) -> list[int]:
@@ -158,8 +164,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``prints`` (doc_id, fp) with ``component_id``: the smallest doc_id that links lead to."""
-    prints = stored(prints.select("doc_id", "fp"), "prints")
+    """``prints`` (doc_id, text_hash, fp) with ``group``, the smallest fingerprint of the group,
+    and ``component_id``, the smallest doc_id that links lead to."""
+    prints = stored(prints.select("doc_id", "text_hash", "fp"), "prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     members = connected_components(links(nodes.select("fp"), radius))
     # Only nodes with links are in `members`; the others are groups of their own.
@@ -168,11 +175,15 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         .groupBy("component")
         .agg(F.min("first").alias("_least"))
     )
-    least = members.join(of_group, "component").select(F.col("node").alias("fp"), "_least")
+    least = members.join(of_group, "component").select(
+        F.col("node").alias("fp"), "component", "_least"
+    )
     smallest = nodes.join(least, "fp", "left").select(
-        "fp", F.coalesce("_least", "first").alias("component_id")
+        "fp", F.coalesce("component", "fp").alias("group"),
+        F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("_least"))
+        .alias("component_id"),
     )
-    return prints.join(smallest, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(smallest, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
 def near_duplicates(
@@ -182,5 +193,23 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of the table."""
+    """``(doc_id, text_hash, fp, group, component_id)`` for every row of the table."""
     return groups(fingerprints(docs, shingle_words, id_col, text_col), radius)
+
+
+def deduplicate(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS
+) -> DataFrame:
+    """The table with one row of each group: the one with the smallest id (of several rows with
+    that id, the smallest text hash). All columns stay."""
+    chosen = (
+        near_duplicates(docs, shingle_words, radius)
+        .groupBy("group")
+        .agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("_row"))
+        .select(F.col("_row.doc_id").alias("_id"), F.col("_row.text_hash").alias("_hash"))
+    )
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = hashed.join(
+        chosen, null_safe(hashed, chosen, {"doc_id": "_id", "_text_hash": "_hash"}), "left_semi"
+    )
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
