@@ -82,13 +82,16 @@ def test_noise_and_importance(table, model):
     assert flips[0.0] == 0.0 and flips[1.0] > 0.1
     again = modeling.noise_flips(model, table.repartition(9), ["id"], FEATURES, (0.0, 1.0))
     assert {r.sigma: r.flip_rate for r in again.collect()} == flips
-    for rows in (40, 10_000):
+    runs = []
+    for rows in (40, 10_000):  # ranges are a plan, not part of the result
         found = modeling.permutation_importance(
-            model, table, ["id"], FEATURES, "y", repeats=2, block_rows=rows
+            model, table, ["id"], {"x1": ["x1"], "x2": ["x2"], "both": FEATURES}, "y", repeats=2,
+            range_rows=rows,
         )
-        top = modeling.top_importances(found).collect()
-        assert top[0].feature == "x1" and top[0].importance_mean > 0.3
-        assert abs(top[1].importance_mean) < 0.05
+        runs.append({r.feature: r.importance_mean for r in modeling.top_importances(found).collect()})
+    assert runs[0] == runs[1]
+    assert runs[0]["x1"] > 0.3 and runs[0]["both"] > 0.3 and abs(runs[0]["x2"]) < 0.05
+    assert modeling.top_importances(found, 1).count() == 1
 
 
 def test_corruption_hits_the_wanted_share(table):
@@ -137,22 +140,49 @@ def test_mixed_features_take_every_kind_of_column(table):
     assert prepared.filter("when_date_day is null").count() == 0 and len(stages) == 5
 
 
-def test_many_categories_are_hashed(table):
+def test_the_caller_names_the_encoding(table):
     df = table.select("x1", "g", F.col("id").cast("string").alias("name"), "y")
-    fitted = modeling.fairness_baseline(df, "y", 600, max_categories=50).fit(df)
-    assert modeling.predict(fitted, df).filter("score is null").count() == 0
-    assert fitted.stages[-1].numFeatures > 2**18
+    widths = []
+    for encoding in (None, {"name": "hash"}):
+        fitted = modeling.fairness_baseline(df, "y", 600, encoding).fit(df)
+        assert modeling.predict(fitted, df).filter("score is null").count() == 0
+        widths.append(fitted.stages[-1].numFeatures)
+    assert widths[0] < 700 and widths[1] > 2**18
+    with pytest.raises(ValueError):
+        modeling.fairness_baseline(df, "y", 600, {"x1": "hash"})
 
 
-def test_background_size_is_checked(table, model):
+def test_a_background_may_have_any_size(table, model):
+    """With the whole table as background the values still add up to f(x) less some f(b)."""
+    few, score = table.filter("id < 5"), modeling.margin_scorer(model)
+    phi = attribution.shapley_values(few, ["id"], FEATURES, table, score, permutations=1)
+    sums = phi.groupBy("id").agg(F.sum("phi").alias("s")).join(modeling.predict(model, few), "id")
+    known = {round(r.score, 9) for r in modeling.predict(model, table).collect()}
+    assert all(round(r.score - r.s, 9) in known for r in sums.collect())
     with pytest.raises(ValueError):
-        attribution.shapley_values(table, ["id"], FEATURES, table, modeling.margin_scorer(model))
+        attribution.shapley_values(few, ["id"], FEATURES, table.limit(0), score)
 
 
 def test_full_validation_has_nine_scores(table):
-    results = scoring.validate_model(table, "y", ["id"], ["g"], folds=2, trials=2, repeats=1)
-    scores = {r.agent: r.score for r in results.collect()}
+    df = table.withColumn("g", F.when(F.col("id") % 10 != 0, F.col("g")))
+    df = df.withColumn("when_date", F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")))
+    found = scoring.validate_model(df, "y", ["id"], ["g", "absent"], folds=2, trials=2, repeats=1)
+    scores = {r.agent: r.score for r in found.results.collect()}
     assert set(scores) == set(scoring.AGENT_WEIGHTS) and all(0 <= s <= 100 for s in scores.values())
     assert scores["performance"] > 85
-    overall = scoring.overall_score(results).first()
+    overall = scoring.overall_score(found.results).first()
     assert overall.status in ("pass", "needs_review") and overall.agents == 9
+    codes = {(r.agent, r.code, r.column_name) for r in found.findings.collect()}
+    assert ("fairness", "missing_column", "absent") in codes
+    metrics = {(r.agent, r.metric, r.item): r.value for r in found.metrics.collect()}
+    assert metrics["explainability", "importance_mean", "x1"] > 0.3
+    assert {i for a, m, i in metrics if a == "explainability"} == {"x1", "x2", "g", "when_date"}
+    assert metrics["performance", "accuracy", None] > 0.85
+
+
+def test_groups_are_not_imputed(table):
+    """Rows without a group stay out of the gaps: here only they are predicted wrongly."""
+    df = table.withColumn("g", F.when(F.col("y") == F.when(F.col("x1") > 0, 1).otherwise(0), F.col("g")))
+    found = scoring.validate_model(df, "y", ["id"], ["g"], folds=2, trials=1, repeats=1)
+    gap = found.metrics.filter("metric = 'subgroup_accuracy_gap'").first().value
+    assert gap < 0.06

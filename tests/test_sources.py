@@ -30,6 +30,22 @@ def test_folder_profile_matches_single_files(spark, tmp_path):
     assert got[("one.csv", "v", "mean")] == 22.0 and got[("two.csv", None, "total_rows")] == 10
 
 
+def test_columns_go_by_their_names(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "two.csv").write_text("b,a\n3,30\n")
+    (tmp_path / "three.csv").write_text("b,z\n5,x\n")
+    (tmp_path / "none.csv").write_text("\n \n")
+    got = {r.file: r for r in readers.read_folder(spark, str(tmp_path)).collect()}
+    assert (got["two.csv"].a, got["two.csv"].b) == (30, 3)
+    assert (got["three.csv"].a, got["three.csv"].b, got["three.csv"].z) == (None, 5, "x")
+    found = readers.open_folder(spark, str(tmp_path))
+    assert {(r.file, r.status) for r in found.status.collect()} == {
+        ("one.csv", "read"), ("two.csv", "read"), ("three.csv", "read"), ("none.csv", "failed"),
+    }
+    profile = {(r.file, r.column_name, r.metric): r.value for r in found.profile().collect()}
+    assert profile["two.csv", "a", "mean"] == 30 and ("three.csv", "a", "mean") not in profile
+
+
 def test_corrupt_files_are_skipped(spark, tmp_path):
     spark.range(3).coalesce(1).write.parquet(str(tmp_path / "good"))
     good = next((tmp_path / "good").glob("*.parquet"))
@@ -38,6 +54,9 @@ def test_corrupt_files_are_skipped(spark, tmp_path):
     (tmp_path / "in" / "b.parquet").write_bytes(b"not parquet at all")
     df = readers.read_folder(spark, str(tmp_path / "in"), "*.parquet", "id long")
     assert df.agg(F.sum("id")).first()[0] == 3
+    status = readers.open_folder(spark, str(tmp_path / "in"), "*.parquet").status.collect()
+    assert {(r.file, r.status) for r in status} == {("a.parquet", "read"), ("b.parquet", "failed")}
+    assert all((r.reason is None) == (r.status == "read") for r in status)
 
 
 def test_chapters(spark, tmp_path):

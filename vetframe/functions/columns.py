@@ -106,21 +106,6 @@ def per_column(
     return out
 
 
-def to_long(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str]) -> DataFrame:
-    """Turn the value columns into ``(name, value)`` rows, all values as double."""
-    return df.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(v).alias(name), quoted(v).cast("double").alias("value"))
-                    for v in values
-                ]
-            )
-        ),
-    )
-
-
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column_name, value, n)`` over the string forms of the columns.
 
@@ -134,14 +119,3 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
     )
     return df.select(F.inline(pairs)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-
-
-def unpivot_text(df: DataFrame, columns: Sequence[str], name: str, value: str, *keep) -> DataFrame:
-    """``(keep…, name, value)`` rows, one per column and input row."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias(name), quoted(c).cast("string").alias(value))
-            for c in columns
-        ]
-    )
-    return df.select(*keep, F.inline(pairs))

@@ -13,10 +13,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import count_where, quoted
-from ..functions.ordering import hash_order
+from ..functions.ordering import global_row_number, hash_order, lookup
 
-# Background size and how many features the reports show.
-BACKGROUND_ROWS, GLOBAL_TOP, COMPARE_TOP = 100, 12, 10
+# Fixed value: background size.
+BACKGROUND_ROWS = 100
 
 
 def background_sample(
@@ -66,14 +66,14 @@ def base_value(weights: dict[str, float], means: dict[str, float], intercept: fl
     return intercept + sum(weights[f] * means[f] for f in weights)
 
 
-def global_importance(phi: DataFrame, top: int = GLOBAL_TOP) -> DataFrame:
-    """``(feature, mean_abs_phi)``, the most important features first."""
-    return (
+def global_importance(phi: DataFrame, top: int | None = None) -> DataFrame:
+    """``(feature, mean_abs_phi)``, the most important features first; ``top`` of them, or all."""
+    ranked = (
         phi.groupBy("feature")
         .agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
         .orderBy(F.col("mean_abs_phi").desc(), "feature")
-        .limit(top)
     )
+    return ranked if top is None else ranked.limit(top)
 
 
 def local_explanations(
@@ -127,10 +127,11 @@ def local_explanations(
     )
 
 
-def compare_models(phi: DataFrame, models: Sequence[str], top: int = COMPARE_TOP) -> DataFrame:
+def compare_models(phi: DataFrame, models: Sequence[str], top: int | None = None) -> DataFrame:
     """Mean absolute attribution per feature and model, 0 where a model lacks the feature.
 
-    ``phi`` carries a ``model`` column. Features rank by their average over the models.
+    ``phi`` carries a ``model`` column. Features rank by their average over the models;
+    ``top`` of them are kept, or all.
     """
     wide = (
         phi.groupBy("feature")
@@ -139,11 +140,8 @@ def compare_models(phi: DataFrame, models: Sequence[str], top: int = COMPARE_TOP
         .na.fill(0.0, list(models))
     )
     average = sum((quoted(m) for m in models), F.lit(0.0)) / len(models)
-    return (
-        wide.withColumn("average", average)
-        .orderBy(F.col("average").desc(), "feature")
-        .limit(top)
-    )
+    ranked = wide.withColumn("average", average).orderBy(F.col("average").desc(), "feature")
+    return ranked if top is None else ranked.limit(top)
 
 
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -155,14 +153,15 @@ def _hybrids(
 ) -> DataFrame:
     """One row per (row, permutation): its values, a background row and a feature order.
 
-    The background may hold at most ``BACKGROUND_ROWS`` rows and travels as one array literal; no
-    join is needed.
+    The background may be of any size: its rows are numbered in a repeatable order, and every
+    (row, permutation) looks its pick up by number.
     """
-    values = F.array(*[quoted(f).cast("double") for f in features]).alias("b")
-    rows = background.select(values).limit(BACKGROUND_ROWS + 1).collect()
-    if not 0 < len(rows) <= BACKGROUND_ROWS:
-        raise ValueError(f"the background must hold 1 to {BACKGROUND_ROWS} rows")
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in r["b"]]) for r in rows])
+    values = F.array(*[quoted(f).cast("double") for f in features])
+    by_value = [F.xxhash64("_b"), F.col("_b")]
+    table = lookup(global_row_number(background.select(values.alias("_b")), by_value, "_pick"))
+    rows = table.count()
+    if not rows:
+        raise ValueError("the background holds no rows")
     order = F.transform(
         F.array_sort(
             F.array(
@@ -178,14 +177,14 @@ def _hybrids(
         lambda s: s["j"],
     )
     pick = F.pmod(
-        F.xxhash64(*[quoted(k) for k in key], F.col("_perm"), F.lit(seed + 1)), F.lit(len(rows))
+        F.xxhash64(*[quoted(k) for k in key], F.col("_perm"), F.lit(seed + 1)), F.lit(rows)
     )
     return (
         df.select(*key, F.array(*[quoted(f).cast("double") for f in features]).alias("_x"))
         .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-        .select(
-            "*", order.alias("_order"), F.get(table, pick.cast("int")).alias("_b")
-        )
+        .select("*", order.alias("_order"), (pick + 1).alias("_pick"))
+        .join(table, "_pick")
+        .drop("_pick")
     )
 
 

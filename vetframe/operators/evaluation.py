@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import count_where, quoted, ratio
+from ..functions.columns import count_where, nan_to_null, quoted, ratio
 from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, running_totals
 
 # Bins, score factors and limits of the calibration and performance findings.
@@ -119,7 +119,7 @@ def ranking_metrics(preds: DataFrame, y_true: str = "y_true", score: str = "scor
 def regression_metrics(preds: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """Root mean squared error, R² and a score in 0..1."""
     y, p = quoted(y_true).cast("double"), quoted(y_pred).cast("double")
-    sums = preds.filter(y.isNotNull() & p.isNotNull()).agg(
+    sums = nan_to_null(preds.select(quoted(y_true), quoted(y_pred))).filter(y.isNotNull() & p.isNotNull()).agg(
         F.avg((y - p) * (y - p)).alias("mse"), F.var_pop(y).alias("spread")
     )
     r2 = 1 - F.try_divide(F.col("mse"), F.col("spread"))
@@ -138,7 +138,7 @@ def score_edges(
 ) -> list[float]:
     """Quantile edges of the score, both extremes included."""
     shares = [i / bins for i in range(bins + 1)]
-    return exact_quantiles(preds, [score], shares, buffer_limit)[score]
+    return exact_quantiles(nan_to_null(preds.select(quoted(score))), [score], shares, buffer_limit)[score]
 
 
 def calibration_curve(
@@ -151,6 +151,7 @@ def calibration_curve(
     """``(bin, n, mean_score, observed)`` per quantile bin; a value on an inner edge counts in
     both neighbours. Bins are literals, so the scan needs no join."""
     edges = score_edges(preds, score, bins, buffer_limit)
+    preds = nan_to_null(preds)
     if edges[0] is None:
         edges = [0.0] * (bins + 1)
     s = quoted(score).cast("double")
@@ -181,6 +182,7 @@ def calibration_error(
     A value on an inner edge belongs to the lower bin; bins weigh the same; empty bins drop out.
     """
     edges = score_edges(preds, score, bins, buffer_limit)
+    preds = nan_to_null(preds)
     s = quoted(score).cast("double")
     inner = [] if edges[0] is None else edges[1:-1]
     index = sum(((s > F.lit(e)).cast("int") for e in inner), F.lit(0))

@@ -33,15 +33,15 @@ from .repair import most_common_values
 # Model settings, perturbation sizes, limits and factors of the agent scores.
 TREES, ITERATIONS, PLAIN_ITERATIONS = 300, 2000, 200
 LOW_CARDINALITY, HASH_FEATURES, DATE_SHARE = 200, 64, 0.7
+#: Depth of the trees: the deepest that the learner grows.
+TREE_DEPTH = 30
 DATE_HINTS = ("date", "time", "_dt")
 NOISE, TRIALS, NOISE_LEVELS = 0.01, 20, (0.0, 0.005, 0.01, 0.02, 0.05)
 FLIP_LIMIT, FLIP_FACTOR, DRIFT_LIMIT = 0.1, 5.0, 0.05
-REPEATS, TOP_FEATURES = 5, 15
+REPEATS = 5
 CORRUPT_SHARE, CORRUPT_SIZE, CORRUPT_LIMIT, CORRUPT_CAP = 0.05, 10.0, 0.05, 0.5
-#: Rows shuffled together by the permutation test; a table larger than this is cut into blocks.
-PERMUTATION_BLOCK = 200_000
-#: Categories of a column that one-hot encoding may keep on the driver.
-MAX_CATEGORIES = 10_000
+#: Rows of the ranges that a permutation is sorted in; the permutation doesn't depend on it.
+PERMUTATION_RANGE = 200_000
 
 PREDICTION_COLUMNS = ("features", "rawPrediction", "probability", "prediction")
 
@@ -92,9 +92,12 @@ def baseline_classifier(
     return Pipeline(stages=[assembled(features), model])
 
 
-def baseline_regressor(features: Sequence[str], label: str, trees: int = TREES, seed: int = 42) -> Pipeline:
+def baseline_regressor(features: Sequence[str], label: str, trees: int = TREES, seed: int = 42,
+    depth: int = TREE_DEPTH,
+) -> Pipeline:
+    """A random forest of trees grown down to single rows, or to ``depth`` levels (30 at most)."""
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=label, numTrees=trees, seed=seed, maxDepth=8
+        featuresCol="features", labelCol=label, numTrees=trees, seed=seed, maxDepth=depth
     )
     return Pipeline(stages=[assembled(features), forest])
 
@@ -134,17 +137,22 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
 
 
 def fairness_baseline(
-    df: DataFrame, label: str, rows: int, max_categories: int = MAX_CATEGORIES
+    df: DataFrame, label: str, rows: int, encoding: dict[str, str] | None = None
 ) -> Pipeline:
     """One-hot text columns, numbers as they are, logistic regression.
 
-    One-hot encoding keeps its categories on the driver, so a column with more than
-    ``max_categories`` of them is hashed into a wide sparse vector instead.
+    ``encoding`` names the columns to be encoded otherwise: ``{column: "hash"}`` takes one of very
+    many categories into a wide sparse vector, because one-hot encoding keeps its categories in
+    the model. The choice is the caller's and never depends on the data.
     """
     numbers = [c for c in numeric_columns(df) if c != label]
-    counts = distinct_values(df, [c for c in string_columns(df) if c != label])
-    stages, encoded = one_hot_stages([c for c, k in counts.items() if k <= max_categories])
-    many = [c for c, k in counts.items() if k > max_categories]
+    text = [c for c in string_columns(df) if c != label]
+    kinds = {**dict.fromkeys(text, "onehot"), **(encoding or {})}
+    unknown = {c: k for c, k in kinds.items() if c not in text or k not in ("onehot", "hash")}
+    if unknown:
+        raise ValueError(f"no such text column or encoding: {unknown}")
+    stages, encoded = one_hot_stages([c for c in text if kinds[c] == "onehot"])
+    many = [c for c in text if kinds[c] == "hash"]
     if many:
         stages.append(FeatureHasher(inputCols=many, outputCol="_hashed"))
         encoded.append("_hashed")
@@ -183,14 +191,20 @@ def _date_parts(c: str) -> dict[str, Column]:
     }
 
 
+def date_part_names(column: str) -> list[str]:
+    """The feature names that a date column gets."""
+    return [f"{column}_{part}" for part in ("year", "month", "day", "dow", "hour")]
+
+
 def mixed_features(
-    df: DataFrame, label: str, exclude: Sequence[str] = (), buffer_limit: int = BUFFER_LIMIT
+    df: DataFrame, label: str, exclude: Sequence[str] = (), buffer_limit: int = BUFFER_LIMIT,
+    low_cardinality: int = LOW_CARDINALITY,
 ) -> tuple[DataFrame, list, list[str]]:
     """Prepare a table of mixed columns for a model.
 
     Returns the table with missing values imputed and date parts added, the encoding stages, and
-    the names of the assembled inputs: scaled numbers, one-hot text with few values, and text with
-    many values hashed into 64 slots.
+    the names of the assembled inputs: scaled numbers, one-hot text with up to ``low_cardinality``
+    values, and text with more values hashed into 64 slots.
     """
     clean = nan_to_null(df)
     skip = {label, *exclude}
@@ -199,7 +213,7 @@ def mixed_features(
     dates = _date_like(clean, others)
     text = [c for c in others if c not in dates]
     counts = distinct_values(clean, text)
-    few = [c for c in text if counts[c] <= LOW_CARDINALITY]
+    few = [c for c in text if counts[c] <= low_cardinality]
     many = [c for c in text if c not in few]
 
     parts = {name: part for c in dates for name, part in _date_parts(c).items()}
@@ -388,37 +402,61 @@ def robustness_regression(
 
 
 def permutation_importance(
-    model: Transformer, df: DataFrame, key: Sequence[str], features: Sequence[str], label: str,
+    model: Transformer, df: DataFrame, key: Sequence[str],
+    features: Sequence[str] | dict[str, Sequence[str]], label: str,
     task: str = "classification", repeats: int = REPEATS, seed: int = 42,
-    block_rows: int = PERMUTATION_BLOCK,
+    range_rows: int = PERMUTATION_RANGE,
 ) -> DataFrame:
     """``(feature, importance_mean, importance_std)``: loss of score when a feature is shuffled.
 
     Per repeat the rows are put in a random (hash) order and each takes the values of the next row,
-    the last those of the first: a random cyclic permutation. A large table is cut into random
-    blocks that are permuted separately, so no task sorts it whole and no join is needed. One
+    the last those of the first: one random cyclic permutation of the whole table. Hashes are
+    spread evenly, so equal ranges of them are sorted in different tasks; the last row of a range
+    takes the values of the next range's first row, from a table of one row for each range. One
     shuffle serves all features: a row learns its donor's values once and is scored with one
-    feature at a time replaced.
+    feature at a time replaced. ``features`` may name several columns that are shuffled together,
+    such as the parts of a date. ``range_rows`` has no influence on the result.
     """
-    rows = df.count()
-    blocks = max(1, -(-rows // block_rows))
+    groups = features if isinstance(features, dict) else {f: [f] for f in features}
+    columns = list(dict.fromkeys(c for members in groups.values() for c in members))
+    # The upper 20 bits of the hash, cut into as many ranges as the rows fill.
+    ranges = max(1, min(1 << 20, -(-df.count() // range_rows)))
     order = F.xxhash64(*[quoted(k) for k in key], F.col("_repeat"), F.lit(seed))
+    top_bits = F.shiftright("_order", 44) + F.lit(1 << 19)
     spread = df.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn(
         "_order", order
-    ).withColumn("_block", F.pmod(F.xxhash64("_order", F.lit(seed + 1)), F.lit(blocks)))
-    window = Window.partitionBy("_repeat", "_block").orderBy("_order", *[quoted(k) for k in key])
-    donor = F.struct(*[quoted(f).alias(f) for f in features])
-    first = F.first(donor).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    shifted = spread.withColumn("_donor", F.coalesce(F.lead(donor).over(window), first))
-    cases = F.array(*[F.lit(f) for f in features])
+    ).withColumn("_range", F.shiftright(top_bits * F.lit(ranges), 20))
+    by_order = [F.col("_order"), *[quoted(k) for k in key]]
+    donor = F.struct(*[quoted(c).alias(c) for c in columns])
+    firsts = spread.groupBy("_repeat", "_range").agg(
+        F.min_by(donor, F.struct(*by_order)).alias("_first")
+    )
+    along = Window.partitionBy("_repeat").orderBy("_range")
+    start = F.first("_first").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    following = lookup(
+        firsts.select(
+            F.col("_repeat").alias("_for_repeat"), F.col("_range").alias("_for_range"),
+            F.coalesce(F.lead("_first").over(along), start).alias("_next"),
+        )
+    )
+    window = Window.partitionBy("_repeat", "_range").orderBy(*by_order)
+    same = (F.col("_repeat") == F.col("_for_repeat")) & (F.col("_range") == F.col("_for_range"))
+    shifted = (
+        spread.withColumn("_lead", F.lead(donor).over(window))
+        .withColumn("_inside", F.lead(F.lit(True)).over(window))
+        .join(following, same)
+        .withColumn("_donor", F.when(F.col("_inside"), F.col("_lead")).otherwise(F.col("_next")))
+        .drop("_lead", "_inside", "_next", "_for_repeat", "_for_range")
+    )
+    cases = F.array(*[F.lit(f) for f in groups])
     expanded = shifted.withColumn("_feature", F.explode(cases))
+
+    def shuffled(c):
+        members = [f for f, cs in groups.items() if c in cs]
+        return F.when(F.col("_feature").isin(*members), F.col("_donor")[c]).otherwise(quoted(c))
+
     replaced = expanded.select(
-        *[
-            F.when(F.col("_feature") == c, F.col("_donor")[c]).otherwise(quoted(c)).alias(c)
-            if c in features
-            else quoted(c)
-            for c in expanded.columns
-        ]
+        *[shuffled(c).alias(c) if c in columns else quoted(c) for c in expanded.columns]
     )
     y, p = quoted(label).cast("double"), F.col("prediction")
 
@@ -435,8 +473,10 @@ def permutation_importance(
     )
 
 
-def top_importances(importances: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
-    return importances.orderBy(F.abs("importance_mean").desc(), "feature").limit(top)
+def top_importances(importances: DataFrame, top: int | None = None) -> DataFrame:
+    """The importances by size; the first ``top``, or all."""
+    ranked = importances.orderBy(F.abs("importance_mean").desc(), "feature")
+    return ranked if top is None else ranked.limit(top)
 
 
 # ---------------------------------------------------------------- corruption

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
     count_where,
@@ -20,7 +20,6 @@ from ..functions.columns import (
     ratio,
     row_array,
     string_columns,
-    unpivot_text,
     value_counts,
 )
 from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, settle
@@ -389,19 +388,36 @@ def correlations(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- duplicates and constants
 
 
+def _canonical(df: DataFrame, name: str) -> Column:
+    """A value's text after its length; ``-`` for a missing one. Equal just for equal values."""
+    c, kind = quoted(name), df.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = (c + F.lit(0.0).cast(kind)).cast("string")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.unix_micros(c.cast("timestamp")).cast("string")
+    elif isinstance(kind, T.BinaryType):
+        text = F.hex(c)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        text = F.to_json(F.struct(c))
+    else:
+        text = c.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def duplicate_rows(
     df: DataFrame, columns: Sequence[str] | None = None, by_digest: bool = False
 ) -> DataFrame:
     """How many rows repeat an earlier row; NULLs count as equal.
 
     ``by_digest`` groups by a SHA-256 of the row instead of the row itself, so that long texts are
-    read once and only 64 characters per row reach the shuffle.
+    read once and only 32 bytes per row reach the shuffle. The digest covers every value in full:
+    its length and its text, timestamps to the microsecond, 0.0 and -0.0 alike.
     """
     columns = list(columns or df.columns)
     clean = nan_to_null(df.select(*[quoted(c) for c in columns]))
     if by_digest:
-        row = F.to_json(F.struct(*[quoted(c) for c in columns]))
-        groups = clean.select(F.sha2(row, 256).alias("digest")).groupBy("digest")
+        row = F.concat(*[_canonical(clean, c) for c in columns])
+        groups = clean.select(F.unhex(F.sha2(row, 256)).alias("digest")).groupBy("digest")
     else:
         groups = clean.groupBy(*[quoted(c) for c in columns])
     return (
@@ -672,7 +688,7 @@ def integrity_findings(df: DataFrame, label: str | None = None) -> DataFrame:
             agent, F.lit("warning").alias("severity"), F.lit("missing").alias("code"),
             "column_name", F.format_string("%.1f%% of the values are missing", "share").alias("message"),
         ),
-        duplicate_rows(df).filter("duplicate_rows > 0").select(
+        duplicate_rows(df, by_digest=True).filter("duplicate_rows > 0").select(
             agent, F.lit("warning").alias("severity"), F.lit("duplicates").alias("code"),
             F.lit(None).cast("string").alias("column_name"),
             F.format_string("%d rows repeat an earlier row", "duplicate_rows").alias("message"),
@@ -799,17 +815,3 @@ def validate(
         )
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, distinct_values)``, exact, missing values not counted."""
-    return (
-        value_counts(nan_to_null(df), columns)
-        .groupBy("column_name")
-        .agg(F.count("value").alias("distinct_values"))
-    )
-
-
-def text_cells(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """The cells of some columns as ``(key…, column_name, value)``."""
-    return unpivot_text(nan_to_null(df), columns, "column_name", "value", *key)

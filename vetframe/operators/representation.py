@@ -29,7 +29,7 @@ BIAS_LEVELS = (
     (0.6, "Moderate Representation Bias"),
     (0.4, "High Representation Bias"),
 )
-MINORITY_SHARE, DOMINANCE_RATIO_LIMIT, PERIODS, TOP_ITEMS = 0.1, 2.0, 5, 10
+MINORITY_SHARE, DOMINANCE_RATIO_LIMIT, PERIODS = 0.1, 2.0, 5
 
 
 def attribute_counts(
@@ -359,9 +359,9 @@ def diversity_benchmark(measures: DataFrame) -> DataFrame:
 
 
 def diversity_recommendations(
-    measures: DataFrame, trend: DataFrame, top: int = TOP_ITEMS
+    measures: DataFrame, trend: DataFrame, top: int | None = None
 ) -> DataFrame:
-    """``(position, severity, attribute, value)``: what to improve, the first ``top`` entries.
+    """``(position, severity, attribute, value)``: what to improve; the first ``top`` entries, or all.
 
     Entries come attribute by attribute, rule by rule, then falling trends; ``MAINTAIN`` stands
     alone when nothing applies; three standing entries follow.
@@ -411,9 +411,9 @@ def diversity_recommendations(
     combined = (
         found.unionByName(nothing.select(*standing(3, 1, "MAINTAIN")))
         .unionByName(always)
-        .orderBy("block", "attribute", "rank")
-        .limit(top)
     )
+    if top is not None:
+        combined = combined.orderBy("block", "attribute", "rank").limit(top)
     return combined.agg(
         F.array_sort(
             F.collect_list(F.struct("block", "attribute", "rank", "severity", "value"))
@@ -455,8 +455,9 @@ def overall_assessment(measures: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
-def key_concerns(measures: DataFrame, gaps: DataFrame, top: int = TOP_ITEMS) -> DataFrame:
-    """Under- and over-represented groups, then attributes of low diversity; first ``top``."""
+def key_concerns(measures: DataFrame, gaps: DataFrame, top: int | None = None) -> DataFrame:
+    """Under- and over-represented groups, then attributes of low diversity; the first ``top``,
+    or all."""
     groups = gaps.filter(F.col("status").isin(*UNDER_STATUS, "Over-represented")).select(
         F.lit(1).alias("block"), "attribute", "group", F.lower("status").alias("concern")
     )
@@ -464,12 +465,10 @@ def key_concerns(measures: DataFrame, gaps: DataFrame, top: int = TOP_ITEMS) ->
         F.lit(2).alias("block"), "attribute", F.lit(None).cast("string").alias("group"),
         F.lit("low diversity").alias("concern"),
     )
-    return (
-        groups.unionByName(low)
-        .orderBy("block", "attribute", "group")
-        .limit(top)
-        .select("attribute", "group", "concern")
-    )
+    concerns = groups.unionByName(low)
+    if top is not None:
+        concerns = concerns.orderBy("block", "attribute", "group").limit(top)
+    return concerns.select("attribute", "group", "concern")
 
 
 def age_band(age: Column) -> Column:

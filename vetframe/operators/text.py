@@ -46,14 +46,24 @@ EMPTY_RAW = ("No content available", "No URLs found to extract content from")
 SEGMENT_MARK = "\n\n---\n\n"
 
 
+# Fixed value: white space of any script, as inclusive ranges of code points.
+WHITE_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
+_WHITE = "".join(chr(c) for a, b in WHITE_RANGES for c in range(a, b + 1))
+#: A character class for the same.
+WHITE_CLASS = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in WHITE_RANGES) + "]"
+
+
 def strip(c: Column) -> Column:
-    """Remove white space, line ends included, from both ends."""
-    return F.trim(c, F.lit(" \t\n\r\f\v"))
+    """Remove white space of any script, line ends included, from both ends."""
+    return F.trim(c, F.lit(_WHITE))
 
 
 def words(text: Column) -> Column:
     """The words of a text; none for a blank one."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, WHITE_CLASS + "+"), lambda w: w != "")
 
 
 def word_chunks(

@@ -289,27 +289,43 @@ def diversity_benchmark(spark, sf_dir):
     return V.rounded(rep.diversity_benchmark(rep.diversity(_counts(spark, sf_dir))))
 
 
+#: Shannon diversity of the first (a) and last (b) fifth of the customers, by attribute.
+_PEOPLE_TREND = (
+    "fifths AS (SELECT *, least((row_number() OVER (ORDER BY c_custkey) - 1)"
+    " // (SELECT count(*) // 5 FROM people), 4) + 1 AS period FROM people), cells AS ("
+    + union_all(
+        f"SELECT period, '{a}' AS attribute, {a} AS grp, count(*) AS n FROM fifths"
+        f" WHERE {a} IS NOT NULL GROUP BY 1, 3"
+        for a in PEOPLE_ATTRIBUTES
+    )
+    + "), parts AS (SELECT period, attribute, n / sum(n) OVER (PARTITION BY period, attribute) AS p"
+    " FROM cells), entropies AS (SELECT period, attribute, -sum(p * ln(p)) AS h FROM parts"
+    " GROUP BY 1, 2), trend AS (SELECT attribute, arg_min(h, period) AS a, arg_max(h, period) AS b"
+    " FROM entropies GROUP BY 1)"
+)
+
+
 @query(
     "diversity_recommendations",
-    _DIVERSITY_CTES + """, rules AS (
+    _DIVERSITY_CTES + ", " + _PEOPLE_TREND + """, rules AS (
   SELECT 1 AS block, attribute, 1 AS rank, 'CRITICAL' AS severity, diversity_score AS value
     FROM diversity WHERE diversity_score < 0.4
   UNION ALL SELECT 1, attribute, 2, 'WARNING', berger_parker_dominance FROM diversity
     WHERE berger_parker_dominance > 0.7
   UNION ALL SELECT 1, attribute, 3, 'IMPROVE', evenness_pielou FROM diversity WHERE evenness_pielou < 0.5
   UNION ALL SELECT 1, attribute, 4, 'ENHANCE', shannon_diversity FROM diversity WHERE shannon_diversity < 1
+  UNION ALL SELECT 2, attribute, 1, 'TREND ALERT', abs(b - a) FROM trend WHERE b < a
   UNION ALL SELECT 4, NULL, 0, 'MONITOR', NULL UNION ALL SELECT 4, NULL, 1, 'BENCHMARK', NULL
   UNION ALL SELECT 4, NULL, 2, 'DOCUMENT', NULL),
 numbered AS (SELECT CAST(row_number() OVER (ORDER BY block, attribute, rank) AS INTEGER) AS position, *
   FROM rules)
-SELECT position, severity, attribute, round(value, 6) AS value FROM numbered WHERE position <= 10""",
+SELECT position, severity, attribute, round(value, 6) AS value FROM numbered""",
 )
 def diversity_recommendations(spark, sf_dir):
     people = V.people(spark, sf_dir)
     trend = rep.diversity_trend(rep.diversity_by_period(people, PEOPLE_ATTRIBUTES, "c_custkey"))
-    steady = trend.withColumn("shannon_trend", F.lit("Stable"))
     return V.rounded(
-        rep.diversity_recommendations(rep.diversity(_counts(spark, sf_dir)), steady)
+        rep.diversity_recommendations(rep.diversity(_counts(spark, sf_dir)), trend)
     )
 
 
@@ -345,7 +361,7 @@ def overall_assessment(spark, sf_dir):
   SELECT 1 AS block, attribute, "group", lower(status) AS concern FROM gaps
     WHERE status IN ('Severely Under-represented', 'Under-represented', 'Over-represented')
   UNION ALL SELECT 2, attribute, NULL, 'low diversity' FROM diversity WHERE diversity_score < 0.5)
-SELECT attribute, "group", concern FROM concerns ORDER BY block, attribute, "group" LIMIT 10""",
+SELECT attribute, "group", concern FROM concerns""",
 )
 def key_concerns(spark, sf_dir):
     counts = _counts(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..operators import attribution, evaluation, modeling, scoring, splits
@@ -259,7 +261,7 @@ def assign_folds(spark, sf_dir):
 def _fitted(spark, sf_dir):
     lines = modeling.class_weights(_lines(spark, sf_dir), "y_true")
     rows = lines.count()
-    estimator = modeling.baseline_classifier(FEATURES, "y_true", rows, iterations=50)
+    estimator = modeling.baseline_classifier(FEATURES, "y_true", rows)
     return lines, estimator, estimator.fit(lines)
 
 
@@ -272,7 +274,7 @@ def baseline_classifier(spark, sf_dir):
 @query("baseline_regressor")
 def baseline_regressor(spark, sf_dir):
     part = V.table(spark, sf_dir, "part")
-    estimator = modeling.baseline_regressor(["p_partkey", "p_size"], "p_retailprice", trees=20)
+    estimator = modeling.baseline_regressor(["p_partkey", "p_size"], "p_retailprice")
     predicted = modeling.predict(estimator.fit(part), part)
     return V.rounded(evaluation.regression_metrics(predicted, "p_retailprice"))
 
@@ -297,8 +299,10 @@ def mixed_features(spark, sf_dir):
     )
     fitted = Pipeline(stages=[*stages, modeling.assembled(inputs)]).fit(prepared)
     vectors = fitted.transform(prepared)
-    return vectors.select(F.size(_array("features")).alias("width")).groupBy("width").agg(
-        F.count("*").alias("n")
+    values = _array("features")
+    return vectors.select(
+        "o_orderkey", "o_totalprice", *modeling.date_part_names("o_orderdate"),
+        F.size(values).alias("width"), F.round(values[0], 6).alias("scaled_price"),
     )
 
 
@@ -311,26 +315,26 @@ def _array(column):
 @query("cross_val_predict")
 def cross_val_predict(spark, sf_dir):
     lines = modeling.class_weights(_lines(spark, sf_dir), "y_true")
-    folded = splits.assign_folds(lines, LINE_KEY, 3, stratify="y_true")
-    estimator = modeling.baseline_classifier(FEATURES, "y_true", folded.count(), iterations=20)
-    predicted = modeling.cross_val_predict(folded, estimator, 3)
+    folded = splits.assign_folds(lines, LINE_KEY, stratify="y_true")
+    estimator = modeling.baseline_classifier(FEATURES, "y_true", folded.count())
+    predicted = modeling.cross_val_predict(folded, estimator, splits.FOLDS)
     return V.rounded(evaluation.binary_performance(predicted))
 
 
 @query("robustness")
 def robustness(spark, sf_dir):
     lines, _, model = _fitted(spark, sf_dir)
-    return V.rounded(modeling.robustness_classification(model, lines, LINE_KEY, FEATURES, trials=5))
+    return V.rounded(modeling.robustness_classification(model, lines, LINE_KEY, FEATURES))
 
 
 @query("robustness_regression")
 def robustness_regression(spark, sf_dir):
     part = V.table(spark, sf_dir, "part")
     features = ["p_partkey", "p_size"]
-    estimator = modeling.baseline_regressor(features, "p_retailprice", trees=10)
+    estimator = modeling.baseline_regressor(features, "p_retailprice")
     return V.rounded(
         modeling.robustness_regression(
-            estimator.fit(part), part, ["p_partkey"], features, "p_retailprice", trials=5
+            estimator.fit(part), part, ["p_partkey"], features, "p_retailprice"
         )
     )
 
@@ -344,7 +348,7 @@ def robustness_curve(spark, sf_dir):
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     lines, _, model = _fitted(spark, sf_dir)
-    found = modeling.permutation_importance(model, lines, LINE_KEY, FEATURES, "y_true", repeats=3)
+    found = modeling.permutation_importance(model, lines, LINE_KEY, FEATURES, "y_true")
     return V.rounded(modeling.top_importances(found))
 
 
@@ -370,10 +374,16 @@ def falsification(spark, sf_dir):
 @query("validate_model")
 def validate_model(spark, sf_dir):
     lines = _lines(spark, sf_dir).drop("l_returnflag")
-    results = scoring.validate_model(
-        lines, "y_true", LINE_KEY, sensitive=["a1"], folds=2, trials=2, repeats=1, drop_ids=False
+    found = scoring.validate_model(lines, "y_true", LINE_KEY, sensitive=["a3"], drop_ids=False)
+    none = F.lit(None).cast("string")
+    scores = found.results.select(
+        "agent", F.lit("score").alias("metric"), none.alias("item"), F.col("score").alias("value")
+    )
+    warnings = found.findings.select(
+        "agent", F.concat(F.lit("finding: "), "code").alias("metric"),
+        F.col("column_name").alias("item"), F.lit(None).cast("double").alias("value"),
     )
-    return V.rounded(results)
+    return V.rounded(scores.unionByName(found.metrics).unionByName(warnings))
 
 
 _SCORES = """r AS (SELECT 'data_integrity' AS agent, 100e0 - 20 * CAST(count(DISTINCT l_quantity) < 60
@@ -500,14 +510,14 @@ def compare_models(spark, sf_dir):
 
 
 def _background(lines):
-    return attribution.background_sample(lines, LINE_KEY, 20)
+    return attribution.background_sample(lines, LINE_KEY)
 
 
 @query("shapley_values")
 def shapley_values(spark, sf_dir):
     lines, _, model = _fitted(spark, sf_dir)
     phi = attribution.shapley_values(
-        lines, LINE_KEY, FEATURES, _background(lines), modeling.margin_scorer(model), permutations=2
+        lines, LINE_KEY, FEATURES, _background(lines), modeling.margin_scorer(model)
     )
     return V.rounded(attribution.global_importance(phi))
 
@@ -517,7 +527,7 @@ def shapley_interactions(spark, sf_dir):
     lines, _, model = _fitted(spark, sf_dir)
     return V.rounded(
         attribution.shapley_interactions(
-            lines, LINE_KEY, FEATURES, [(FEATURES[0], FEATURES[1])], _background(lines),
-            modeling.margin_scorer(model), permutations=1,
+            lines, LINE_KEY, FEATURES, list(combinations(FEATURES, 2)), _background(lines),
+            modeling.margin_scorer(model),
         )
     )

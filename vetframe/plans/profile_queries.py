@@ -89,19 +89,39 @@ def _group_profile_sql(source, by, columns, numbers, text_count):
     return union_all(rows)
 
 
+#: Tables read as the files of one folder: all columns, numeric columns.
+FOLDER = {
+    "nation": (["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey", "n_regionkey"]),
+    "region": (["r_regionkey", "r_name"], ["r_regionkey"]),
+    "supplier": (
+        ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], ["s_suppkey", "s_nationkey", "s_acctbal"],
+    ),
+}
+
+
 @query(
     "folder_profile",
-    "WITH src AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,"
-    " 'orders.parquet' AS file FROM orders)\n"
-    + _group_profile_sql(
-        "src", "file",
-        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
-        ["o_orderkey", "o_custkey", "o_totalprice"], 2,
+    "WITH " + ", ".join(f"src_{t} AS (SELECT *, '{t}.parquet' AS file FROM {t})" for t in FOLDER)
+    + "\n" + union_all(
+        _group_profile_sql(f"src_{t}", "file", columns, numbers, len(columns) - len(numbers))
+        for t, (columns, numbers) in FOLDER.items()
     ),
 )
 def folder_profile(spark, sf_dir):
-    df = readers.read_folder(spark, f"{sf_dir}/orders.parquet", "*.parquet").drop("o_orderdate")
-    return V.rounded(readers.profile_by(df, "file"))
+    """Files with different columns, one profile each."""
+    found = readers.open_folder(spark, sf_dir, "{" + ",".join(FOLDER) + "}.parquet")
+    return V.rounded(found.profile())
+
+
+@query(
+    "folder_status",
+    union_all(f"SELECT '{t}.parquet' AS file, 'read' AS status, CAST(count(*) AS BIGINT) AS n_rows"
+              f" FROM {t}" for t in FOLDER),
+)
+def folder_status(spark, sf_dir):
+    found = readers.open_folder(spark, sf_dir, "{" + ",".join(FOLDER) + "}.parquet")
+    rows = found.together().groupBy("file").agg(F.count("*").alias("n_rows"))
+    return found.status.join(rows, "file", "left").select("file", "status", "n_rows")
 
 
 @query(
@@ -273,12 +293,11 @@ def missing_totals(spark, sf_dir):
 @query(
     "missing_severity",
     "WITH " + DIRTY + ", m AS (" + _MISSING_SQL + ") SELECT *, CASE WHEN missing_percent >= 20"
-    " THEN 'critical' WHEN missing_percent >= 5 THEN 'warning' ELSE 'ok' END AS severity"
-    " FROM m ORDER BY missing_percent DESC, column_name LIMIT 10",
+    " THEN 'critical' WHEN missing_percent >= 5 THEN 'warning' ELSE 'ok' END AS severity FROM m",
 )
 def missing_severity(spark, sf_dir):
     missing = profile.missing_values(V.dirty(spark, sf_dir))
-    return V.rounded(profile.missing_severity(missing, top=10))
+    return V.rounded(profile.missing_severity(missing))
 
 
 @query(
@@ -430,6 +449,24 @@ def duplicate_rows(spark, sf_dir):
     )
 
 
+@query(
+    "duplicate_rows_by_digest",
+    "SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM"
+    " (SELECT count(*) AS n FROM (SELECT date_trunc('day', ts) + to_microseconds(event_id % 2) AS t,"
+    " event_type, CASE WHEN event_id % 3 = 0 THEN 0e0 ELSE round(value) END AS v FROM events)"
+    " GROUP BY t, event_type, v)",
+)
+def duplicate_rows_by_digest(spark, sf_dir):
+    """Times one microsecond apart differ; 0.0 and -0.0 don't."""
+    micros = F.unix_micros(F.date_trunc("day", "ts")) + F.col("event_id") % 2
+    zero = F.when(F.col("event_id") % 4 < 2, F.lit(0.0)).otherwise(F.lit(-0.0))
+    rows = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        F.timestamp_micros(micros).alias("t"), "event_type",
+        F.when(F.col("event_id") % 3 == 0, zero).otherwise(F.round("value")).alias("v"),
+    )
+    return profile.duplicate_rows(rows, by_digest=True)
+
+
 @query("duplicate_documents", _DUPLICATE_SQL.format(t="documents", c="text, lang"))
 def duplicate_documents(spark, sf_dir):
     return profile.duplicate_rows(

@@ -27,7 +27,7 @@ def _q(value: str) -> str:
 
 
 def _strip(e):
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({e}, '^{text.WHITE_CLASS}+|{text.WHITE_CLASS}+$', '', 'g')"
 
 
 def _digest(e):
@@ -41,7 +41,7 @@ def _documents(spark, sf_dir):
     return V.table(spark, sf_dir, "documents")
 
 
-_CHUNKS = f"""w AS (SELECT doc_id, source, string_split_regex({_strip('text')}, '\\s+') AS ws FROM documents
+_CHUNKS = f"""w AS (SELECT doc_id, source, string_split_regex({_strip('text')}, '{text.WHITE_CLASS}+') AS ws FROM documents
     WHERE {_strip('text')} <> ''),
 chunks AS (SELECT * FROM (SELECT doc_id, source, CAST((i - 1) // 450 AS INTEGER) AS pos,
     array_to_string(ws[i:i + 499], ' ') AS text

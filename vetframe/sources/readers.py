@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import count_where, nan_to_null, numeric_columns, quoted, ratio, string_columns
 from ..functions.ordering import lookup, running_totals, settle
@@ -25,27 +27,115 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     raise ValueError(f"unsupported file format: .{ending}")
 
 
-def read_folder(
+@dataclass
+class Folder:
+    """The files of a folder: tables of files with the same columns, and what became of each file."""
+
+    #: One table for each set of columns, with a ``file`` column.
+    tables: list[DataFrame]
+    #: ``(file, status, reason)``: ``read`` or ``failed``.
+    status: DataFrame
+
+    def together(self) -> DataFrame | None:
+        """All tables as one, columns matched by name."""
+        out = None
+        for table in self.tables:
+            out = table if out is None else out.unionByName(table, allowMissingColumns=True)
+        return out
+
+    def profile(self) -> DataFrame | None:
+        """``(file, column_name, metric, value)``: the profile of every file."""
+        out = None
+        for table in self.tables:
+            part = profile_by(table)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
+def _file_name() -> Column:
+    return F.col("_metadata.file_name").alias("file")
+
+
+def open_folder(
     spark: SparkSession, folder: str, pattern: str = "*.csv", schema: str | None = None
-) -> DataFrame:
-    """Read the matching files of a folder as one table with a ``file`` column.
+) -> Folder:
+    """Read the matching files of a folder, each by its own columns.
 
-    Files that cannot be read are skipped, not fatal. CSV files share one schema, inferred from all
-    of them unless given.
+    Files with the same columns form one table. A csv file's columns are those of its first line,
+    in its order; types are inferred for each table, or taken by name from ``schema``. A file that
+    cannot be opened is recorded as failed with the reason, and the others are read without it.
     """
     ending = pattern.rsplit(".", 1)[-1].lower()
-    reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if ending == "csv":
-        df = reader.csv(folder, header=True, inferSchema=schema is None, mode="PERMISSIVE")
-    elif ending == "json":
-        df = reader.json(folder, multiLine=True)
-    elif ending == "parquet":
-        df = reader.parquet(folder)
-    else:
+    if ending not in ("csv", "json", "parquet"):
         raise ValueError(f"unsupported file format: .{ending}")
-    return df.select("*", F.col("_metadata.file_name").alias("file"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    # One row for each file: its name, not its content.
+    paths = [r["path"] for r in listed.select("path").orderBy("path").collect()]
+    failed: dict[str, str] = {}
+    groups: dict[object, list[str]] = {}
+    headers = _csv_headers(spark, folder, pattern) if ending == "csv" else {}
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        try:
+            if ending == "csv":
+                columns: object = headers.get(unquote(name))
+                if not columns:
+                    raise ValueError("the file has no header")
+            else:
+                columns = read_table(spark, path).schema.simpleString()
+        except Exception as problem:  # recorded for the caller, who decides what to do
+            failed[name] = str(problem).strip().splitlines()[0][:200]
+            continue
+        groups.setdefault(columns, []).append(path)
+    given = _schema_of(spark, schema)
+    tables = []
+    for columns, members in groups.items():
+        if ending == "csv":
+            df = spark.read.csv(members, header=True, inferSchema=not given, enforceSchema=False)
+        elif ending == "json":
+            df = spark.read.json(members, multiLine=True)
+        else:
+            df = spark.read.parquet(*members)
+        typed = [
+            quoted(c).cast(given[c]).alias(c) if c in given else quoted(c) for c in df.columns
+        ]
+        tables.append(df.select(*typed, _file_name()))
+    rows = [
+        (unquote(n), "failed" if n in failed else "read", failed.get(n))
+        for n in (p.rsplit("/", 1)[-1] for p in paths)
+    ]
+    return Folder(tables, spark.createDataFrame(rows, "file string, status string, reason string"))
+
+
+def _schema_of(spark: SparkSession, schema: str | None) -> dict:
+    if schema is None:
+        return {}
+    return {f.name: f.dataType for f in spark.createDataFrame([], schema).schema.fields}
+
+
+def _csv_headers(spark: SparkSession, folder: str, pattern: str) -> dict[str, str]:
+    """The first line of every file, by file name."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+    first = (
+        lines.filter("_metadata.file_block_start = 0 AND trim(value) <> ''")
+        .select(_file_name(), "value", F.monotonically_increasing_id().alias("at"))
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("header"))
+    )
+    return {unquote(r["file"]): r["header"] for r in first.collect()}
+
+
+def read_folder(
+    spark: SparkSession, folder: str, pattern: str = "*.csv", schema: str | None = None
+) -> DataFrame:
+    """The matching files of a folder as one table with a ``file`` column, columns matched by name.
+
+    Files that cannot be opened are left out; ``open_folder`` names them.
+    """
+    found = open_folder(spark, folder, pattern, schema).together()
+    if found is None:
+        raise ValueError(f"no readable file {pattern} in {folder}")
+    return found
 
 
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
