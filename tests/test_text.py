@@ -14,6 +14,14 @@ def _texts(spark, values):
     return spark.createDataFrame(list(enumerate(values)), "id long, text string")
 
 
+def test_white_space_of_any_script(spark):
+    values = ["a\u00a0b\u3000c", "\u2003 x \u00a0", "\u3000"]
+    df = _texts(spark, values).orderBy("id")
+    got = df.select(text.words(F.col("text")), text.strip(F.col("text"))).collect()
+    assert [r[0] for r in got] == [v.split() for v in values]
+    assert [r[1] for r in got] == [v.strip() for v in values]
+
+
 def test_word_chunks_cover_whole_texts(spark):
     rng = random.Random(4)
     values = [" ".join(f"word{rng.randint(0, 99)}" for _ in range(n)) for n in (0, 1, 20, 450, 451, 950, 2300)]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .columns import count_where, quoted
+from .columns import COLUMN_BATCH, count_where, quoted
 
 #: Largest number of values one aggregation buffer may hold.
 BUFFER_LIMIT = 1_000_000
@@ -59,6 +59,11 @@ def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
     return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
 
 
+def broadcast_if_small(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Broadcast a stored table if it has at most that many rows; else leave the join to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def running_totals(
     df: DataFrame,
     order_by: Sequence[Column],
@@ -239,19 +244,32 @@ def exact_quantiles(
     if not columns:
         return {}
     slim = df.select(*[quoted(c) for c in columns])
-    row = slim.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    counts = {}
+    for lo in range(0, len(columns), COLUMN_BATCH):
+        batch = columns[lo : lo + COLUMN_BATCH]
+        row = slim.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(batch)]).first()
+        counts |= {c: row[f"n{i}"] for i, c in enumerate(batch)}
     out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
     small = [c for c in columns if 0 < counts[c] <= buffer_limit]
     large = [c for c in columns if counts[c] > buffer_limit]
-    if small:
+    # The buffers of one aggregation together hold no more than `buffer_limit` values (or one
+    # column's, which is within the limit by itself).
+    batches: list[list[str]] = []
+    held = 0
+    for c in small:
+        if not batches or held + counts[c] > buffer_limit or len(batches[-1]) == COLUMN_BATCH:
+            batches.append([])
+            held = 0
+        batches[-1].append(c)
+        held += counts[c]
+    for batch in batches:
         row = slim.agg(
             *[
                 F.percentile(quoted(c), F.array(*[F.lit(float(s)) for s in shares])).alias(f"q{i}")
-                for i, c in enumerate(small)
+                for i, c in enumerate(batch)
             ]
         ).first()
-        for i, c in enumerate(small):
+        for i, c in enumerate(batch):
             out[c] = [float(v) for v in row[f"q{i}"]]
     if large:
         positions = {c: [s * (counts[c] - 1) for s in shares] for c in large}

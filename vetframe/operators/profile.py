@@ -350,39 +350,38 @@ def histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     )
 
 
+#: Pairs of columns correlated in one aggregation; more would not compile.
+PAIR_BATCH = 100
+
+
 def correlations(df: DataFrame) -> DataFrame:
-    """``(column_a, column_b, correlation)`` of numeric columns, pairwise complete, one pass.
+    """``(column_a, column_b, correlation)`` of numeric columns, pairwise complete.
 
-    A row is unpivoted into its value pairs and aggregated per pair number. One pair's aggregate
-    is compiled once; hundreds of them side by side would exceed what Spark compiles at all.
+    One aggregation for each batch of pairs, over the columns of that batch; rows aren't expanded.
     """
     columns = numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "column_a string, column_b string, correlation double"
+    schema = "column_a string, column_b string, correlation double"
+    clean = nan_to_null(df.select(*[quoted(c) for c in columns]))
+    out = None
+    for start in range(0, len(pairs), PAIR_BATCH):
+        batch = pairs[start : start + PAIR_BATCH]
+        wide = clean.agg(
+            *[
+                F.corr(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"p{i}")
+                for i, (a, b) in enumerate(batch)
+            ]
         )
-    values = F.array(
-        *[
+        found = [
             F.struct(
-                quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y")
+                F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
+                F.when(~F.isnan(f"p{i}"), F.col(f"p{i}")).alias("correlation"),
             )
-            for a, b in pairs
+            for i, (a, b) in enumerate(batch)
         ]
-    )
-    names = F.array(
-        *[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs]
-    )
-    found = (
-        nan_to_null(df)
-        .select(F.posexplode(values).alias("_pair", "_v"))
-        .groupBy("_pair")
-        .agg(F.corr("_v.x", "_v.y").alias("_corr"))
-    )
-    return found.select(
-        F.get(names, F.col("_pair")).alias("_n"),
-        F.when(~F.isnan("_corr"), F.col("_corr")).alias("correlation"),
-    ).select("_n.column_a", "_n.column_b", "correlation")
+        part = wide.select(F.inline(F.array(*found)))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
 
 # ---------------------------------------------------------------- duplicates and constants

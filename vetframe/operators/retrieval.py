@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import let
-from ..functions.ordering import lookup, settle
+from ..functions.ordering import broadcast_if_small, lookup, settle
 from .stopwords import ENGLISH
 
 # Vocabulary size, results per query, smallest similarity, the answer without any.
@@ -25,7 +25,8 @@ NOTHING_FOUND = "No relevant information found in knowledge base."
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 #: Query terms up to this many are broadcast; larger batches are joined by salted shuffle.
 BROADCAST_ROWS = 1_000_000
-SALTS = 16
+#: Postings of a term that meet the queries in one task.
+SALT_ROWS = 100_000
 
 
 @dataclass
@@ -103,7 +104,7 @@ def vocabulary(counts: DataFrame, chunks: int, max_terms: int = MAX_TERMS) -> Da
 
 def weighted(counts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
     """``(key, term, weight)``: tf·idf over the vocabulary, scaled to unit length per key."""
-    raw = counts.join(F.broadcast(terms.select("term", "idf")), "term").select(
+    raw = counts.join(broadcast_if_small(terms.select("term", "idf")), "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("_w")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
@@ -132,20 +133,30 @@ def query_weights(
 
 
 def similarities(
-    weights: DataFrame, postings: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    weights: DataFrame, postings: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """``(query_id, chunk_id, similarity)`` of all query-chunk combinations that share a term.
 
     The size of the query side is counted before it is broadcast. A larger batch is joined by
-    (term, salt), which spreads a term that occurs in most chunks over ``SALTS`` tasks.
+    (term, salt): a term has a salt for every ``salt_rows`` of its postings, so one that occurs in
+    most chunks is spread over as many tasks as it needs, and a rare one is not copied.
     """
     query = weights.select("query_id", "term", F.col("weight").alias("_qw"))
     if query.limit(broadcast_rows + 1).count() <= broadcast_rows:
         joined = postings.join(F.broadcast(query), "term")
     else:
-        salted = postings.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
-        salts = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
-        copies = query.withColumn("_salt", F.explode(salts))
+        sizes = lookup(
+            postings.groupBy("term").agg(
+                F.ceil(F.count("*") / F.lit(salt_rows)).cast("long").alias("_salts")
+            )
+        )
+        salted = postings.join(sizes, "term").select(
+            *postings.columns, F.pmod(F.xxhash64("chunk_id"), F.col("_salts")).alias("_salt")
+        )
+        copies = query.join(sizes, "term").select(
+            *query.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt")
+        )
         joined = salted.join(copies, ["term", "_salt"])
     return joined.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(F.col("weight") * F.col("_qw")), 6).alias("similarity")

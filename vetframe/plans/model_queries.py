@@ -286,7 +286,16 @@ def fairness_baseline(spark, sf_dir):
     return V.rounded(evaluation.ranking_metrics(modeling.predict(model, lines)))
 
 
-@query("mixed_features")
+@query(
+    "mixed_features",
+    "SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS DOUBLE) AS o_orderdate_year,"
+    " CAST(month(o_orderdate) AS DOUBLE) AS o_orderdate_month, CAST(day(o_orderdate) AS DOUBLE)"
+    " AS o_orderdate_day, CAST(isodow(o_orderdate) - 1 AS DOUBLE) AS o_orderdate_dow,"
+    " CAST(hour(o_orderdate) AS DOUBLE) AS o_orderdate_hour, CAST(1 + 5 + 64 + (SELECT"
+    " count(DISTINCT o_orderpriority) FROM orders) AS INTEGER) AS width, round((o_totalprice -"
+    " (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_samp(o_totalprice) FROM orders), 6)"
+    " AS scaled_price FROM orders",
+)
 def mixed_features(spark, sf_dir):
     from pyspark.ml import Pipeline
 
