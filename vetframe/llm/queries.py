@@ -107,11 +107,36 @@ def license_scan(spark, sf_dir):
 # ---------------------------------------------------------------- 5: passages
 
 
-@query("op5_substring_dedup")
+PASSAGES_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT doc_id, s, md5(array_to_string(ws[s + 1 : s + 20], ' ')) AS k
+    FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 19, 0))) AS s FROM w)
+), again AS (
+    SELECT doc_id, s FROM (
+        SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM s
+    ) WHERE r > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM again
+), words AS (
+    SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w
+), kept AS (
+    SELECT words.doc_id, count(*) AS n_words, count(gone.i) AS n_removed,
+        string_agg(word, ' ' ORDER BY words.i) FILTER (gone.i IS NULL) AS t
+    FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i
+    GROUP BY words.doc_id
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
+@query("op5_substring_dedup", PASSAGES_SQL)
 def substring_dedup(spark, sf_dir):
     return substrings.deduplicate(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"),
-        F.size("factors").cast("long").alias("n_factors"),
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
 
 
