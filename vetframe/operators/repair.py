@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import count_where, nan_to_null, quoted
+from ..functions.columns import COLUMN_BATCH, count_where, nan_to_null, quoted
 from ..functions.ordering import BUFFER_LIMIT
 from .profile import iqr_outliers, missing_values, outlier_fences
 
@@ -48,28 +48,43 @@ def most_common_values(df: DataFrame, columns: Sequence[str]) -> dict[str, objec
     return out
 
 
-def fill_values(df: DataFrame) -> dict[str, object]:
-    """What to put in place of the missing values of each column that has any."""
+def _facts(clean: DataFrame, fences: dict[str, tuple[float, float, float, float]]) -> dict:
+    """Missing values, mean and number of outliers of each column, one pass per column batch."""
+    out = {}
+    fields = clean.schema.fields
+    for lo in range(0, len(fields), COLUMN_BATCH):
+        batch = fields[lo : lo + COLUMN_BATCH]
+
+        def facts(f):
+            c, number = quoted(f.name), is_repairable_number(f.dataType)
+            low, high = fences[f.name][2:] if f.name in fences else (None, None)
+            outside = (c < F.lit(low)) | (c > F.lit(high)) if low is not None else F.lit(False)
+            mean = F.avg(c).cast("double") if number else F.lit(None).cast("double")
+            return F.struct(
+                count_where(c.isNull()).alias("missing"), mean.alias("mean"),
+                count_where(outside).alias("outliers"),
+            )
+
+        row = clean.agg(*[facts(f).alias(f"f{i}") for i, f in enumerate(batch)]).first()
+        out |= {f.name: row[f"f{i}"] for i, f in enumerate(batch)}
+    return out
+
+
+def fill_values(df: DataFrame, facts: dict | None = None) -> dict[str, object]:
+    """What to put in place of the missing values of each column that has any.
+
+    ``facts`` are the columns' missing values and means, if they are known already.
+    """
     clean = nan_to_null(df)
-    row = clean.agg(
-        *[
-            F.struct(
-                count_where(quoted(f.name).isNull()).alias("missing"),
-                F.avg(quoted(f.name)).cast("double").alias("mean")
-                if is_repairable_number(f.dataType)
-                else F.lit(None).cast("double").alias("mean"),
-            ).alias(f"f{i}")
-            for i, f in enumerate(df.schema.fields)
-        ]
-    ).first()
+    facts = _facts(clean, {}) if facts is None else facts
     fills: dict[str, object] = {}
     others = []
-    for i, f in enumerate(df.schema.fields):
-        if row[f"f{i}"]["missing"] == 0:
+    for f in df.schema.fields:
+        if facts[f.name]["missing"] == 0:
             continue
         if is_repairable_number(f.dataType):
-            if row[f"f{i}"]["mean"] is not None:
-                fills[f.name] = float(row[f"f{i}"]["mean"])
+            if facts[f.name]["mean"] is not None:
+                fills[f.name] = float(facts[f.name]["mean"])
         else:
             others.append(f.name)
     common = most_common_values(clean, others)
@@ -132,21 +147,23 @@ class Repair:
 def repair(df: DataFrame, buffer_limit: int = BUFFER_LIMIT) -> Repair:
     """Fill, then clip. The result is one lazy projection over the input.
 
-    Columns are clipped if they had outliers before the fill; the fences are those after it.
+    Columns are clipped if they had outliers before the fill; the fences are those after it. A fill
+    can't move the quartiles of a column without missing values, so those are found once; missing
+    values, means and outliers come from one pass.
     """
-    outliers = iqr_outliers(df, buffer_limit=buffer_limit)
-    dirty = {
-        row["column_name"]
-        for row in outliers.filter("outlier_count > 0").select("column_name").collect()
-    }
-    fills = fill_values(df)
+    first = outlier_fences(df, buffer_limit=buffer_limit)
+    facts = _facts(nan_to_null(df), first)
+    fills = fill_values(df, facts)
     whole = fill_missing(df, fills)
     columns = [
         f.name
         for f in whole.schema.fields
-        if f.name in dirty and is_repairable_number(f.dataType)
+        if facts[f.name]["outliers"] > 0 and is_repairable_number(f.dataType)
     ]
-    fences = outlier_fences(whole, columns, buffer_limit=buffer_limit) if columns else {}
+    moved = [c for c in columns if c in fills]
+    fences = {c: first[c] for c in columns if c not in fills}
+    if moved:
+        fences |= outlier_fences(whole, moved, buffer_limit=buffer_limit)
     return Repair(clip_columns(whole, fences), fills, fences)
 
 

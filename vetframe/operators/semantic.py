@@ -96,21 +96,24 @@ def column_counts(
 ) -> DataFrame:
     """``pattern_counts`` with ``unique_count``.
 
-    An exact distinct count has to shuffle the distinct values anyway, so the patterns are matched
-    after it: once per distinct value, weighted by how often it occurs. The approximate count is a
-    sketch next to the map-side match counts and shuffles nothing but those.
+    Patterns are matched where the values are read, and no value is shuffled: the exact distinct
+    count shuffles 16-byte digests of them (combined in each task first), the approximate one a
+    sketch.
     """
+    cells = _cells(text_frame(df, columns))
     if approximate:
-        sketch = _cells(text_frame(df, columns)).groupBy("column_name").agg(
+        distinct = cells.groupBy("column_name").agg(
             F.approx_count_distinct("value").alias("unique_count")
         )
-        return pattern_counts(df, columns).join(sketch, "column_name")
-    values = (
-        _cells(text_frame(df, columns))
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("weight"))
-    )
-    return _matches(values).withColumnRenamed("_cells", "unique_count")
+    else:
+        digests = cells.filter("value is not null").select(
+            "column_name", F.unhex(F.md5("value")).alias("_digest")
+        )
+        distinct = digests.distinct().groupBy("column_name").agg(
+            F.count("*").alias("unique_count")
+        )
+    counts = pattern_counts(df, columns)
+    return counts.join(distinct, "column_name", "left").na.fill(0, ["unique_count"])
 
 
 def detected_type() -> Column:
