@@ -464,3 +464,12 @@ def test_stages_on_edges(spark, edges, empty):
             step = stage(spark, step, SF)
             assert step.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, step, SF).collect()
+
+
+def test_table_fingerprints_equal_single_ones(spark, documents, edges):
+    """Sums over rows of features give what the expression gives for one text."""
+    df = documents.select("doc_id", "text").unionByName(edges.where("doc_id <> 6").select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text"))
+    df = df.withColumn("other", F.reverse("text"))
+    got = {r.doc_id: (r.fp, r.fp2, r.n_rows) for r in fingerprint.fingerprints(df, ["doc_id"], {"text": "fp", "other": "fp2"}).collect()}
+    want = {r[0]: (r[1], r[2], 1) for r in df.select("doc_id", fingerprint.vector(F.col("text")), fingerprint.vector(F.col("other"))).collect()}
+    assert got == want

@@ -32,21 +32,97 @@ COUNTER_WORDS = 16
 WORDS = 1 + IDENTITY_WORDS + COUNTER_WORDS
 
 
-def vector(text: Column) -> Column:
-    """The fingerprint of a text as an array of ``WORDS`` numbers below 2**48."""
-    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    identity = [_hash_sum(paragraphs, seed) for seed in range(IDENTITY_WORDS)]
+def _paragraphs(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _features(text: Column) -> Column:
+    """Hashes of the word pairs of each paragraph; its last word has no second one."""
     words = F.transform(
-        paragraphs, lambda p: F.filter(F.split(p, "[ \\t\\r\\f\\x0B]+", -1), lambda w: w != "")
+        _paragraphs(text),
+        lambda p: F.filter(F.split(p, "[ \\t\\r\\f\\x0B]+", -1), lambda w: w != ""),
     )
-    # The pair's second word is null at the end of a paragraph.
-    pairs = F.flatten(
+    return F.flatten(
         F.transform(
             words,
-            lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b)),
+            lambda w: F.zip_with(
+                w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b)
+            ),
         )
     )
-    return F.concat(F.array(F.size(pairs).cast("long"), *identity), _counters(pairs))
+
+
+def _identity(text: Column) -> list[Column]:
+    return [_hash_sum(_paragraphs(text), seed) for seed in range(IDENTITY_WORDS)]
+
+
+def vector(text: Column) -> Column:
+    """The fingerprint of a text as an array of ``WORDS`` numbers below 2**48.
+
+    For single texts, such as a paragraph to insert; ``fingerprints`` has the same for a table,
+    with less work for each word.
+    """
+    pairs = _features(text)
+    return F.concat(F.array(F.size(pairs).cast("long"), *_identity(text)), _counters(pairs))
+
+
+def fingerprints(df: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
+    """``keys`` with the fingerprints of some text columns (``texts``: text column -> name).
+
+    Features become rows and are summed up by ``keys`` (which tell the texts apart) right where
+    they are read; a row for each key, text and task is shuffled. Rows with equal keys must have
+    equal texts: they are counted, and come back once with ``n_rows``.
+    """
+    columns = list(texts)
+    # A null feature leads each text: texts without words stay, and the nulls count the rows.
+    tagged = F.concat(
+        *[
+            F.transform(
+                F.concat(F.array(F.lit(None).cast("long")), _features(F.col(c))),
+                _tagged(i),
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    identity = [F.array(*_identity(F.col(c))).alias(f"_id{i}") for i, c in enumerate(columns)]
+    rows = df.select(*keys, *identity, tagged.alias("_tagged"))
+    chosen = F.lit(None).cast("array<long>")
+    for i in range(len(columns)):
+        chosen = F.when(F.col("_f.text") == i, F.col(f"_id{i}")).otherwise(chosen)
+    # Numbers only, so that the sums stay in one compiled loop.
+    spread = rows.select(
+        *keys, *[f"_id{i}" for i in range(len(columns))], F.explode("_tagged").alias("_f")
+    ).select(
+        *keys, F.col("_f.text").alias("_text"), F.col("_f.h").alias("_h"),
+        *[
+            F.when(F.col("_f.h").isNull(), F.element_at(chosen, k + 1)).alias(f"_i{k}")
+            for k in range(IDENTITY_WORDS)
+        ],
+    )
+    sums = [F.count("_h").alias("_n"), (F.count("*") - F.count("_h")).alias("n_rows")]
+    sums += [F.max(f"_i{k}").alias(f"_i{k}") for k in range(IDENTITY_WORDS)]
+    sums += [
+        F.sum(F.shiftright("_h", k).bitwiseAND(F.lit(_COUNTERS))).alias(f"_c{k}")
+        for k in range(COUNTER_WORDS)
+    ]
+    summed = spread.groupBy(*keys, "_text").agg(*sums)
+    words = [F.expr("_n div n_rows")] + [F.col(f"_i{k}") for k in range(IDENTITY_WORDS)]
+    words += [
+        F.expr(f"(coalesce(_c{k}, 0L) div n_rows) & {WORD_MASK}L") for k in range(COUNTER_WORDS)
+    ]
+    by_text = summed.select(*keys, "_text", "n_rows", F.array(*words).alias("_fp"))
+    # One row for each key and text is left: they meet in one row for each key.
+    return by_text.groupBy(*keys).agg(
+        F.max("n_rows").alias("n_rows"),
+        *[
+            F.max(F.when(F.col("_text") == i, F.col("_fp"))).alias(name)
+            for i, name in enumerate(texts.values())
+        ],
+    )
+
+
+def _tagged(i: int):
+    return lambda h: F.struct(F.lit(i).alias("text"), h.alias("h"))
 
 
 def _hash_sum(paragraphs: Column, seed: int) -> Column:
@@ -164,15 +240,13 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the text, of its edited text, and of the next document."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     after = following(docs)
-    both = stored(
-        edited(docs, after).select(
-            "doc_id", F.length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-            vector(F.col("text")).alias("fp"), vector(F.col("edited")).alias("edited_fp"),
-            F.xxhash64("text").alias("_hash"),
-        ),
-        "vectors",
+    rows = edited(docs, after).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.xxhash64("text").alias("_hash"),
+        "text", "edited",
     )
+    keys = ["doc_id", "n_chars", "edited_sha256", "_hash"]
+    both = stored(fingerprints(rows, keys, {"text": "fp", "edited": "edited_fp"}), "vectors")
     # Of several rows with the next id, any one serves; the choice is the same each time.
     first = both.groupBy(F.col("doc_id").alias("_id")).agg(
         F.min(F.struct("_hash", "fp")).alias("_first")
@@ -180,4 +254,9 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nexts = after.join(first, null_safe(after, first, {"next_id": "_id"})).select(
         F.col("id").alias("_for"), F.col("_first.fp").alias("next_fp")
     )
-    return both.join(nexts, null_safe(both, nexts, {"doc_id": "_for"}), "left").drop("_for", "_hash")
+    # Rows that are wholly equal were counted as one.
+    found = both.join(nexts, null_safe(both, nexts, {"doc_id": "_for"}), "left")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp", copies.alias("_copy")
+    ).drop("_copy")
