@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import global_row_number
-from .base import null_safe, stored
+from .base import stored
 
 WORD_MASK = (1 << 48) - 1
 #: Bits 0, 16 and 32: the lowest of three counters.
@@ -194,13 +194,17 @@ def as_text(fingerprint: Column) -> Column:
     )
 
 
+#: Stands for a null id, so that joins are plain equalities and keep their partitioning.
+_LOWEST = -(1 << 63)
+
+
 def following(docs: DataFrame) -> DataFrame:
-    """``(id, next_id, need)``: the next smaller id of each id (after the smallest, the largest;
-    null is the smallest), and half the length of the id's longest text."""
-    ids = docs.groupBy(F.col("doc_id").alias("id")).agg(
+    """``(id, next_id, need)``: the next smaller id of each id of ``docs`` (doc, text), after the
+    smallest the largest, and half the length of the id's longest text."""
+    ids = docs.groupBy(F.col("doc").alias("id")).agg(
         F.max(F.floor(F.coalesce(F.length("text"), F.lit(0)) / 2)).cast("int").alias("need")
     )
-    placed = stored(global_row_number(ids, [F.col("id").desc_nulls_last()], "rn"), "placed")
+    placed = stored(global_row_number(ids, [F.col("id").desc()], "rn"), "placed")
     last = placed.agg(F.max("rn")).first()[0]
     after = placed.select(F.col("id").alias("next_id"), F.col("rn").alias("_rn"))
     return stored(
@@ -213,20 +217,17 @@ def following(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, after: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``edited``: the last half of each text replaced by as much of
+    """``docs`` (doc, text) with ``edited``: the last half of each text replaced by as much of
     the beginning of the next document (of several rows with that id, the smallest text's)."""
-    heads = docs.join(
-        after.withColumnRenamed("id", "_for"), F.col("doc_id").eqNullSafe(F.col("next_id"))
-    )
-    heads = heads.groupBy("_for").agg(
+    heads = docs.join(after, F.col("doc") == F.col("next_id")).groupBy(F.col("id").alias("_for")).agg(
         F.min(F.coalesce(F.col("text").substr(F.lit(1), F.col("need")), F.lit(""))).alias("_head")
     )
     half = F.floor(F.length("text") / 2).cast("int")
     return (
-        docs.join(heads, null_safe(docs, heads, {"doc_id": "_for"}), "left")
+        docs.join(heads, F.col("doc") == F.col("_for"), "left")
         .withColumn("text", F.coalesce("text", F.lit("")))
         .select(
-            "doc_id", "text",
+            "doc", "text",
             F.concat(
                 F.col("text").substr(F.lit(1), F.length("text") - half),
                 F.coalesce("_head", F.lit("")).substr(F.lit(1), half),
@@ -237,26 +238,33 @@ def edited(docs: DataFrame, after: DataFrame) -> DataFrame:
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp)`` for every row: fingerprints of
-    the text, of its edited text, and of the next document."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    the text, of its edited text, and of the next document.
+
+    Ids are integers; null comes before all others, and the lowest 64-bit number reads as null.
+    """
+    docs = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc"),
+        F.col(text_col).alias("text"),
+    )
     after = following(docs)
     rows = edited(docs, after).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.xxhash64("text").alias("_hash"),
+        "doc", F.length("text").cast("long").alias("n_chars"),
+        F.unhex(F.sha2(F.col("edited"), 256)).alias("_sha"), F.xxhash64("text").alias("_hash"),
         "text", "edited",
     )
-    keys = ["doc_id", "n_chars", "edited_sha256", "_hash"]
+    keys = ["doc", "n_chars", "_sha", "_hash"]
     both = stored(fingerprints(rows, keys, {"text": "fp", "edited": "edited_fp"}), "vectors")
     # Of several rows with the next id, any one serves; the choice is the same each time.
-    first = both.groupBy(F.col("doc_id").alias("_id")).agg(
+    first = both.groupBy(F.col("doc").alias("next_id")).agg(
         F.min(F.struct("_hash", "fp")).alias("_first")
     )
-    nexts = after.join(first, null_safe(after, first, {"next_id": "_id"})).select(
-        F.col("id").alias("_for"), F.col("_first.fp").alias("next_fp")
+    nexts = after.join(first, "next_id").select(
+        F.col("id").alias("doc"), F.col("_first.fp").alias("next_fp")
     )
     # Rows that are wholly equal were counted as one.
-    found = both.join(nexts, null_safe(both, nexts, {"doc_id": "_for"}), "left")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))
-    return found.select(
-        "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp", copies.alias("_copy")
+    return both.join(nexts, "doc", "left").select(
+        F.when(F.col("doc") != _LOWEST, F.col("doc")).alias("doc_id"), "n_chars",
+        F.lower(F.hex("_sha")).alias("edited_sha256"), "fp", "edited_fp", "next_fp",
+        copies.alias("_copy"),
     ).drop("_copy")
