@@ -133,6 +133,9 @@ def drop_shared_lines(
     are, joined by line feeds; a null text becomes an empty one.
     """
     suspects, shared = shared_lines(docs, min_documents, id_col, text_col, max_bits)
+    # Stored, so that the join below has two plain sides, and a key of very many documents is cut
+    # into several tasks.
+    shared = stored(shared, "shared")
     # The line that stays, for the document that has the first occurrence.
     stays = F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.col("first_line"))
     drops = (
