@@ -183,6 +183,9 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("_least"))
         .alias("component_id"),
     )
+    # Stored, so that the join has two plain sides, and a fingerprint of very many copies is cut
+    # into several tasks.
+    smallest = stored(smallest, "smallest")
     return prints.join(smallest, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
