@@ -336,6 +336,21 @@ def test_equal_texts_and_likeness(spark, documents):
     assert better >= 0.95 * len(long_ones)
 
 
+def test_likeness_of_long_texts(spark):
+    """Counters beyond 16 bits: unlike texts stay apart, a text with few changes stays near."""
+    rng = random.Random(12)
+    some, other = ([f"w{rng.randrange(10**6)}" for _ in range(160_000)] for _ in range(2))
+    changed = [w if k % 100 else "changed" for k, w in enumerate(some)]
+    texts = [" ".join(t) for t in (some, other, changed, some[:20_000])] + ["one more line\n" * 70_000, "some other words\n" * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r.k: r.fp for r in fingerprint.fingerprints(df, ["k"], {"text": "fp"}).collect()}
+    single = df.where("k = 4").select(fingerprint.vector(F.col("text"))).first()[0]
+    assert got[4] == single and max(single[5:]) == 210_000
+    pairs = spark.createDataFrame([(got[a], got[b]) for a, b in ((0, 1), (0, 2), (0, 3), (4, 5))], "a array<long>, b array<long>")
+    unlike, near, part, lines = (r[0] for r in pairs.select(fingerprint.likeness(F.col("a"), F.col("b"))).collect())
+    assert unlike < 0.5 and near > 0.9 and 0.1 < part < 0.7 and lines < 0.9
+
+
 def test_fingerprints_of_edges(spark, edges, empty):
     assert fingerprint.compare(edges).count() == edges.count()
     assert fingerprint.compare(empty).count() == 0

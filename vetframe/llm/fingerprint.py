@@ -5,15 +5,15 @@ paragraphs' vectors modulo 2**48 in every word. Sums don't depend on the order,
 same paragraphs in any order have equal fingerprints, and a paragraph is inserted or deleted by
 adding or subtracting its vector (``insert``, ``delete``) without the rest of the text.
 
-A vector has 21 words of 48 bits:
+A vector has 53 words of 48 bits:
 
 * word 0: the number of features of the paragraph (its word pairs, the last word standing alone);
 * words 1 to 4: four independent hashes of the paragraph. Their sums tell texts apart;
-* words 5 to 20: three counters of 16 bits each, 48 in all. A feature's hash has 48 bits, and each
-  adds to one counter, so the counters show how alike two texts are (``likeness``): the cosine of
-  the counters around their mean, which is near 0 for texts that share no features.
+* words 5 to 52: one counter each, 48 in all. Of a feature's hash 48 bits are taken, and each adds
+  to one counter, so the counters show how alike two texts are (``likeness``): the cosine of the
+  counters around their mean, which is near 0 for texts that share no features. A counter has a
+  word of its own, so no text that fits a string is long enough to overflow it.
 
-A counter past 65,535 carries into its neighbour; sums stay homomorphic, and equal texts equal.
 DataFrame functions only. A null text is an empty one, which is one empty paragraph.
 """
 
@@ -25,10 +25,8 @@ from ..functions.ordering import global_row_number
 from .base import stored
 
 WORD_MASK = (1 << 48) - 1
-#: Bits 0, 16 and 32: the lowest of three counters.
-_COUNTERS = 1 | 1 << 16 | 1 << 32
 IDENTITY_WORDS = 4
-COUNTER_WORDS = 16
+COUNTER_WORDS = 48
 WORDS = 1 + IDENTITY_WORDS + COUNTER_WORDS
 
 
@@ -102,7 +100,7 @@ def fingerprints(df: DataFrame, keys: list[str], texts: dict[str, str]) -> DataF
     sums = [F.count("_h").alias("_n"), (F.count("*") - F.count("_h")).alias("n_rows")]
     sums += [F.max(f"_i{k}").alias(f"_i{k}") for k in range(IDENTITY_WORDS)]
     sums += [
-        F.sum(F.shiftright("_h", k).bitwiseAND(F.lit(_COUNTERS))).alias(f"_c{k}")
+        F.sum(F.shiftright("_h", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"_c{k}")
         for k in range(COUNTER_WORDS)
     ]
     summed = spread.groupBy(*keys, "_text").agg(*sums)
@@ -134,12 +132,12 @@ def _hash_sum(paragraphs: Column, seed: int) -> Column:
 
 
 def _counters(pairs: Column) -> Column:
-    """The bits of all hashes, counted in three counters a word."""
+    """The bits of all hashes, counted in one counter a word."""
 
     def add(s, h):
         fields = []
         for k in range(COUNTER_WORDS):
-            one = F.shiftright(h, k).bitwiseAND(F.lit(_COUNTERS))
+            one = F.shiftright(h, k).bitwiseAND(F.lit(1).cast("long"))
             fields.append((s[f"c{k}"] + one).bitwiseAND(F.lit(WORD_MASK)).alias(f"c{k}"))
         return F.struct(*fields)
 
@@ -162,15 +160,8 @@ def delete(fingerprint: Column, other: Column) -> Column:
 def _centred(fingerprint: Column) -> Column:
     """Twice each counter less the number of features, as an array of 48 numbers."""
     n = F.element_at(fingerprint, 1)
-    words = F.slice(fingerprint, 2 + IDENTITY_WORDS, COUNTER_WORDS)
-    return F.flatten(
-        F.transform(
-            words,
-            lambda w: F.array(
-                *[(2 * F.shiftright(w, 16 * i).bitwiseAND(F.lit(0xFFFF)) - n).cast("double") for i in range(3)]
-            ),
-        )
-    )
+    counters = F.slice(fingerprint, 2 + IDENTITY_WORDS, COUNTER_WORDS)
+    return F.transform(counters, lambda w: (2 * w - n).cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
