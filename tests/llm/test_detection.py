@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -316,6 +317,15 @@ def test_sums_do_not_depend_on_order(spark):
     assert a == b and a != c and a != d and all(0 <= w < 1 << 48 for w in a)
 
 
+def test_every_identity_word_hashes_the_paragraph_itself(spark):
+    seeds = spark.range(1).select(*[F.xxhash64(F.lit(k)) for k in range(fingerprint.IDENTITY_WORDS)]).first()
+    lines = ["one two", "", "drei Wörter hier"]
+    want = [
+        sum(xxhash.xxh64_intdigest(t.encode(), seed=s % (1 << 64)) for t in lines) & fingerprint.WORD_MASK for s in seeds
+    ]
+    assert vectors(spark, "\n".join(lines))[0][1 : 1 + fingerprint.IDENTITY_WORDS] == want
+
+
 def test_insert_and_delete(spark):
     whole, part, line = vectors(spark, "one two\nthree\nfour five", "one two\nfour five", "three")
     df = spark.createDataFrame([(whole, part, line)], "w array<long>, p array<long>, l array<long>")

@@ -8,7 +8,7 @@ adding or subtracting its vector (``insert``, ``delete``) without the rest of th
 A vector has 53 words of 48 bits:
 
 * word 0: the number of features of the paragraph (its word pairs, the last word standing alone);
-* words 1 to 4: four independent hashes of the paragraph. Their sums tell texts apart;
+* words 1 to 4: four hashes of the paragraph, each from another state. Their sums tell texts apart;
 * words 5 to 52: one counter each, 48 in all. Of a feature's hash 48 bits are taken, and each adds
   to one counter, so the counters show how alike two texts are (``likeness``): the cosine of the
   counters around their mean, which is near 0 for texts that share no features. A counter has a
@@ -125,7 +125,8 @@ def _tagged(i: int):
 
 def _hash_sum(paragraphs: Column, seed: int) -> Column:
     def add(total, paragraph):
-        one = F.xxhash64(paragraph, F.lit(seed)).bitwiseAND(F.lit(WORD_MASK))
+        # The seed comes first: the paragraph itself is hashed from the state that it leaves.
+        one = F.xxhash64(F.lit(seed), paragraph).bitwiseAND(F.lit(WORD_MASK))
         return (total + one).bitwiseAND(F.lit(WORD_MASK))
 
     return F.aggregate(paragraphs, F.lit(0).cast("long"), add)
