@@ -149,6 +149,25 @@ def test_similar_branches_merge(spark):
     assert branch["a"] == branch["b"] != branch["c"]
 
 
+def test_few_blocked_rows_do_not_condemn_other_sections(spark):
+    sizes = {"fr": 30, "de": 9, "en": 20, "es": 5}
+    rows = [f"http://a.example.com/{name}/{k}" for name, n in sizes.items() for k in range(n)]
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), queries.URL_RULES).collect()
+    verdicts = {name: {r.verdict for r in got if r.path.startswith(f"/{name}/")} for name in sizes}
+    assert verdicts == {"fr": {"allow"}, "de": {"block"}, "en": {"allow"}, "es": {"allow"}}
+
+
+def test_bad_section_among_many_and_deep_sections(spark):
+    rows = [("h", f"/s{s}/{k}", int(s == 17) if k < 20 else None) for s in range(30) for k in range(25)]
+    deep = "/1/2/3/4/5/6/7/8/9"
+    rows += [("d", f"{deep}/{name}/{k}", bad if k else None) for name, bad in (("bad", 1), ("good", 0)) for k in range(20)]
+    paths = urls.templates(spark.createDataFrame(rows, "host string, path string, bad int"))
+    judged = paths.join(urls.purities(paths), ["host", "steps"]).collect()
+    assert len(judged) == len(rows)
+    blocked = {(r.host, "/".join(r.segments[:-1])) for r in judged if r.purity >= urls.PURITY}
+    assert blocked == {("h", "s17"), ("d", f"{deep[1:]}/bad")}
+
+
 def test_urls_of_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
