@@ -214,6 +214,30 @@ def test_notices_and_spans(spark):
     assert [r.license for r in got[4]] == ["CC-BY-NC-4.0"] and len(got[7]) == 3
 
 
+def test_one_edit_at_each_place_equals_plain_alignment():
+    """A word changed, left out or come in, at each place of each template of 16 words at most."""
+    templates = licenses.TEMPLATES | {"four": "all rights reserved here", "six": "use at your own risk only"}
+    index = licenses.Index(templates)
+    n_found = 0
+    for name, text in templates.items():
+        words = text.lower().replace(",", "").split()
+        if len(words) > 16:
+            continue
+        t = index.names.index(name)
+        for i in range(len(words)):
+            for edited in (["other"], [], ["other", words[i]]):
+                changed = licenses.hashes(" ".join(["x", "y", *words[:i], *edited, *words[i + 1 :], "z"]))
+                equal = longest_common(index.words[t].tolist(), changed.tolist())
+                got = [(r[0], r[2]) for r in licenses.notices(changed, index)]
+                if equal >= licenses.COVERAGE * len(index.words[t]):
+                    n_found += 1
+                    # Another template may cover as many words.
+                    assert (t, equal) in got or any(n >= equal for _, n in got), (name, i, edited)
+                else:
+                    assert t not in [r[0] for r in got]
+    assert n_found > 150
+
+
 def test_notices_of_the_table(spark, documents, edges, empty):
     got = {(r.doc_id, r.license) for r in licenses.scan(documents).collect()}
     names = ("MIT", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0")

@@ -2,13 +2,15 @@
 
 Templates are word sequences (letters and digits in lower case). Of every ``WINDOW`` consecutive
 ``GRAM``-word hashes of a template the smallest is a fingerprint, so any ``GRAM + WINDOW - 1`` words
-in common share one. An inverted index leads from fingerprints to templates and places in them.
+in common share one. Where the words that ``COVERAGE`` lets change and the words that the band lets
+come in can leave fewer in a row (``unbroken``), every gram is a fingerprint, of as many words as
+stay in a row (``GRAM`` at most), so no notice lacks one. An inverted index leads from fingerprints to templates and places in them.
 Fingerprints found in a document pair a template with a diagonal (place in the document less place
-in the template); neighbouring diagonals make one candidate, which is aligned with its stretch of
-the document inside a band around the diagonal: equal words count, gaps and replaced words don't. A
-candidate that covers ``COVERAGE`` of its template is reported with its share and span. Of reports
+in the template); each diagonal whose stretch of the document holds enough of the template's
+words, in any order, is a candidate, which is aligned with that stretch inside a band around the
+diagonal: equal words count, gaps and replaced words don't. A candidate that covers ``COVERAGE`` of its template is reported with its share and span. Of reports
 that overlap, the one with more equal words stays, then the one with the higher share, then the
-template listed first.
+template listed first, then the one with the shorter span.
 
 The templates are a parameter of the caller; their number is checked against ``MAX_WORDS`` before
 the index is sent to the executors.
@@ -19,7 +21,10 @@ row; repeated rows give repeated results; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -91,19 +96,33 @@ def winnow(grams: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(places)
 
 
+def band_of(n: int) -> int:
+    """A short notice gets a narrow band, or the next copy of it would lie inside."""
+    return min(BAND, n // 3)
+
+
+def unbroken(n: int, coverage: float) -> int:
+    """Words in a row that any notice of a template of ``n`` words keeps, if it covers
+    ``coverage`` and no more words come in than the band is wide."""
+    equal = max(1, math.ceil(coverage * n - 1e-9))
+    return -(-equal // (n - equal + band_of(n) + 1))
+
+
 class Index:
     """Templates and the inverted index of their fingerprints."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         self.names = list(templates)
         self.words = [hashes(t) for t in templates.values()]
         n = sum(map(len, self.words))
         if n > MAX_WORDS:
             raise ValueError(f"templates have {n} words; the index is sent to all executors")
+        self.grams = [max(1, min(GRAM, unbroken(len(w), coverage))) for w in self.words]
         self.places: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
-            grams = run_hashes(words, min(GRAM, max(1, len(words))))
-            for at in winnow(grams):
+            grams = run_hashes(words, self.grams[t])
+            long = unbroken(len(words), coverage) >= GRAM + WINDOW - 1
+            for at in winnow(grams) if long else range(len(grams)):
                 self.places.setdefault(int(grams[at]), []).append((t, at))
         self.known = np.array(sorted(self.places), dtype=np.uint64)
 
@@ -136,7 +155,7 @@ def align(template: list[int], words: list[int], diagonal: int, band: int = BAND
 def notices(words: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[tuple]:
     """``(template number, share, equal, first, last)`` of a document's words, in order."""
     found: dict[int, dict[int, int]] = {}
-    for k in {min(GRAM, max(1, len(w))) for w in index.words}:
+    for k in set(index.grams):
         grams = run_hashes(words, k)
         if not len(grams):
             continue
@@ -144,28 +163,28 @@ def notices(words: np.ndarray, index: Index, coverage: float = COVERAGE) -> list
         at[at == len(index.known)] = 0
         for j in np.flatnonzero(index.known[at] == grams).tolist():
             for t, i in index.places[int(grams[j])]:
-                if min(GRAM, len(index.words[t])) == k:
+                if index.grams[t] == k:
                     found.setdefault(t, {})[j - i] = j
     reports = []
     for t, diagonals in found.items():
         template = index.words[t].tolist()
-        # A short notice gets a narrow band, or the next copy of it would lie inside.
-        band = min(BAND, len(template) // 3)
-        last = None
+        band, own = band_of(len(template)), Counter(template)
         for d in sorted(diagonals):
-            if last is not None and d - last <= band // 2:
-                continue  # inside the band of the diagonal before
-            last = d
             lo, hi = max(0, d - band), min(len(words), d + len(template) + band)
-            equal, first, end = align(template, words[lo:hi].tolist(), d - lo, band)
-            if equal >= coverage * len(template):
+            stretch = words[lo:hi].tolist()
+            held = Counter(w for w in stretch if w in own)
+            if sum(min(n, own[w]) for w, n in held.items()) < coverage * len(template) - 1e-9:
+                continue
+            equal, first, end = align(template, stretch, d - lo, band)
+            if equal >= coverage * len(template) - 1e-9:
                 reports.append((t, equal / len(template), equal, first + lo, end + lo))
-    reports.sort(key=lambda r: (-r[2], -r[1], r[0], r[3]))
+    reports.sort(key=lambda r: (-r[2], -r[1], r[0], r[4] - r[3], r[3]))
     kept: list[tuple] = []
     for r in reports:
-        if all(r[4] < k[3] or r[3] > k[4] for k in kept):
-            kept.append(r)
-    return sorted(kept, key=lambda r: r[3])
+        at = bisect(kept, r[3], key=lambda k: k[3])
+        if (not at or kept[at - 1][4] < r[3]) and (at == len(kept) or r[4] < kept[at][3]):
+            kept.insert(at, r)
+    return kept
 
 
 _FOUND = pa.schema(
@@ -185,11 +204,11 @@ def scan(
     that they cover, and their spans in code points (end exclusive)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = slim.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(Index(templates))
+    sent = docs.sparkSession.sparkContext.broadcast(Index(templates, coverage))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        lengths = {min(GRAM, max(1, len(w))) for w in index.words}
+        lengths = set(index.grams)
         for batch in batches:
             owners: list[int] = []
             rows: dict[str, list] = {f.name: [] for f in _FOUND}
