@@ -298,6 +298,37 @@ def test_matches_equal_brute_force(spark):
     assert len(want) >= 15
 
 
+def test_items_cut_by_all_that_the_similarity_allows_are_found(monkeypatch):
+    rng = np.random.default_rng(11)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    cuts = [(50, 5), (100, 10), (200, 21)]
+    items = [(k, draw(cuts[k % 3][0])) for k in range(1500)]
+    index = decontamination.Items(items, 5, decontamination.RADIUS)
+    found = {}
+    for k, words in items:
+        size, cut = cuts[k % 3]
+        doc = np.concatenate([draw(30), words[: size - cut], draw(cut), draw(30)])
+        got = decontamination._matches(doc, index, 5, 0.8)
+        shared = size - cut - 4
+        assert shared / (2 * (size - 4) - shared) >= 0.8
+        # The first window that holds all that is left.
+        found[k] = k in got and got[k][1] == 30 - cut and round(got[k][0], 9) == round(shared / (2 * (size - 4) - shared), 9)
+    assert sum(found.values()) == len(items)
+    # Items that share passages, and few pairs at a time: as an exact comparison of all windows.
+    part = draw(40)
+    items = [(k, np.concatenate([part[: 30 + k % 9], draw(10 - k % 9)])) for k in range(40)]
+    doc = np.concatenate([draw(5), part, part[:37], draw(7)] * 3)
+    monkeypatch.setattr(decontamination, "PAIRS", 100)
+    index = decontamination.Items(items, 5, decontamination.RADIUS)
+    grams = wordhash.run_hashes(doc, 5)
+    want = {}
+    for n, (_, w) in enumerate(items):
+        scores = [decontamination.similarity(Counter(grams[s : s + 36].tolist()), index.counts[n]) for s in range(len(doc) - 39)]
+        if max(scores) >= 0.8:
+            want[n] = (max(scores), scores.index(max(scores)), 40)
+    assert decontamination._matches(doc, index, 5, 0.8) == want and len(want) > 10
+
+
 def test_tables_hold_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(4)
     items = [(k, rng.integers(0, 1 << 63, 12, dtype=np.uint64)) for k in range(300)]

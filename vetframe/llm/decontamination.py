@@ -6,13 +6,16 @@ item if some window of as many words as the item has (or the whole document, if
 reaches a weighted shingle similarity of ``SIMILARITY``: the sum of the smaller over the sum of the
 larger counts of all shingles.
 
-Search. A window that can reach the similarity shares a known share of its shingles with the
-items, so windows without them are passed over; this loses nothing. Every other window gets a
-64-bit SimHash of its words. The items' SimHashes stand in eight tables by their bytes: two
-fingerprints within ``RADIUS`` = 15 bits differ by one bit at most in some byte, so looking up
-each byte and its eight neighbours finds all items within the radius. Those are checked exactly.
-With 0.8 of the shingles of five words shared, nine tenths of the words and more are the same, and
-fingerprints of words stay far inside the radius.
+Search. A window that can reach the similarity shares a known number of shingles with the item.
+Windows that don't share as many with all items together are passed over; for the others, an
+inverted index from shingles to items counts what each window shares with each item, and the pairs
+that share enough are checked exactly. No step loses anything.
+
+A caller may ask for a SimHash of the windows' words besides (``radius``): then only items within so
+many of its 64 bits are checked. The items' SimHashes stand in eight tables by their bytes: two
+fingerprints within 15 bits differ by one bit at most in some byte, so looking up each byte and its
+eight neighbours finds all items within the radius. The similarity doesn't bound the radius: at the
+limit of 0.8, about one window of a hundred lies beyond 15 bits.
 
 Items are read in blocks of ``BLOCK_ITEMS`` items; a block is what a job broadcasts, so its size
 has a bound, and each block goes over all documents.
@@ -35,13 +38,16 @@ from .wordhash import ALPHANUMERIC, run_hashes, spans, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Bits that differ at most; below 16, a byte of the eight differs in one bit at most.
-RADIUS = 15
+#: Bits that differ at most; below 16, a byte of the eight differs in one bit at most. None: no
+#: SimHash, as one would lose windows.
+RADIUS = None
 #: Items of a block, and their words at most (a longer item makes a block of its own).
 BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 4_000_000
 #: Sign rows that are summed up at a time.
 STRIP = 1 << 14
+#: Pairs of a place and an item that are counted at a time; more if one window has more.
+PAIRS = 1 << 20
 
 
 def text_words(text: str | None) -> np.ndarray:
@@ -72,14 +78,13 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Items:
-    """A block of benchmark items: shingles, fingerprints and their tables."""
+    """A block of benchmark items: shingles with their items; fingerprints and their tables if
+    there is a radius."""
 
-    def __init__(self, items: list[tuple[object, np.ndarray]], shingle: int, radius: int):
+    def __init__(self, items: list[tuple[object, np.ndarray]], shingle: int, radius: int | None):
         self.shingle, self.radius = shingle, radius
         self.ids = [i for i, _ in items]
         self.sizes = np.array([len(w) for _, w in items], dtype=np.int64)
-        prints = [packed(signs(w).sum(axis=0, keepdims=True))[0] for _, w in items]
-        self.prints = np.array(prints, dtype=np.uint64)
         #: By shingle length (five, or fewer for short items): item numbers, sorted shingles.
         self.by_length: dict[int, tuple[list[int], np.ndarray]] = {}
         self.counts: list[Counter] = []
@@ -92,6 +97,22 @@ class Items:
             self.by_length.setdefault(k, ([], None))[0].append(n)
         for k, hs in held.items():
             self.by_length[k] = (self.by_length[k][0], np.unique(np.concatenate(hs)))
+        #: By item size: sorted shingles, where the items of each begin, item numbers.
+        self.holders: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.sizes).tolist():
+            numbers = np.flatnonzero(self.sizes == size)
+            own = [np.array(list(self.counts[n]), dtype=np.uint64) for n in numbers.tolist()]
+            grams = np.concatenate(own)
+            order = np.argsort(grams, kind="stable")
+            known, first = np.unique(grams[order], return_index=True)
+            self.holders[size] = (
+                known, np.append(first, len(grams)),
+                np.repeat(numbers, [len(g) for g in own])[order],
+            )
+        if radius is None:
+            return
+        prints = [packed(signs(w).sum(axis=0, keepdims=True))[0] for _, w in items]
+        self.prints = np.array(prints, dtype=np.uint64)
         self.tables = []
         for byte in range(8):
             values = (self.prints >> np.uint64(8 * byte)).astype(np.uint8)
@@ -125,7 +146,6 @@ def _matches(words: np.ndarray, items: Items, k: int, least: float) -> dict[int,
     before = np.zeros(len(hit) + 1, dtype=np.int64)
     np.cumsum(hit, out=before[1:])
     best: dict[int, tuple] = {}
-    wanted = set(numbers)
     for size in np.unique(items.sizes[numbers]).tolist():
         window = min(size, len(words))
         m = window - k + 1
@@ -139,22 +159,64 @@ def _matches(words: np.ndarray, items: Items, k: int, least: float) -> dict[int,
         starts = np.flatnonzero(shared >= need)
         if not len(starts):
             continue
-        prints = window_prints(words, starts, window)
-        last: tuple[int, np.ndarray] | None = None
-        for s, p in zip(starts.tolist(), prints.tolist()):
-            if last is None or last[0] != p:
-                last = (p, items.near(p))
-            near = [n for n in last[1].tolist() if n in wanted and items.sizes[n] == size]
-            if not near:
+        if items.radius is None:
+            pairs = _sharing(grams, starts, m, items.holders[size], need)
+        else:
+            pairs = _near(words, starts, window, items, size)
+        for s, n in pairs:
+            if n in best and best[n][0] == 1.0:
                 continue
-            counts = Counter(grams[s : s + m].tolist())
-            for n in near:
-                x = similarity(counts, items.counts[n])
-                if x >= least and (n not in best or x > best[n][0]):
-                    best[n] = (x, s, window)
+            x = similarity(Counter(grams[s : s + m].tolist()), items.counts[n])
+            if x >= least and (n not in best or x > best[n][0]):
+                best[n] = (x, s, window)
     return best
 
 
+def _sharing(
+    grams: np.ndarray, starts: np.ndarray, m: int, holders: tuple, need: float
+) -> Iterator[tuple[int, int]]:
+    """``(start, item number)``, by ascending starts for each item: windows of ``m`` shingles at
+    ascending ``starts``, of which ``need`` or more are the item's."""
+    known, first, numbers = holders
+    at = np.searchsorted(known, grams)
+    at[at == len(known)] = 0
+    n_items = np.where(known[at] == grams, first[at + 1] - first[at], 0)
+    upto = np.concatenate([[0], np.cumsum(n_items)])
+    lo = 0
+    while lo < len(starts):
+        begin = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(upto[starts + m], upto[begin] + PAIRS, side="right")))
+        windows = starts[lo:hi]
+        places = begin + np.flatnonzero(n_items[begin : int(windows[-1]) + m])
+        times = n_items[places]
+        # Row by row, the items of the shingle at each place.
+        rows = np.arange(times.sum()) + np.repeat(first[at[places]] - np.cumsum(times) + times, times)
+        who, where = numbers[rows], np.repeat(places, times)
+        order = np.argsort(who, kind="stable")
+        who, where = who[order], where[order]
+        found, begins, counts = np.unique(who, return_index=True, return_counts=True)
+        for i in np.flatnonzero(counts >= need).tolist():
+            own = where[begins[i] : begins[i] + counts[i]]
+            shared = np.searchsorted(own, windows + m) - np.searchsorted(own, windows)
+            for s in windows[shared >= need].tolist():
+                yield s, int(found[i])
+        lo = hi
+
+
+def _near(
+    words: np.ndarray, starts: np.ndarray, window: int, items: Items, size: int
+) -> Iterator[tuple[int, int]]:
+    """``(start, item number)``: windows with a SimHash within the radius of an item's of ``size``."""
+    prints = window_prints(words, starts, window)
+    last: tuple[int, np.ndarray] | None = None
+    for s, p in zip(starts.tolist(), prints.tolist()):
+        if last is None or last[0] != p:
+            last = (p, items.near(p))
+        for n in last[1].tolist():
+            if items.sizes[n] == size:
+                yield s, n
+
+
 def window_prints(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """SimHashes of the windows of ``size`` words at ascending ``starts``, strip by strip."""
     out = np.empty(len(starts), dtype=np.uint64)
@@ -171,7 +233,7 @@ def window_prints(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
     return out
 
 
-def blocks(benchmark: DataFrame, shingle: int, radius: int) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, shingle: int, radius: int | None) -> Iterator[Items]:
     """The benchmark's items in blocks of bounded size, one at a time on the driver."""
     held: list = []
     n_words = 0
@@ -199,13 +261,13 @@ def matches(
     benchmark: DataFrame,
     least: float = SIMILARITY,
     shingle: int = SHINGLE_WORDS,
-    radius: int = RADIUS,
+    radius: int | None = RADIUS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``(doc_id, item_id, similarity, start, n_words)``: the most similar window of each document
     for every item it holds; ``start`` counts words from 0."""
-    if radius > 15:
+    if radius is not None and radius > 15:
         raise ValueError("eight tables with one differing bit each guarantee a radius of 15 at most")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
