@@ -64,6 +64,18 @@ def test_without_labels(spark, edges):
     assert found.weights == {} and 0 < found.value(10, 0.0) < 0.7
 
 
+def test_sample_keeps_texts_that_share_a_passage(spark):
+    passage = " ".join(f"shared{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200))
+    own = lambda k: " ".join(f"own{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(100))
+    docs = [(k, f"{passage} {own(k)}") for k in range(40)]
+    docs += [(100, "The same words in two cases here"), (101, "the SAME words in two cases here"), (102, "the same words in two cases here")]
+    labels = [(k, k % 2) for k in range(40)] + [(100, 0), (101, 0), (102, 1)]
+    got = toxicity.training_sample(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")
+    ).collect()
+    assert Counter(map(tuple, got)) == Counter((t, dict(labels)[i]) for i, t in docs if i != 101)
+
+
 def test_terms_are_no_parts_of_each_other():
     rows = [(" scum", 50, 0, 90.0), (" scu", 50, 0, 90.0), (" scum ", 50, 0, 90.0), (" mor", 30, 9, 40.0), (" moron", 30, 0, 60.0)]
     assert set(toxicity.choose_terms(rows, 100, 100)) == {" scum", " moron"}

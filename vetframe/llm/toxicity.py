@@ -7,7 +7,9 @@ look-alike letters of other scripts and digits or signs used as letters replaced
 one class), invisible characters removed, everything else that is no letter a space.
 
 Learning. The labelled rows are a bounded sample (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, by hash of
-the id; the lexicon needs no more), near copies of each other counted once. Entries are word
+the id; the lexicon needs no more), near copies with the same label counted once. Near copies are
+texts whose ``KEY_HASHES`` smallest shingle hashes are the same; a passage or line in common is not
+enough, and of each group the row with the smallest id stays. Entries are word
 beginnings and whole words that stand in toxic documents far more often than chance allows (G test
 against ``MIN_G``), no entry below another; the weight is the smoothed log odds.
 
@@ -47,6 +49,8 @@ PREFIXES = range(4, 9)
 LONGEST_WORD = 24
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
+#: Smallest hashes of a text's five-word shingles that near copies have in common.
+KEY_HASHES = 8
 #: Pieces that the sample is counted in.
 SAMPLE_PARTS = 48
 #: Harmless phrases that hold words a lexicon may have.
@@ -167,7 +171,8 @@ class Lexicon:
 def training_sample(
     docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN
 ) -> DataFrame:
-    """``(text, toxic)`` of labelled documents (``labels``: doc_id, toxic), near copies once."""
+    """``(text, toxic)`` of labelled documents (``labels``: doc_id, toxic), near copies of one label
+    once."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -176,21 +181,26 @@ def training_sample(
     )
     # At most max_toxic + max_clean pairs of numbers.
     chosen = F.broadcast(stored(chosen, "chosen"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    ids = rows.schema["doc_id"].dataType.simpleString()
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(1).to_pylist():
                 w = fold(text).split()
                 grams = {" ".join(g) for g in zip(*(w[i:] for i in range(5)))} or {" ".join(w)}
-                keys.append(min(xxhash.xxh3_64_intdigest(g) for g in grams) >> 1)
+                least = sorted(xxhash.xxh3_64_intdigest(g) for g in grams)[:KEY_HASHES]
+                keys.append(b"".join(h.to_bytes(8, "big") for h in least))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(keys, pa.int64())], names=["text", "toxic", "_key"]
+                [*batch.columns, pa.array(keys, pa.binary())],
+                names=["doc_id", "text", "toxic", "_key"],
             )
 
-    keyed = rows.mapInArrow(with_key, "text string, toxic int, _key long")
-    return stored(keyed.dropDuplicates(["_key"]).drop("_key"), "sample")
+    keyed = rows.mapInArrow(with_key, f"doc_id {ids}, text string, toxic int, _key binary")
+    first = F.min(F.struct("doc_id", F.xxhash64("text").alias("_hash"), "text")).alias("_first")
+    kept = keyed.groupBy("_key", "toxic").agg(first)
+    return stored(kept.select(F.col("_first.text").alias("text"), "toxic"), "sample")
 
 
 def _count_patterns(sample: DataFrame) -> DataFrame:
