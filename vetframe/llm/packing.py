@@ -8,10 +8,11 @@ their own; the others are dealt by hash to shards. A shard places one piece afte
 ``N(g)`` the number of open sequences that have ``g`` tokens left, the sum of ``N(g)**2`` changes
 by ``2 (N(g - s) - N(g) + 1)`` when a piece of ``s`` tokens goes to a sequence with gap ``g > s``;
 the gap with the smallest change is taken, and a new sequence competes under the same rule. A
-sequence that ends up less than ``keep`` full is taken apart, and its pieces are dealt to a tenth
-as many shards in the next round, until one last shard holds what is left. The number of pieces
-that one shard holds is bounded by ``shard_rows``; the rounds shrink the rest by about the share
-of bad sequences, so the last shard stays small at any size of input.
+sequence that ends up less than ``keep`` full is taken apart, and its pieces are dealt to fewer
+shards in the next round, until one last shard holds what is left. The number of pieces that one
+shard holds is bounded by ``shard_rows``. A round takes apart at most half of its pieces, those in
+the sequences with the largest gaps, so the rounds end, and many nearly full sequences (where
+lengths don't add up) never keep the emptier ones from being packed again.
 
 Nulls, ties, repeats: a null text is an empty one and has the closing token alone; a null id
 counts as an id; repeated rows are packed once for each row. Extra columns are left out.
@@ -356,12 +357,17 @@ def plan(
         if shards == 1:
             done.append(packed)
             break
-        good = F.col("fill") >= int(keep * capacity)
+        by_fill = packed.where(F.col("fill") < int(keep * capacity)).groupBy("fill").count()
+        # The emptiest sequences first, as long as they hold half of the pieces at most.
+        limit, left = 0, 0
+        for fill, count in sorted(map(tuple, by_fill.collect())):  # at most ``capacity`` rows
+            if left + count > 0.5 * n:
+                break
+            limit, left = fill + 1, left + count
+        good = F.col("fill") >= limit
         done.append(packed.where(good))
         rest = packed.where(~good).select("doc_id", "piece", "row", "length")
-        left = rest.count()
-        if left > 0.5 * n:  # lengths that never fill a sequence: another round would not help
-            done.append(packed.where(~good))
+        if not left:
             break
         n, round_no = left, round_no + 1
     placed = done[0]
