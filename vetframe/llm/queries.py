@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from . import (
-    decontamination, fingerprint, licenses, lines, packing, pii, simhash, substrings, toxicity,
-    urls,
+    bytebpe, decontamination, fingerprint, infill, licenses, lines, packing, periodic, pii, simhash,
+    substrings, toxicity, urls,
 )
 from .base import find_package
 
@@ -200,3 +200,100 @@ def fingerprints(spark, sf_dir):
 @query("op10_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+# ---------------------------------------------------------------- 11: periodic runs
+
+#: White space of the word pattern is all other characters.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: the words of one document in ten, by its id, go on periodically from some word.
+
+    A null id has the checksum of an empty one.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0)
+    # The columns below are null for all other documents.
+    picked = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, found).alias("words"))
+    n, a, p, g, words = (F.col(c) for c in ("n", "a", "p", "g", "words"))
+    measured = picked.select(
+        "*", F.when(F.col("h") % 10 == 0, F.size(words)).alias("n"), F.floor(F.col("h") / 10).alias("g")
+    )
+    measured = measured.withColumn("a", F.when(n > 0, (g % n).cast("int")).when(n == 0, 0))
+    measured = measured.withColumn("p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.concat(F.slice(words, 1, a), F.slice(tail, 1, n - a)), " ")
+    return measured.select("doc_id", F.when(n.isNull(), F.col("text")).otherwise(repeated).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    found = periodic.detect(with_repeats(_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(periodic.as_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2(F.col("text"), 256).alias("collapsed_sha256"),
+    )
+
+
+# ---------------------------------------------------------------- 12: byte-level BPE
+
+
+@query("op12_byte_bpe")
+def byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    ranks, pattern = bytebpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bytebpe.encode(docs, ranks, pattern).drop("text")
+    return bytebpe.decode(encoded, ranks, pattern).select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+# ---------------------------------------------------------------- 13: fill in the middle
+
+INFILL_SQL = r"""
+WITH u AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+    FROM documents
+), h AS (
+    SELECT *, len(units) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2,
+           ('0x' || d[25:32])::BIGINT AS h4
+    FROM u
+), parts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+             THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM h
+), cut AS (
+    SELECT *, coalesce(array_to_string(units[1 : a], ''), '') AS prefix,
+           coalesce(array_to_string(units[a + 1 : b], ''), '') AS middle,
+           coalesce(array_to_string(units[b + 1 : n], ''), '') AS suffix
+    FROM parts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@query("op13_fill_in_middle", INFILL_SQL)
+def fill_in_middle(spark, sf_dir):
+    moved = infill.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return infill.restore(moved).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored"), 256).alias("restored_sha256"),
+    )
