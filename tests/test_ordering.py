@@ -1,10 +1,11 @@
 """Ordering helpers against plain sorting, with hot values and hot groups."""
 
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from vetframe.functions import ordering as O
+from vetframe.functions import ordering as O, ranks as R
 
 
 def _skewed(n=3000, seed=1):
@@ -18,7 +19,7 @@ def test_order_statistics_match_sorting_whatever_the_buffer(spark):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 10, "x double")
     ranks = [0, 1, 500, 1200, 1500, 1501, 2998, 2999]
     for limit in (1, 40, 10_000):
-        found = O.order_statistics(df, {"x": ranks}, buffer_limit=limit)["x"]
+        found = R.order_statistics(df, {"x": ranks}, buffer_limit=limit)["x"]
         assert [found[r] for r in ranks] == [ordered[r] for r in ranks]
 
 
@@ -28,13 +29,40 @@ def test_quantiles_agree_between_both_ways(spark):
         [(v, i, None) for i, v in enumerate(values)], "x double, i long, e double"
     )
     shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    plain = O.exact_quantiles(df, ["x", "i", "e"], shares)
-    narrow = O.exact_quantiles(df, ["x", "i", "e"], shares, buffer_limit=25)
+    plain = R.exact_quantiles(df, ["x", "i", "e"], shares)
+    narrow = R.exact_quantiles(df, ["x", "i", "e"], shares, buffer_limit=25)
     assert plain["e"] == narrow["e"] == [None] * 6
     for c in ("x", "i"):
         assert all(abs(a - b) < 1e-9 for a, b in zip(plain[c], narrow[c]))
 
 
+def test_quantiles_of_integers_beyond_doubles_and_of_decimals(spark):
+    big = [2**60 + i for i in range(3000)]
+    df = spark.createDataFrame([(v, Decimal(i) / 4) for i, v in enumerate(big)], "x long, d decimal(12, 2)")
+    found = R.order_statistics(df, {"x": [0, 1, 1717, 2999], "d": [5]}, buffer_limit=50)
+    assert found["x"] == {r: big[r] for r in (0, 1, 1717, 2999)} and found["d"] == {5: 1.25}
+
+
+def test_scans_do_not_grow_with_the_columns(spark):
+    """The rows that Python workers hand over count the scans: two for 20,000 values, however many columns."""
+    rows, columns = 20_000, 100
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    source = spark.range(0, rows, 1, 4).mapInPandas(counted, "id long")
+    value = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(997 + 100_003 * (i % 3))).cast("double")
+    df = source.select(*[value(i).alias(f"c{i}") for i in range(columns)])
+    got = R.exact_quantiles(df, df.columns, [0.4])
+    assert seen.value / rows <= 3
+    names = ["c0", "c1", "c2", "c99"]
+    want = df.agg(*[F.percentile(c, 0.4) for c in names]).first()
+    assert [got[c][0] for c in names] == list(want)
+
+
 def test_running_totals_with_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.6 else rng.choice("abc"), i, rng.randint(0, 9)) for i in range(2000)]

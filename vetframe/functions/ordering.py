@@ -1,24 +1,19 @@
-"""Ordering work that would otherwise land in one task: prefix sums, row numbers, quantiles, cuts.
+"""Ordering work that would otherwise land in one task: prefix sums, row numbers, cuts.
 
 Every helper here spreads a *global* order over the cluster. Prefix sums range-partition the rows
-and add per-partition offsets; quantiles narrow a bracket by repeated aggregation; hash cuts find
-the one hash bucket that holds the wanted rank. No group is ever sorted as a whole in one task.
+and add per-partition offsets; hash cuts find the one hash bucket that holds the wanted rank (for
+quantiles see ``ranks``). No group is ever sorted as a whole in one task.
 """
 
 from __future__ import annotations
 
-import math
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .columns import COLUMN_BATCH, count_where, quoted
+from .columns import quoted
 
-#: Largest number of values one aggregation buffer may hold.
-BUFFER_LIMIT = 1_000_000
-#: Rank error of a quantile sketch is at most rows / SKETCH_ACCURACY.
-SKETCH_ACCURACY = 10_000
 #: Hash buckets per stratum: 2**20, from the top bits of a 64-bit hash.
 BUCKET_SHIFT = 44
 #: A lookup table up to this many rows is broadcast; a larger one is joined by shuffle.
@@ -121,173 +116,6 @@ def global_row_number(df: DataFrame, order_by: Sequence[Column], name: str) -> D
     return running_totals(df, order_by, {name: F.lit(1)})
 
 
-def _bracket(rank: float, n: int) -> tuple[float, float]:
-    slack = 3.0 / SKETCH_ACCURACY
-    share = (rank + 0.5) / n
-    return max(0.0, share - slack), min(1.0, share + slack)
-
-
-def order_statistics(
-    df: DataFrame,
-    wanted: dict[str, Sequence[int]],
-    counts: dict[str, int] | None = None,
-    buffer_limit: int = BUFFER_LIMIT,
-) -> dict[str, dict[int, float]]:
-    """Exact values at 0-based ranks of numeric columns, by narrowing brackets.
-
-    Each round is one aggregation for all unresolved ranks: a quantile sketch proposes two cut
-    values around a rank, then an exact count says which side of them the rank falls on. Rows
-    strictly between the cuts shrink by orders of magnitude per round whatever the skew (a hot
-    value becomes a cut and is counted, not stored). Once at most ``buffer_limit`` rows remain,
-    they are ranked in one bounded aggregation buffer.
-    """
-    if counts is None:
-        row = df.agg(*[F.count(quoted(c)).alias(c) for c in wanted]).first()
-        counts = {c: row[c] for c in wanted}
-    found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    # Open intervals (low, high) holding `inside` rows, preceded by `below` rows.
-    pending = [
-        {"c": c, "rank": r, "low": None, "high": None, "below": 0, "inside": counts[c]}
-        for c, ranks in wanted.items()
-        for r in sorted(set(ranks))
-    ]
-
-    def interior(p) -> Column:
-        x = quoted(p["c"])
-        keep = F.when(x.isNotNull(), x)
-        if p["low"] is not None:
-            keep = F.when(x > F.lit(p["low"]), keep)
-        if p["high"] is not None:
-            keep = F.when(x < F.lit(p["high"]), keep)
-        return keep
-
-    while pending:
-        small = [p for p in pending if p["inside"] <= buffer_limit]
-        large = [p for p in pending if p["inside"] > buffer_limit]
-        aggregates = []
-        for i, p in enumerate(small):
-            share = (p["rank"] - p["below"] + 0.5) / p["inside"]
-            aggregates.append(
-                F.expr(f"percentile_disc({share!r}D) within group (order by _v{i})").alias(f"s{i}")
-            )
-        # Ranks still in the same interval share one sketch.
-        sketches: dict[tuple, list[int]] = {}
-        for i, p in enumerate(large):
-            sketches.setdefault((p["c"], p["low"], p["high"]), []).append(i)
-        for j, members in enumerate(sketches.values()):
-            shares = [
-                F.lit(s)
-                for i in members
-                for s in _bracket(large[i]["rank"] - large[i]["below"], large[i]["inside"])
-            ]
-            aggregates.append(
-                F.percentile_approx(
-                    interior(large[members[0]]), F.array(*shares), F.lit(SKETCH_ACCURACY)
-                ).alias(f"a{j}")
-            )
-        staged = df.select("*", *[interior(p).alias(f"_v{i}") for i, p in enumerate(small)])
-        row = staged.agg(*aggregates).first()
-        for i, p in enumerate(small):
-            found[p["c"]][p["rank"]] = row[f"s{i}"]
-        pending = []
-        if not large:
-            break
-        cuts = {
-            i: row[f"a{j}"][2 * at : 2 * at + 2]
-            for j, members in enumerate(sketches.values())
-            for at, i in enumerate(members)
-        }
-        aggregates = []
-        for i, p in enumerate(large):
-            x, (a, b) = interior(p), cuts[i]
-            aggregates += [
-                count_where(x < F.lit(a)).alias(f"lt{i}"),
-                count_where(x == F.lit(a)).alias(f"eqa{i}"),
-                count_where((x > F.lit(a)) & (x < F.lit(b))).alias(f"mid{i}"),
-                count_where((x == F.lit(b)) & (x > F.lit(a))).alias(f"eqb{i}"),
-            ]
-        sides = df.agg(*aggregates).first()
-        for i, p in enumerate(large):
-            a, b = cuts[i]
-            local = p["rank"] - p["below"]
-            lt, eqa, mid, eqb = (sides[f"{k}{i}"] for k in ("lt", "eqa", "mid", "eqb"))
-            if local < lt:
-                pending.append({**p, "high": a, "inside": lt})
-            elif local < lt + eqa:
-                found[p["c"]][p["rank"]] = a
-            elif local < lt + eqa + mid:
-                pending.append(
-                    {**p, "low": a, "high": b, "below": p["below"] + lt + eqa, "inside": mid}
-                )
-            elif local < lt + eqa + mid + eqb:
-                found[p["c"]][p["rank"]] = b
-            else:
-                used = lt + eqa + mid + eqb
-                pending.append(
-                    {**p, "low": b, "below": p["below"] + used, "inside": p["inside"] - used}
-                )
-    return found
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    shares: Sequence[float],
-    buffer_limit: int = BUFFER_LIMIT,
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of numeric columns; ``None`` for a column without values.
-
-    The answer is a handful of numbers per column, so it returns to the driver and later passes
-    use it as literals.
-    """
-    columns = list(columns)
-    if not columns:
-        return {}
-    slim = df.select(*[quoted(c) for c in columns])
-    counts = {}
-    for lo in range(0, len(columns), COLUMN_BATCH):
-        batch = columns[lo : lo + COLUMN_BATCH]
-        row = slim.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(batch)]).first()
-        counts |= {c: row[f"n{i}"] for i, c in enumerate(batch)}
-    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
-    small = [c for c in columns if 0 < counts[c] <= buffer_limit]
-    large = [c for c in columns if counts[c] > buffer_limit]
-    # The buffers of one aggregation together hold no more than `buffer_limit` values (or one
-    # column's, which is within the limit by itself).
-    batches: list[list[str]] = []
-    held = 0
-    for c in small:
-        if not batches or held + counts[c] > buffer_limit or len(batches[-1]) == COLUMN_BATCH:
-            batches.append([])
-            held = 0
-        batches[-1].append(c)
-        held += counts[c]
-    for batch in batches:
-        row = slim.agg(
-            *[
-                F.percentile(quoted(c), F.array(*[F.lit(float(s)) for s in shares])).alias(f"q{i}")
-                for i, c in enumerate(batch)
-            ]
-        ).first()
-        for i, c in enumerate(batch):
-            out[c] = [float(v) for v in row[f"q{i}"]]
-    if large:
-        positions = {c: [s * (counts[c] - 1) for s in shares] for c in large}
-        ranks = {
-            c: [r for p in ps for r in (math.floor(p), math.ceil(p))]
-            for c, ps in positions.items()
-        }
-        values = order_statistics(slim, ranks, {c: counts[c] for c in large}, buffer_limit)
-        for c in large:
-            out[c] = [
-                float(values[c][math.floor(p)])
-                + (p - math.floor(p))
-                * (float(values[c][math.ceil(p)]) - float(values[c][math.floor(p)]))
-                for p in positions[c]
-            ]
-    return out
-
-
 def hash_order(keys: Sequence[str], seed: int) -> Column:
     """A pseudo-random but repeatable position for each row."""
     return F.xxhash64(*[quoted(k) for k in keys], F.lit(seed))

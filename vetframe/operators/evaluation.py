@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import count_where, nan_to_null, quoted, ratio
-from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, running_totals
+from ..functions.ordering import running_totals
+from ..functions.ranks import BUFFER_LIMIT, exact_quantiles
 
 # Bins, score factors and limits of the calibration and performance findings.
 CALIBRATION_BINS, EDGE_SLACK = 10, 1e-12

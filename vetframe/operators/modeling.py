@@ -27,7 +27,8 @@ from ..functions.columns import (
     ratio,
     string_columns,
 )
-from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, hash_cuts, hash_order, lookup, settle
+from ..functions.ordering import hash_cuts, hash_order, lookup, settle
+from ..functions.ranks import BUFFER_LIMIT, exact_quantiles
 from .repair import most_common_values
 
 # Model settings, perturbation sizes, limits and factors of the agent scores.

@@ -22,8 +22,9 @@ from ..functions.columns import (
     string_columns,
     value_counts,
 )
-from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, settle
+from ..functions.ordering import settle
 from ..functions.parsing import EMAIL, PHONE, is_iso_date
+from ..functions.ranks import BUFFER_LIMIT, exact_quantiles
 
 # Severity thresholds in percent, fence factor, score deductions, name hints.
 MISSING_WARNING, MISSING_CRITICAL, MISSING_FINDING = 5.0, 20.0, 30.0

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import COLUMN_BATCH, count_where, nan_to_null, quoted
-from ..functions.ordering import BUFFER_LIMIT
+from ..functions.ranks import BUFFER_LIMIT
 from .profile import iqr_outliers, missing_values, outlier_fences
 
 #: Fixed value: what a column without any value is filled with.

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import count_where, quoted, ratio
-from ..functions.ordering import BUFFER_LIMIT, order_statistics, settle
+from ..functions.ordering import settle
+from ..functions.ranks import BUFFER_LIMIT, order_statistics
 
 # Limits of the representation status, weights and limits of the diversity scores.
 SEVERELY_UNDER, UNDER, SLIGHTLY_OVER, OVER = 0.7, 0.85, 1.15, 1.3
@@ -284,7 +285,7 @@ def diversity_by_period(
     border_ranks = [i * size for i in range(1, periods)] if size else []
     borders = []
     if border_ranks:
-        found = order_statistics(df, {order_key: border_ranks}, {order_key: total}, buffer_limit)
+        found = order_statistics(df, {order_key: border_ranks}, buffer_limit)
         borders = [found[order_key][r] for r in border_ranks]
     position = sum((((quoted(order_key) >= F.lit(b)).cast("int")) for b in borders), F.lit(1))
     if not size:

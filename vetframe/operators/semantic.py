@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import parsing as P
 from ..functions.columns import count_where, nan_to_null, per_column, quoted, ratio, row_array
-from ..functions.ordering import BUFFER_LIMIT, exact_quantiles, hash_order, settle
+from ..functions.ordering import hash_order, settle
+from ..functions.ranks import BUFFER_LIMIT, exact_quantiles
 
 # Shares a column must exceed, and the confidence each verdict carries.
 BOOLEAN_SHARE, NUMERIC_SHARE, HALF_SHARE, INTEGER_SHARE = 0.8, 0.8, 0.5, 0.9
