@@ -59,6 +59,18 @@ def test_corrupt_files_are_skipped(spark, tmp_path):
     assert all((r.reason is None) == (r.status == "read") for r in status)
 
 
+def test_empty_files_are_recorded(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "_d.csv").write_text("x\n1\n")
+    status = {r.file: (r.status, r.reason) for r in readers.open_folder(spark, str(tmp_path)).status.collect()}
+    assert status == {"a b.csv": ("read", None), "c.csv": ("failed", "the file has no header")}
+    assert readers.open_folder(spark, str(tmp_path), "c.csv").together() is None
+    (tmp_path / "e.json").write_text("")
+    only = readers.open_folder(spark, str(tmp_path), "*.json")
+    assert [tuple(r) for r in only.status.collect()] == [("e.json", "failed", "the file is empty")]
+
+
 def test_chapters(spark, tmp_path):
     (tmp_path / "Chapter_03_Early days.md").write_text("a\n\nb")
     row = readers.read_chapters(spark, str(tmp_path)).first()

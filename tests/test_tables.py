@@ -1,7 +1,10 @@
 """Profile, preparation, semantic types and repair on small frames with planted defects."""
 
 import math
+import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from vetframe.functions import parsing
@@ -73,6 +76,49 @@ def test_duplicates_by_value_and_by_digest(spark):
         }
 
 
+def test_digests_of_nested_values(spark):
+    """Values that differ in one nested place only, and values that are equal in another form."""
+    differ = [
+        "array(timestamp_micros(1))", "array(timestamp_micros(2))", "array(timestamp_micros(1), null)", "array()",
+        "null",
+    ]
+    texts = ["array('a', 'b')", "array('a,b')", "array('a1:b')", "array('a', null)", "array('ab')", "array('', 'ab')"]
+    maps = ["map('a', 1, 'b', 2)", "map('a', 2, 'b', 1)", "map('a', 1)", "map()", "map('a', null)"]
+    structs = ["named_struct('x', 1, 'y', null)", "named_struct('x', null, 'y', 1)", "null",
+               "named_struct('x', null, 'y', null)"]
+    for kind, values in (("array<timestamp>", differ), ("array<string>", texts), ("map<string, int>", maps),
+                         ("struct<x: int, y: int>", structs)):
+        rows = " UNION ALL ".join(f"SELECT CAST({v} AS {kind}) AS v" for v in values)
+        assert profile.duplicate_rows(spark.sql(rows)).first().duplicate_rows == 0
+    equal = [("array(0.0D)", "array(-0.0D)"), ("map('a', 1, 'b', 2)", "map('b', 2, 'a', 1)"),
+             ("named_struct('x', array(map(1, -0.0D)))", "named_struct('x', array(map(1, 0.0D)))")]
+    for a, b in equal:
+        assert profile.duplicate_rows(spark.sql(f"SELECT {a} AS v UNION ALL SELECT {b}")).first().duplicate_rows == 1
+
+
+def test_correlations_are_pairwise_complete(spark):
+    """Missing values, constants on the common rows, and large numbers with a small spread."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        a, b = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((
+            None if i % 7 == 0 else a, a + b if i % 5 else float("nan"), 1e9 + a / 1000, 3.25,
+            4.0 if i % 7 else float(i), i if i % 11 else None, None,
+        ))
+    df = spark.createDataFrame(rows, "a double, b double, far double, c double, d double, i long, e double")
+    got = {(r.column_a, r.column_b): r.correlation for r in profile.correlations(df.repartition(5)).collect()}
+    table = pd.DataFrame(rows, columns=df.columns).astype(float)
+    want = table.assign(far=table["far"] - 1e9).corr()
+    assert len(got) == 21
+    for (x, y), value in got.items():
+        both = table[[x, y]].dropna()
+        if both.empty or both[x].nunique() < 2 or both[y].nunique() < 2:
+            assert value is None
+        else:
+            assert value == pytest.approx(want.loc[x, y], abs=1e-9)
+
+
 def test_findings_and_score(spark):
     df = spark.createDataFrame([(None, "x", 1), (None, "x", 1), (1.0, "x", 1)], "a double, c string, y int")
     found = profile.integrity_findings(df, "y")

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
@@ -351,72 +355,93 @@ def histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     )
 
 
-#: Pairs of columns correlated in one aggregation; more would not compile.
-PAIR_BATCH = 100
+#: Rows that are looked at for a value near the middle of each column.
+CENTRE_ROWS = 100
 
 
 def correlations(df: DataFrame) -> DataFrame:
     """``(column_a, column_b, correlation)`` of numeric columns, pairwise complete.
 
-    One aggregation for each batch of pairs, over the columns of that batch; rows aren't expanded.
+    One scan for any number of columns. A row becomes a vector of its values (0 for a missing one), their
+    squares, and flags for what is there; the sum of the vectors' outer products holds, for each
+    pair of columns, the count, sums, squares and products over the rows that have both. The sums
+    are merged in a tree, and the driver gets one matrix. Values are taken relative to one of their
+    own column first, so that large ones with a small spread keep their digits.
     """
     columns = numeric_columns(df)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     schema = "column_a string, column_b string, correlation double"
-    clean = nan_to_null(df.select(*[quoted(c) for c in columns]))
-    out = None
-    for start in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[start : start + PAIR_BATCH]
-        wide = clean.agg(
-            *[
-                F.corr(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"p{i}")
-                for i, (a, b) in enumerate(batch)
-            ]
-        )
-        found = [
-            F.struct(
-                F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                F.when(~F.isnan(f"p{i}"), F.col(f"p{i}")).alias("correlation"),
-            )
-            for i, (a, b) in enumerate(batch)
-        ]
-        part = wide.select(F.inline(F.array(*found)))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], schema)
+    clean = nan_to_null(df.select(*[quoted(c).cast("double").alias(c) for c in columns]))
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    row = clean.limit(CENTRE_ROWS).agg(
+        *[F.first(quoted(c), ignorenulls=True).alias(f"c{i}") for i, c in enumerate(columns)]
+    ).first()
+    values = [quoted(c) - F.lit(row[i] or 0.0) for i, c in enumerate(columns)]
+    parts = [
+        *[F.coalesce(v, F.lit(0.0)) for v in values],
+        *[F.coalesce(v * v, F.lit(0.0)) for v in values],
+        *[v.isNotNull().cast("double") for v in values],
+    ]
+    vectors = clean.select(array_to_vector(F.array(*parts)).alias("v"))
+    k = len(columns)
+    outer = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"), numCols=3 * k)
+    sums = outer.computeGramianMatrix().toArray()
+    product, square, there = sums[:k, :k], sums[k : 2 * k, 2 * k :], sums[2 * k :, 2 * k :]
+    total = sums[:k, 2 * k :]  # of a column over the rows that have the other one as well
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = square - total**2 / there
+        # What rounding leaves of a constant's squares is no spread.
+        spread = np.where(spread > 1e-13 * square, spread, np.nan)
+        r = (product - total * total.T / there) / np.sqrt(spread * spread.T)
+    rows = [
+        (a, columns[j], None if np.isnan(r[i, j]) else float(min(1.0, max(-1.0, r[i, j]))))
+        for i, a in enumerate(columns)
+        for j in range(i + 1, k)
+    ]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 # ---------------------------------------------------------------- duplicates and constants
 
 
-def _canonical(df: DataFrame, name: str) -> Column:
-    """A value's text after its length; ``-`` for a missing one. Equal just for equal values."""
-    c, kind = quoted(name), df.schema[name].dataType
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    """A value's text after its length; ``-`` for a missing one. Equal just for equal values.
+
+    Arrays hold the texts of their items, structs those of their fields, maps those of their entries
+    in order, whatever they are nested in.
+    """
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         text = (c + F.lit(0.0).cast(kind)).cast("string")
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        text = F.unix_micros(c.cast("timestamp")).cast("string")
+    elif isinstance(kind, T.TimestampType):
+        text = F.unix_micros(c).cast("string")
     elif isinstance(kind, T.BinaryType):
         text = F.hex(c)
-    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        text = F.to_json(F.struct(c))
+    elif isinstance(kind, T.ArrayType):
+        text = F.array_join(F.transform(c, lambda item: _canonical(item, kind.elementType)), "")
+    elif isinstance(kind, T.MapType):
+        entry = lambda e: F.concat(_canonical(e["key"], kind.keyType), _canonical(e["value"], kind.valueType))
+        text = F.array_join(F.array_sort(F.transform(F.map_entries(c), entry)), "")
+    elif isinstance(kind, T.StructType):
+        parts = [_canonical(c.getField(f.name), f.dataType) for f in kind.fields]
+        text = F.when(c.isNotNull(), F.concat(*parts) if parts else F.lit(""))
     else:
         text = c.cast("string")
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def duplicate_rows(
-    df: DataFrame, columns: Sequence[str] | None = None, by_digest: bool = False
+    df: DataFrame, columns: Sequence[str] | None = None, by_digest: bool = True
 ) -> DataFrame:
     """How many rows repeat an earlier row; NULLs count as equal.
 
-    ``by_digest`` groups by a SHA-256 of the row instead of the row itself, so that long texts are
-    read once and only 32 bytes per row reach the shuffle. The digest covers every value in full:
-    its length and its text, timestamps to the microsecond, 0.0 and -0.0 alike.
+    Rows are grouped by a SHA-256, so that long texts are read once and only 32 bytes per row reach
+    the shuffle. The digest covers every value in full, nested ones too: its length and its text,
+    timestamps to the microsecond, 0.0 and -0.0 alike. ``by_digest=False`` groups by the values.
     """
     columns = list(columns or df.columns)
     clean = nan_to_null(df.select(*[quoted(c) for c in columns]))
     if by_digest:
-        row = F.concat(*[_canonical(clean, c) for c in columns])
+        row = F.concat(*[_canonical(quoted(c), clean.schema[c].dataType) for c in columns])
         groups = clean.select(F.unhex(F.sha2(row, 256)).alias("digest")).groupBy("digest")
     else:
         groups = clean.groupBy(*[quoted(c) for c in columns])

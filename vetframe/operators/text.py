@@ -63,7 +63,9 @@ def strip(c: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text; none for a blank one."""
-    return F.filter(F.split(text, WHITE_CLASS + "+"), lambda w: w != "")
+    # One blank for each white space first: texts are then split at a plain character.
+    blanks = F.translate(text, _WHITE, " " * len(_WHITE))
+    return F.filter(F.split(blanks, " +"), lambda w: w != "")
 
 
 def word_chunks(

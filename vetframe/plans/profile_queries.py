@@ -445,7 +445,7 @@ _DUPLICATE_SQL = (
 )
 def duplicate_rows(spark, sf_dir):
     return profile.duplicate_rows(
-        V.dirty(spark, sf_dir), ["l_quantity", "l_returnflag", "l_discount"]
+        V.dirty(spark, sf_dir), ["l_quantity", "l_returnflag", "l_discount"], by_digest=False
     )
 
 
@@ -467,6 +467,25 @@ def duplicate_rows_by_digest(spark, sf_dir):
     return profile.duplicate_rows(rows, by_digest=True)
 
 
+@query(
+    "duplicate_rows_nested",
+    "SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM"
+    " (SELECT count(*) AS n FROM events GROUP BY event_id % 40, event_type, event_id % 7 = 0)",
+)
+def duplicate_rows_nested(spark, sf_dir):
+    """Arrays, maps and structs: microseconds, the order of a map's keys and signed zeros."""
+    at = F.timestamp_micros(F.col("event_id") % 40)
+    kind, zero = F.col("event_type"), F.when(F.col("event_id") % 2 > 0, F.lit(0.0)).otherwise(F.lit(-0.0))
+    pairs = [F.struct(F.lit(k).alias("key"), F.array(zero).alias("value")) for k in "ab"]
+    forwards, backwards = F.map_from_entries(F.array(*pairs)), F.map_from_entries(F.array(*pairs[::-1]))
+    missing = F.when(F.col("event_id") % 7 > 0, kind)
+    rows = V.table(spark, sf_dir, "events").select(
+        F.array(at).alias("times"), F.when(F.col("event_id") % 3 > 0, forwards).otherwise(backwards).alias("m"),
+        F.struct(kind.alias("k"), missing.alias("v")).alias("s"),
+    )
+    return profile.duplicate_rows(rows)
+
+
 @query("duplicate_documents", _DUPLICATE_SQL.format(t="documents", c="text, lang"))
 def duplicate_documents(spark, sf_dir):
     return profile.duplicate_rows(

@@ -68,19 +68,19 @@ def open_folder(
     ending = pattern.rsplit(".", 1)[-1].lower()
     if ending not in ("csv", "json", "parquet"):
         raise ValueError(f"unsupported file format: .{ending}")
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    # One row for each file: its name, not its content.
-    paths = [r["path"] for r in listed.select("path").orderBy("path").collect()]
+    sizes = _listed(spark, folder, pattern)
     failed: dict[str, str] = {}
     groups: dict[object, list[str]] = {}
-    headers = _csv_headers(spark, folder, pattern) if ending == "csv" else {}
-    for path in paths:
+    headers = _csv_headers(spark, folder, pattern) if ending == "csv" and any(sizes.values()) else {}
+    for path, size in sizes.items():
         name = path.rsplit("/", 1)[-1]
         try:
             if ending == "csv":
-                columns: object = headers.get(unquote(name))
+                columns: object = headers.get(name)
                 if not columns:
                     raise ValueError("the file has no header")
+            elif size == 0:
+                raise ValueError("the file is empty")
             else:
                 columns = read_table(spark, path).schema.simpleString()
         except Exception as problem:  # recorded for the caller, who decides what to do
@@ -101,12 +101,21 @@ def open_folder(
         ]
         tables.append(df.select(*typed, _file_name()))
     rows = [
-        (unquote(n), "failed" if n in failed else "read", failed.get(n))
-        for n in (p.rsplit("/", 1)[-1] for p in paths)
+        (n, "failed" if n in failed else "read", failed.get(n))
+        for n in (p.rsplit("/", 1)[-1] for p in sizes)
     ]
     return Folder(tables, spark.createDataFrame(rows, "file string, status string, reason string"))
 
 
+def _listed(spark: SparkSession, folder: str, pattern: str) -> dict[str, int]:
+    """Sizes of the matching files by path, in order; empty files, which no reader sees, included."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(where, pattern))
+    files = {s.getPath().toString(): s.getLen() for s in found or () if s.isFile()}
+    return {p: files[p] for p in sorted(files) if p.rsplit("/", 1)[-1][0] not in "._"}
+
+
 def _schema_of(spark: SparkSession, schema: str | None) -> dict:
     if schema is None:
         return {}
