@@ -40,6 +40,8 @@ COMPATIBLE = {
     "categorical": ("categorical", "string"),
 }
 SAMPLE_VALUES = 10
+#: Values with more characters are grouped by a digest.
+LONG_VALUE = 64
 
 
 def text_frame(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -63,58 +65,81 @@ def _cells(text: DataFrame) -> DataFrame:
     return text.select(F.inline(pairs))
 
 
-def _matches(cells: DataFrame) -> DataFrame:
-    """How many of the cells ``(column_name, value, weight)`` look like what, per column.
+def _facts(c: Column) -> dict[str, Column]:
+    """What a value in text form looks like."""
+    number = P.to_number(c)
+    return {
+        **{f"{k}_matches": c.rlike(p) for k, p in P.PATTERNS.items()},
+        "numeric_values": P.is_number(c),
+        "integer_values": number == F.floor(number),
+        "date_values": P.is_date(c),
+    }
+
+
+def _counted(name: str, condition: Column, weight: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0)).alias(name)
+
+
+def pattern_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """How many values of each column look like what; one row per column, no value shuffled.
 
     The cells are unpivoted, so the matching code is generated once, not once per column, and the
     shuffle carries one partial row per task and column.
     """
-    c = F.col("value")
-    number = P.to_number(c)
-
-    def weight_of(condition):
-        return F.coalesce(F.sum(F.when(condition, F.col("weight"))), F.lit(0))
-
-    return cells.groupBy("column_name").agg(
-        weight_of(c.isNull()).alias("null_count"),
-        weight_of(c.isNotNull()).alias("n"),
-        *[weight_of(c.rlike(p)).alias(f"{k}_matches") for k, p in P.PATTERNS.items()],
-        weight_of(P.is_number(c)).alias("numeric_values"),
-        weight_of(number == F.floor(number)).alias("integer_values"),
-        weight_of(P.is_date(c)).alias("date_values"),
-        F.count(c).alias("_cells"),
+    c, one = F.col("value"), F.lit(1).cast("long")
+    return _cells(text_frame(df, columns)).groupBy("column_name").agg(
+        _counted("null_count", c.isNull(), one),
+        _counted("n", c.isNotNull(), one),
+        *[_counted(k, fact, one) for k, fact in _facts(c).items()],
     )
 
 
-def pattern_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """How many values of each column look like what; one row per column, no value shuffled."""
-    cells = _cells(text_frame(df, columns)).withColumn("weight", F.lit(1).cast("long"))
-    return _matches(cells).drop("_cells")
+def _mask(c: Column) -> Column:
+    """The facts of a value as bits."""
+    bits = [F.when(fact, 1 << i).otherwise(0) for i, fact in enumerate(_facts(c).values())]
+    return sum(bits[1:], bits[0])
 
 
 def column_counts(
     df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """``pattern_counts`` with ``unique_count``.
+    """``pattern_counts`` with ``unique_count``, from one scan.
 
-    Patterns are matched where the values are read, and no value is shuffled: the exact distinct
-    count shuffles 16-byte digests of them (combined in each task first), the approximate one a
-    sketch.
+    Equal values of a column are brought together, in each task first, and matched once; how often
+    they occur is their weight. Long values, which hardly repeat, are matched where they are read,
+    and only a digest and what they look like travels. The approximate way shuffles no values:
+    patterns meet every cell, and a sketch counts the distinct ones.
     """
     cells = _cells(text_frame(df, columns))
     if approximate:
         distinct = cells.groupBy("column_name").agg(
             F.approx_count_distinct("value").alias("unique_count")
         )
-    else:
-        digests = cells.filter("value is not null").select(
-            "column_name", F.unhex(F.md5("value")).alias("_digest")
-        )
-        distinct = digests.distinct().groupBy("column_name").agg(
-            F.count("*").alias("unique_count")
+        counts = pattern_counts(df, columns)
+        return counts.join(distinct, "column_name", "left").na.fill(0, ["unique_count"])
+    value, long = F.col("value"), F.length("value") > LONG_VALUE
+    facts = F.coalesce("_mask", F.when(value.isNotNull(), _mask(value))).alias("_facts")
+    values = (
+        cells.select(
+            "column_name",
+            F.when(long, F.md5("value")).otherwise(value).alias("value"),
+            F.when(long, _mask(value)).alias("_mask"),
         )
-    counts = pattern_counts(df, columns)
-    return counts.join(distinct, "column_name", "left").na.fill(0, ["unique_count"])
+        .groupBy("column_name", "value", "_mask")
+        .agg(F.count("*").alias("_n"))
+        # Matched here and not within the sums below, which would match again for each fact.
+        .select("column_name", "_n", "value", facts)
+    )
+    n = F.col("_n")
+    return values.groupBy("column_name").agg(
+        _counted("null_count", value.isNull(), n),
+        _counted("n", value.isNotNull(), n),
+        *[
+            _counted(k, F.col("_facts").bitwiseAND(F.lit(1 << i)) != 0, n)
+            for i, k in enumerate(_facts(value))
+        ],
+        F.count("value").alias("unique_count"),
+    )
 
 
 def detected_type() -> Column:
