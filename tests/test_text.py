@@ -130,6 +130,27 @@ def test_retrieval_equals_brute_force_with_a_hot_term(spark):
     assert best.groupBy("query_id").count().filter("count > 2").count() == 0
 
 
+def test_pruning_scores_few_pairs_and_loses_none(spark):
+    """Every chunk holds common words; the rare ones of a query decide."""
+    rng = random.Random(12)
+    common, rare = [f"common{i}" for i in range(12)], [f"rare{i}" for i in range(150)]
+    chunks = {f"c{i:03d}": " ".join(rng.sample(common, 8) + rng.sample(rare, 5)) for i in range(300)}
+    queries = {i: " ".join(rng.sample(common, 4) + rng.sample(rare, 3)) for i in range(30)}
+    c = spark.createDataFrame(list(chunks.items()), "chunk_id string, text string")
+    q = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    index = retrieval.build_index(c, max_terms=400, stop_words=[])
+    got = {i: [] for i in queries}
+    for r in retrieval.retrieve(q, index, stop_words=[]).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, r.similarity))
+    assert got == _brute_scores(chunks, queries, set(), 400)
+    found, weak = retrieval.candidates(retrieval.query_weights(q, index.terms, []), index)
+    assert found.count() < len(chunks) * len(queries) / 8 and weak.count() > 0
+    assert found.select("query_id", "chunk_id").distinct().count() == found.count()
+    # Without a number of results only the least similarity prunes.
+    every = retrieval.similarities(retrieval.query_weights(q, index.terms, []), index, None, 0.0)
+    assert every.filter("similarity > 0").count() > found.count()
+
+
 def test_index_survives_a_round_trip(spark, tmp_path):
     c = spark.createDataFrame([("a", "alpha beta gamma"), ("b", "beta delta")], "chunk_id string, text string")
     index = retrieval.build_index(c, stop_words=[])

@@ -1,10 +1,15 @@
 """TF-IDF index over text chunks and batch retrieval of evidence.
 
-The index is three tables: ``chunks``, ``postings (chunk_id, term, weight)`` and ``terms (term,
-chunk_frequency, idf)``. Tokens are spread by chunk, so counting terms, weighting and normalising a
-chunk all happen where its text already is. A query batch is matched by term: while its terms are few
-enough to broadcast, the sums over common terms are formed next to the postings and only the best
-chunks per query and task are shuffled.
+The index is four tables: ``chunks``, ``postings (chunk_id, term, weight)``, ``terms (term,
+chunk_frequency, idf)`` and ``bounds (term, max_weight)``. Tokens are spread by chunk, so counting terms,
+weighting and normalising a chunk all happen where its text already is.
+
+A query batch is matched by term, and exactly, without scoring every chunk that shares a term. A term
+adds at most its query weight times its largest weight to a similarity. Sums over the two strongest
+terms of a query give a similarity that its k-th best chunk reaches for certain. A query's weakest terms, as
+long as all of them together stay below that, can't bring a chunk among the best by themselves: their
+postings, the longest ones, are not read for candidates. Of the others' sums, only those that could
+still get there are completed with the weak terms.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ TOKEN = r"([\p{L}\p{N}_]{2,})"
 BROADCAST_ROWS = 1_000_000
 #: Postings of a term that meet the queries in one task.
 SALT_ROWS = 100_000
+#: Strongest terms of a query whose sums say what its best chunks reach at least.
+SEED_TERMS = 2
+#: More than rounding can move a similarity.
+ROUNDING = 1e-6
 
 
 @dataclass
@@ -34,17 +43,20 @@ class Index:
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
+    bounds: DataFrame
 
     def save(self, path: str) -> None:
-        """Write the three tables under a folder."""
+        """Write the tables under a folder; postings by term, so that a query batch skips those of others."""
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        by_term = self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
+        by_term.write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.bounds.write.mode("overwrite").parquet(f"{path}/bounds")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         return Index(
-            *[spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "terms")]
+            *[spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "terms", "bounds")]
         )
 
 
@@ -116,13 +128,15 @@ def build_index(
 ) -> Index:
     """Index chunks ``(chunk_id, text, …)``.
 
-    The texts are cut into terms once; vocabulary and weights both derive from the settled counts.
+    The texts are cut into terms once; vocabulary and weights both derive from the settled counts, and the
+    postings, which every retrieval reads more than once, are settled as well.
     The vocabulary holds at most ``max_terms`` rows and is broadcast.
     """
     counts = settle(term_counts(chunks, "chunk_id", "text", stop_words))
     total = counts.filter("term is null").count()
     terms = settle(vocabulary(counts, total, max_terms))
-    return Index(chunks, weighted(counts, "chunk_id", terms), terms)
+    postings = settle(weighted(counts, "chunk_id", terms))
+    return Index(chunks, postings, terms, postings.groupBy("term").agg(F.max("weight").alias("max_weight")))
 
 
 def query_weights(
@@ -132,34 +146,116 @@ def query_weights(
     return weighted(term_counts(queries, "query_id", "text", stop_words), "query_id", terms)
 
 
-def similarities(
+def _by_term(
     weights: DataFrame, postings: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
     salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
-    """``(query_id, chunk_id, similarity)`` of all query-chunk combinations that share a term.
+    """Postings joined with ``weights (term, …)`` of a query batch.
 
     The size of the query side is counted before it is broadcast. A larger batch is joined by
     (term, salt): a term has a salt for every ``salt_rows`` of its postings, so one that occurs in
     most chunks is spread over as many tasks as it needs, and a rare one is not copied.
     """
-    query = weights.select("query_id", "term", F.col("weight").alias("_qw"))
-    if query.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = postings.join(F.broadcast(query), "term")
-    else:
-        sizes = lookup(
-            postings.groupBy("term").agg(
-                F.ceil(F.count("*") / F.lit(salt_rows)).cast("long").alias("_salts")
-            )
-        )
-        salted = postings.join(sizes, "term").select(
-            *postings.columns, F.pmod(F.xxhash64("chunk_id"), F.col("_salts")).alias("_salt")
+    if weights.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return postings.join(F.broadcast(weights), "term")
+    sizes = lookup(
+        postings.groupBy("term").agg(
+            F.ceil(F.count("*") / F.lit(salt_rows)).cast("long").alias("_salts")
         )
-        copies = query.join(sizes, "term").select(
-            *query.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt")
+    )
+    salted = postings.join(sizes, "term").select(
+        *postings.columns, F.pmod(F.xxhash64("chunk_id"), F.col("_salts")).alias("_salt")
+    )
+    copies = weights.join(sizes, "term").select(
+        *weights.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt")
+    )
+    return salted.join(copies, ["term", "_salt"])
+
+
+def _partial(
+    weights: DataFrame, postings: DataFrame, broadcast_rows: int, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(query_id, chunk_id, keep…, _sum)``: sums over the given terms of the queries."""
+    joined = _by_term(weights, postings, broadcast_rows)
+    return joined.groupBy("query_id", "chunk_id", *keep).agg(F.sum(F.col("weight") * F.col("_qw")).alias("_sum"))
+
+
+def _reached(sums: DataFrame, top_k: int) -> DataFrame:
+    """``(query_id, _reached)``: what ``top_k`` chunks of a query have at least, if so many are known."""
+    by_sum = Window.partitionBy("query_id").orderBy(F.col("_sum").desc())
+    best = sums.withColumn("_n", F.row_number().over(by_sum)).filter(F.col("_n") <= top_k)
+    return best.groupBy("query_id").agg(F.when(F.count("*") == top_k, F.min("_sum")).alias("_reached"))
+
+
+def candidates(
+    weights: DataFrame,
+    index: Index,
+    top_k: int | None = TOP_K,
+    min_similarity: float = MIN_SIMILARITY,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """The combinations of query and chunk that can be among the results, with the sum over the strong
+    terms (``query_id, chunk_id, _sum``), and the weak terms ``(query_id, term, _qw)`` that are still to be added.
+
+    All others have at most ``min_similarity``, or less than ``top_k`` chunks of the query reach.
+    """
+    at_most = F.col("_qw") * F.col("max_weight")
+    bounded = weights.select("query_id", "term", F.col("weight").alias("_qw")).join(
+        broadcast_if_small(index.bounds), "term"
+    )
+    strongest = Window.partitionBy("query_id").orderBy(at_most.desc(), "term")
+    ranked = settle(
+        bounded.select(
+            "query_id", "term", "_qw", F.row_number().over(strongest).alias("_place"),
+            # What this term and all weaker ones can add.
+            F.sum(at_most).over(strongest.rowsBetween(0, Window.unboundedFollowing)).alias("_rest"),
         )
-        joined = salted.join(copies, ["term", "_salt"])
-    return joined.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(F.col("weight") * F.col("_qw")), 6).alias("similarity")
+    )
+    needed = F.lit(min_similarity)
+    if top_k is not None:
+        seeds = ranked.filter(F.col("_place") <= SEED_TERMS).select("query_id", "term", "_qw")
+        reached = _reached(_partial(seeds, index.postings, broadcast_rows), top_k)
+        ranked = settle(ranked.join(reached, "query_id", "left"))
+        needed = F.greatest(needed, F.coalesce("_reached", F.lit(0.0)))
+    # Similarities are rounded to six digits before they are compared.
+    weak = F.col("_rest") < needed - ROUNDING
+    split = ranked.select("query_id", "term", "_qw", weak.alias("_weak"), "_rest", needed.alias("_needed"))
+    beyond = split.filter("_weak").groupBy("query_id").agg(F.max("_rest").alias("_beyond"))
+    strong = split.filter("NOT _weak").join(beyond, "query_id", "left").select(
+        "query_id", "term", "_qw", "_needed", F.coalesce("_beyond", F.lit(0.0)).alias("_beyond")
+    )
+    found = _partial(settle(strong), index.postings, broadcast_rows, ["_needed", "_beyond"])
+    needed = F.col("_needed")
+    if top_k is not None:  # the sums over all strong terms say more than those of the strongest
+        found = settle(found.filter(F.col("_sum") >= F.col("_needed") - F.col("_beyond") - ROUNDING))
+        found = found.join(_reached(found, top_k), "query_id", "left")
+        needed = F.greatest(needed, F.coalesce("_reached", F.lit(0.0)))
+    kept = found.filter(F.col("_sum") >= needed - F.col("_beyond") - ROUNDING)
+    return kept.select("query_id", "chunk_id", "_sum"), split.filter("_weak").select("query_id", "term", "_qw")
+
+
+def similarities(
+    weights: DataFrame,
+    index: Index,
+    top_k: int | None = TOP_K,
+    min_similarity: float = MIN_SIMILARITY,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``(query_id, chunk_id, similarity)`` of the combinations that can be among the results.
+
+    Candidates are stored; their chunks' postings are read once more for the weak terms of the queries.
+    """
+    found, weak = candidates(weights, index, top_k, min_similarity, broadcast_rows)
+    found, weak = settle(found), settle(weak)
+    terms = broadcast_if_small(weak.select("term").distinct())
+    rest = (
+        index.postings.join(terms, "term", "left_semi")
+        .join(broadcast_if_small(found.select("query_id", "chunk_id"), broadcast_rows), "chunk_id")
+        .join(broadcast_if_small(weak, broadcast_rows), ["query_id", "term"])
+        .select("query_id", "chunk_id", (F.col("weight") * F.col("_qw")).alias("_sum"))
+    )
+    return found.unionByName(rest).groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum("_sum"), 6).alias("similarity")
     )
 
 
@@ -173,7 +269,7 @@ def retrieve(
 ) -> DataFrame:
     """``(query_id, rank, chunk_id, similarity)``: the best chunks of every query in a batch."""
     weights = query_weights(queries, index.terms, stop_words)
-    scored = similarities(weights, index.postings, broadcast_rows)
+    scored = similarities(weights, index, top_k, min_similarity, broadcast_rows)
     by_similarity = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
     return (
         scored.withColumn("rank", F.row_number().over(by_similarity))
@@ -218,7 +314,7 @@ def evidence_documents(
     A document counts with its best chunk. ``chunks`` must carry ``doc_id``.
     """
     weights = query_weights(statements, index.terms, stop_words)
-    scored = similarities(weights, index.postings, broadcast_rows)
+    scored = similarities(weights, index, None, min_similarity, broadcast_rows)
     documents = index.chunks.select("chunk_id", "doc_id")
     best = (
         scored.filter(F.col("similarity") > min_similarity)
