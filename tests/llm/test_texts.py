@@ -66,7 +66,7 @@ def test_lines_keep_columns_and_empty_tables(edges, empty):
 
 
 def brute_passages(rows, window):
-    """Kept texts; rows that share an id are one document: the earlier start decides."""
+    """Kept texts; of rows that share an id the earlier start decides, each loses its own words."""
     def words(t):
         return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
 
@@ -82,11 +82,11 @@ def brute_passages(rows, window):
         w = words(t)
         for s in range(len(w) - window + 1):
             if first[tuple(w[s : s + window])] < (i is not None, i or 0, s):
-                gone.setdefault(i, set()).update(range(s, s + window))
+                gone.setdefault((i, t), set()).update(range(s, s + window))
     out = []
     for i, t in rows:
         w = words(t)
-        dropped = gone.get(i, set())
+        dropped = gone.get((i, t), set())
         kept = [x for k, x in enumerate(w) if k not in dropped]
         out.append((i, len(w), len(w) - len(kept), b" ".join(kept).decode()))
     return Counter(out)
@@ -111,6 +111,35 @@ def test_passages_of_random_words(spark):
         assert passages(df, window=8, anchor=3, max_bits=bits) == brute_passages(rows, 8)
 
 
+def test_texts_of_one_id_lose_their_own_words_only(spark):
+    known = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"u{i}" for i in range(60))
+    rows = [(1, known), (2, known), (2, other), (2, other), (None, "x"), (None, known + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages(df.where("doc_id IS NOT NULL").repartition(4))
+    assert got == brute_passages(rows[:4], 20)
+    assert got[(2, 60, 0, other)] == 2 and got[(2, 60, 60, "")] == 1
+    assert passages(df) == brute_passages(rows, 20)
+
+
+def test_first_and_repeated_windows_of_shuffled_rows(spark):
+    """Repeats are found whether they meet in one Arrow batch or in several, of 3 rows each."""
+    rng = random.Random(8)
+    shared = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(4)]
+    rows = [
+        (i % 70, f"head{i} " + " ".join(rng.sample(shared, 2)) + f" mid{i} " + rng.choice(shared))
+        for i in range(90)
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "text")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = passages(df)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == passages(df) == brute_passages(rows, 20)
+
+
 def test_factors_name_their_reference(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text), (2, "before " + text + " after"), (3, "no repeat")]

@@ -19,9 +19,12 @@ windows are looked up in every block that may hold them. Two things keep this sm
 
 Windows are compared by 96 bits of hash, which differ from those that choose the blocks' bits.
 
+First and repeated windows of a batch leave the same pass over the texts, so both come from one
+cut into batches, whatever order the rows were read in.
+
 Nulls, ties, repeats: a null text has no words; a null id comes before all others; rows that share
-an id are one document with several texts, and of windows that start at the same word of both,
-neither is earlier. Texts of fewer words than a window stay whole. Extra columns are left out.
+an id are one document with several texts, told apart by a hash of the text, and of windows that
+start at the same word of both, neither is earlier. Texts of fewer words than a window stay whole. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ordering import broadcast_if_small
 from . import bloom
-from .base import chunks, null_safe, stored, utf8
+from .base import chunks, stored, utf8
 from .wordhash import NOT_SPACE, run_hashes, spans, word_hashes
 
 WINDOW = 20
@@ -115,14 +120,16 @@ def repeated_anchors(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     return counted.groupBy("a").agg(F.sum("n").alias("n")).where("n >= 2").select("a")
 
 
-_FIRSTS = "h long, doc long, x long"
-_FOUND = "doc long, s long, ref_doc long, ref_s long"
+#: First windows of a batch go to the index by ``h``; repeated ones (``repeats``) only pass by.
+_SEEN = "h long, repeats boolean, doc long, t long, x long, ref_doc long, ref_x long"
+_FOUND = "doc long, t long, s long, ref_doc long, ref_s long"
 
 
 def _suspect_windows(batch: pa.RecordBatch, probe, window: int, anchor: int):
-    """Windows of a batch whose anchor may be repeated: hash, document, check bits and start."""
-    docs = batch.column(0).to_numpy(zero_copy_only=False)
-    texts = batch.column(1).to_pylist()
+    """Windows of a batch whose anchor may be repeated: hash, document, text number, check bits
+    and start."""
+    docs, numbers = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    texts = batch.column(2).to_pylist()
     held = []
     for lo, hi in chunks(texts):
         words, first = _words(texts[lo:hi])
@@ -141,29 +148,29 @@ def _suspect_windows(batch: pa.RecordBatch, probe, window: int, anchor: int):
         half = run_hashes(words, window // 2)
         check = (half[starts] ^ (half[starts + window - window // 2] << np.uint64(1))) >> np.uint64(33)
         x = (check.astype(np.int64) << 32) | (starts - first[owner])
-        held.append((h.view(np.int64), docs[lo + owner], x))
+        held.append((h.view(np.int64), docs[lo + owner], numbers[lo + owner], x))
     if not held:
-        empty = np.empty(0, dtype=np.int64)
-        return empty, empty, empty
+        return (np.empty(0, dtype=np.int64),) * 4
     return tuple(np.concatenate(c) for c in zip(*held))
 
 
-def _in_order(h, doc, x):
+def _in_order(h, doc, t, x):
     """Sort by window, then document and start; where a window's group begins."""
     check = x >> 32
     order = np.lexsort((x, doc, check, h))
-    h, doc, x, check = h[order], doc[order], x[order], check[order]
+    h, doc, t, x, check = h[order], doc[order], t[order], x[order], check[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-    return h, doc, x, new
+    return h, doc, t, x, new
 
 
 def repeated_windows(
     docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_bits: int = bloom.MAX_BITS
 ) -> DataFrame:
-    """``(doc, s, ref_doc, ref_s)``: windows (by their first word) with an earlier occurrence.
+    """``(doc, t, s, ref_doc, ref_s)``: windows (by their first word) with an earlier occurrence.
 
-    ``docs`` has ``doc`` (long, not null) and ``text``.
+    ``docs`` has ``doc`` (long, not null), ``t`` (long, not null: tells texts of one document
+    apart) and ``text``.
     """
     spark = docs.sparkSession
     repeated = stored(repeated_anchors(docs, window, anchor), "anchors")
@@ -177,31 +184,41 @@ def repeated_windows(
         spark, uuid.uuid4().hex, bloom.twice_seen(repeated, hashes_of, bits), bits
     )
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, doc, x, new = _in_order(*_suspect_windows(batch, probe, window, anchor))
+            h, doc, t, x, new = _in_order(*_suspect_windows(batch, probe, window, anchor))
+            ref = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else new.astype(np.int64)
+            ref_doc, ref_x = doc[ref], x[ref]
+            # A repeated window needs no index; its rows are spread by document and start.
+            away = (doc ^ (x & 0xFFFFFFFF)) * np.int64(-7046029254386353131)
+            stays = new | (doc != ref_doc) | (x != ref_x)
+            first = new[stays]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[new]), pa.array(doc[new]), pa.array(x[new])], names=["h", "doc", "x"]
+                [
+                    pa.array(np.where(new, h, away)[stays]), pa.array(~first),
+                    pa.array(doc[stays]), pa.array(t[stays]), pa.array(x[stays]),
+                    pa.array(ref_doc[stays], mask=first), pa.array(ref_x[stays], mask=first),
+                ],
+                names=["h", "repeats", "doc", "t", "x", "ref_doc", "ref_x"],
             )
 
-    def found(doc, x, ref_doc, ref_x) -> pa.RecordBatch:
+    def found(doc, t, x, ref_doc, ref_x) -> pa.RecordBatch:
         s, ref_s = x & 0xFFFFFFFF, ref_x & 0xFFFFFFFF
         later = (doc != ref_doc) | (s != ref_s)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c[later]) for c in (doc, s, ref_doc, ref_s)],
-            names=["doc", "s", "ref_doc", "ref_s"],
+            [pa.array(c[later]) for c in (doc, t, s, ref_doc, ref_s)],
+            names=["doc", "t", "s", "ref_doc", "ref_s"],
         )
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, doc, x, new = _in_order(*_suspect_windows(batch, probe, window, anchor))
-            ref = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else new.astype(np.int64)
-            yield found(doc[~new], x[~new], doc[ref[~new]], x[ref[~new]])
-
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # window and first occurrence of the group that the last batch ended in
         for batch in batches:
-            h, doc, x = (c.to_numpy() for c in batch.columns)
+            repeats = batch.column(1)
+            if batch.num_rows and repeats[batch.num_rows - 1].as_py():
+                passing = batch.filter(repeats)
+                yield found(*(c.to_numpy() for c in passing.columns[2:]))
+                batch = batch.filter(pc.invert(repeats))
+            h, doc, t, x = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
             if not len(h):
                 continue
             check = x >> 32
@@ -209,19 +226,19 @@ def repeated_windows(
             new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
             new[0] = last is None or (h[0], check[0]) != last[0]
             if not new[0]:
-                doc, x = np.append(last[1], doc), np.append(last[2], x)
+                doc, t, x = (np.append(o, c) for o, c in zip(last[1:], (doc, t, x)))
                 new = np.append(True, new)
             ref = np.flatnonzero(new)[np.cumsum(new) - 1]
-            yield found(doc[~new], x[~new], doc[ref[~new]], x[ref[~new]])
-            last = ((h[-1], check[-1]), doc[ref[-1]], x[ref[-1]])
+            yield found(doc[~new], t[~new], x[~new], doc[ref[~new]], x[ref[~new]])
+            last = ((h[-1], check[-1]), doc[ref[-1]], t[ref[-1]], x[ref[-1]])
 
-    across = (
-        docs.mapInArrow(firsts, _FIRSTS)
+    return (
+        docs.mapInArrow(seen, _SEEN)
         .repartition("h")
-        .sortWithinPartitions("h", F.shiftright("x", 32), "doc", "x")
+        # First windows come before those that only pass.
+        .sortWithinPartitions("repeats", "h", F.shiftright("x", 32), "doc", "x")
         .mapInArrow(look_up, _FOUND)
     )
-    return across.unionByName(docs.mapInArrow(inside, _FOUND))
 
 
 def parse(s: np.ndarray, ref_doc: np.ndarray, ref_s: np.ndarray, window: int) -> np.ndarray:
@@ -247,17 +264,20 @@ def deduplicate(
     joined by one space; ``factors`` the duplicate spans as an array of (start, length, ref_doc,
     ref_start), in words. A null reference id reads as the lowest number."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = slim.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc"), "text")
+    named = slim.withColumn("doc", F.coalesce("doc_id", F.lit(_LOWEST)))
+    # Texts get a number of their own only where several rows share an id.
+    shared = stored(named.groupBy("doc").count().where("count > 1").select("doc"), "shared-ids")
+    shared = broadcast_if_small(shared.withColumn("_shared", F.lit(True)))
+    numbered = named.join(shared, "doc", "left").select(
+        "doc_id", "doc", "text",
+        F.when(F.col("_shared"), F.xxhash64("text")).otherwise(F.lit(0)).alias("t"),
+    )
     repeated = (
-        repeated_windows(keyed, window, anchor, max_bits)
-        .groupBy("doc")
+        repeated_windows(numbered.select("doc", "t", "text"), window, anchor, max_bits)
+        .groupBy("doc", "t")
         .agg(F.collect_list(F.struct("s", "ref_doc", "ref_s")).alias("seeds"))
     )
-    joined = (
-        slim.withColumn("_key", F.coalesce("doc_id", F.lit(_LOWEST)))
-        .join(repeated, F.col("_key") == F.col("doc"), "left")
-        .select("doc_id", "text", "seeds")
-    )
+    joined = numbered.join(repeated, ["doc", "t"], "left").select("doc_id", "text", "seeds")
     factor = pa.struct([("start", pa.int64()), ("length", pa.int64()),
                         ("ref_doc", pa.int64()), ("ref_start", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
@@ -272,9 +292,9 @@ def deduplicate(
                 spans_found: list[dict] = []
                 if seeds.values is not None and len(seeds.values):
                     s, ref_doc, ref_s = (c.to_numpy() for c in seeds.values.flatten())
-                    # Rows that share an id may give windows beyond the end of this text; those
-                    # of another text of the same id are told apart in `deduplicate` by the id only.
-                    order = np.argsort(s, kind="stable")
+                    # Rows with the same id and text give each of their windows several times.
+                    order = np.lexsort((ref_s, ref_doc, s))
+                    order = order[np.append(True, np.diff(s[order]) > 0)]
                     s, ref_doc, ref_s = s[order], ref_doc[order], ref_s[order]
                     parsed = parse(s, ref_doc, ref_s, window)
                     change = np.zeros(len(words) + 1, dtype=np.int64)
