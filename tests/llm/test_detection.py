@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +82,44 @@ def test_terms_are_no_parts_of_each_other():
     assert set(toxicity.choose_terms(rows, 100, 100)) == {" scum", " moron"}
 
 
+def test_exceptions_take_out_the_matches_they_cover():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        found = [(int(p), "x", 1.0) for p in rng.integers(0, 40, 12)]
+        spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 40, 5), rng.integers(0, 9, 5))]
+        want = [f for f in sorted(found) if not any(a <= f[0] < b for a, b in spans)]
+        assert toxicity.outside(found, spans) == want
+
+
+def test_many_exceptions_in_a_long_text():
+    found = lexicon()
+    text = "trash bag trash can " * 50_000
+    started = time.monotonic()
+    assert found.features(text) == (200_000, 50_000, 50_000.0)
+    assert time.monotonic() - started < 20
+
+
+def test_scores_equal_plain_search(documents, edges):
+    """Every place of every folded text is tried with every entry and exception."""
+    known = lexicon()
+    known.curve = (-3.0, 1.5, 0.1)
+    df = documents.select("doc_id", "text").unionByName(edges.select("doc_id", "text"))
+    texts = [r.text for r in df.collect()] + ["scum trash can trash", "pond scum scum"]
+    phrases = [f" {' '.join(toxicity.fold(e).split())} " for e in known.exceptions]
+    for text in texts:
+        words = toxicity.fold(text).split()
+        plain = f" {' '.join(words)} "
+        starts = lambda p: [i for i in range(len(plain)) if words and plain.startswith(p, i)]
+        spans = [(i, i + len(p) - 1) for p in phrases if p.strip()[:5] in plain for i in starts(p)]
+        hits = [
+            (i, w) for p, w in known.weights.items() if p.strip() in plain for i in starts(p)
+            if not any(a <= i < b for a, b in spans)
+        ]
+        assert known.features(text) == (len(words), len(hits), sum(w for _, w in hits))
+    scored = toxicity.score(df, known).collect()
+    assert len(scored) == df.count()
+
+
 @pytest.fixture(scope="module")
 def held_out(spark):
     sf = SF.replace("0.001", "0.1")

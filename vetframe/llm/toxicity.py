@@ -111,6 +111,23 @@ def patterns_of(text: str | None) -> set[str]:
     return found
 
 
+def outside(found: list[tuple], spans: list[tuple[int, int]]) -> list[tuple]:
+    """The entries of ``found`` whose place (their first item) lies in none of ``[from, to)``.
+
+    One sweep over both in order: a place is covered if any span that begins up to it reaches
+    beyond it.
+    """
+    spans = sorted(spans)
+    kept, at, reach = [], 0, -1
+    for f in sorted(found):
+        while at < len(spans) and spans[at][0] <= f[0]:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if f[0] >= reach:
+            kept.append(f)
+    return kept
+
+
 @dataclass
 class Lexicon:
     """Entries with weights, exception phrases, and the curve from weights to a score."""
@@ -154,7 +171,7 @@ class Lexicon:
             else:
                 found.append((start, plain[start : end + 1], w))
         if harmless:
-            found = [f for f in found if not any(a <= f[0] < b for a, b in harmless)]
+            found = outside(found, harmless)
         return len(words), found
 
     def features(self, text: str | None) -> tuple[int, int, float]:
