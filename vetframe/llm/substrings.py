@@ -120,9 +120,9 @@ def repeated_anchors(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     return counted.groupBy("a").agg(F.sum("n").alias("n")).where("n >= 2").select("a")
 
 
-#: First windows of a batch go to the index by ``h``; repeated ones (``repeats``) only pass by.
-_SEEN = "h long, repeats boolean, doc long, t long, x long, ref_doc long, ref_x long"
-_FOUND = "doc long, t long, s long, ref_doc long, ref_s long"
+#: First windows of a batch go to the index by ``h``; repeated ones, ``n`` in a row, only pass by.
+_SEEN = "h long, n int, doc long, t long, x long, ref_doc long, ref_x long"
+_FOUND = "doc long, t long, s long, n int, ref_doc long, ref_s long"
 
 
 def _suspect_windows(batch: pa.RecordBatch, probe, window: int, anchor: int):
@@ -164,10 +164,24 @@ def _in_order(h, doc, t, x):
     return h, doc, t, x, new
 
 
+def _runs(doc, t, s, ref_doc, ref_s):
+    """Repeated windows that follow each other, as their references do, as one row with their
+    number."""
+    order = np.lexsort((s, t, doc))
+    columns = [c[order] for c in (doc, t, s, ref_doc, ref_s)]
+    goes_on = np.ones(max(0, len(order) - 1), dtype=bool)
+    for c, step in zip(columns, (0, 0, 1, 0, 1)):
+        goes_on &= c[1:] == c[:-1] + step
+    first = np.flatnonzero(np.append(True, ~goes_on)[: len(order)])
+    n = np.diff(np.append(first, len(order))).astype(np.int32)
+    return [c[first] for c in columns], n
+
+
 def repeated_windows(
     docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_bits: int = bloom.MAX_BITS
 ) -> DataFrame:
-    """``(doc, t, s, ref_doc, ref_s)``: windows (by their first word) with an earlier occurrence.
+    """``(doc, t, s, n, ref_doc, ref_s)``: windows with an earlier occurrence, ``n`` in a row from
+    the one that starts at word ``s``.
 
     ``docs`` has ``doc`` (long, not null), ``t`` (long, not null: tells texts of one document
     apart) and ``text``.
@@ -188,35 +202,36 @@ def repeated_windows(
         for batch in batches:
             h, doc, t, x, new = _in_order(*_suspect_windows(batch, probe, window, anchor))
             ref = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else new.astype(np.int64)
-            ref_doc, ref_x = doc[ref], x[ref]
-            # A repeated window needs no index; its rows are spread by document and start.
-            away = (doc ^ (x & 0xFFFFFFFF)) * np.int64(-7046029254386353131)
-            stays = new | (doc != ref_doc) | (x != ref_x)
-            first = new[stays]
+            s, ref_s = x & 0xFFFFFFFF, x[ref] & 0xFFFFFFFF
+            later = ~new & ((doc != doc[ref]) | (s != ref_s))
+            run, n = _runs(doc[later], t[later], s[later], doc[ref[later]], ref_s[later])
+            # They need no index; they are spread by document and start.
+            away = (run[0] ^ run[2]) * np.int64(-7046029254386353131)
+            none = np.arange(int(new.sum()) + len(n)) < int(new.sum())
+            held = [(h[new], away), (np.zeros(int(new.sum()), np.int32), n)]
+            held += list(zip((doc[new], t[new], x[new]), run[:3]))
+            held += [(np.zeros(int(new.sum()), np.int64), c) for c in run[3:]]
+            values = [np.concatenate(c) for c in held]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(new, h, away)[stays]), pa.array(~first),
-                    pa.array(doc[stays]), pa.array(t[stays]), pa.array(x[stays]),
-                    pa.array(ref_doc[stays], mask=first), pa.array(ref_x[stays], mask=first),
-                ],
-                names=["h", "repeats", "doc", "t", "x", "ref_doc", "ref_x"],
+                [pa.array(c) for c in values[:5]] + [pa.array(c, mask=none) for c in values[5:]],
+                names=["h", "n", "doc", "t", "x", "ref_doc", "ref_x"],
             )
 
-    def found(doc, t, x, ref_doc, ref_x) -> pa.RecordBatch:
+    def found(doc, t, x, n, ref_doc, ref_x) -> pa.RecordBatch:
         s, ref_s = x & 0xFFFFFFFF, ref_x & 0xFFFFFFFF
         later = (doc != ref_doc) | (s != ref_s)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c[later]) for c in (doc, t, s, ref_doc, ref_s)],
-            names=["doc", "t", "s", "ref_doc", "ref_s"],
+            [pa.array(c[later]) for c in (doc, t, s, n, ref_doc, ref_s)],
+            names=["doc", "t", "s", "n", "ref_doc", "ref_s"],
         )
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # window and first occurrence of the group that the last batch ended in
         for batch in batches:
-            repeats = batch.column(1)
+            repeats = pc.greater(batch.column(1), 0)
             if batch.num_rows and repeats[batch.num_rows - 1].as_py():
                 passing = batch.filter(repeats)
-                yield found(*(c.to_numpy() for c in passing.columns[2:]))
+                yield found(*(passing.column(i).to_numpy() for i in (2, 3, 4, 1, 5, 6)))
                 batch = batch.filter(pc.invert(repeats))
             h, doc, t, x = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
             if not len(h):
@@ -229,14 +244,15 @@ def repeated_windows(
                 doc, t, x = (np.append(o, c) for o, c in zip(last[1:], (doc, t, x)))
                 new = np.append(True, new)
             ref = np.flatnonzero(new)[np.cumsum(new) - 1]
-            yield found(doc[~new], t[~new], x[~new], doc[ref[~new]], x[ref[~new]])
+            one = np.ones(int((~new).sum()), dtype=np.int32)
+            yield found(doc[~new], t[~new], x[~new], one, doc[ref[~new]], x[ref[~new]])
             last = ((h[-1], check[-1]), doc[ref[-1]], t[ref[-1]], x[ref[-1]])
 
     return (
         docs.mapInArrow(seen, _SEEN)
         .repartition("h")
         # First windows come before those that only pass.
-        .sortWithinPartitions("repeats", "h", F.shiftright("x", 32), "doc", "x")
+        .sortWithinPartitions("n", "h", F.shiftright("x", 32), "doc", "x")
         .mapInArrow(look_up, _FOUND)
     )
 
@@ -275,7 +291,7 @@ def deduplicate(
     repeated = (
         repeated_windows(numbered.select("doc", "t", "text"), window, anchor, max_bits)
         .groupBy("doc", "t")
-        .agg(F.collect_list(F.struct("s", "ref_doc", "ref_s")).alias("seeds"))
+        .agg(F.collect_list(F.struct("s", "n", "ref_doc", "ref_s")).alias("seeds"))
     )
     joined = numbered.join(repeated, ["doc", "t"], "left").select("doc_id", "text", "seeds")
     factor = pa.struct([("start", pa.int64()), ("length", pa.int64()),
@@ -291,7 +307,10 @@ def deduplicate(
                 stays = words
                 spans_found: list[dict] = []
                 if seeds.values is not None and len(seeds.values):
-                    s, ref_doc, ref_s = (c.to_numpy() for c in seeds.values.flatten())
+                    s, n, ref_doc, ref_s = (c.to_numpy() for c in seeds.values.flatten())
+                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    s, ref_s = np.repeat(s, n) + step, np.repeat(ref_s, n) + step
+                    ref_doc = np.repeat(ref_doc, n)
                     # Rows with the same id and text give each of their windows several times.
                     order = np.lexsort((ref_s, ref_doc, s))
                     order = order[np.append(True, np.diff(s[order]) > 0)]
