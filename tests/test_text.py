@@ -52,6 +52,33 @@ def test_paragraph_chunks_pack_and_cut(spark):
     assert sizes == {0: [7, 5], 1: [6, 10, 10, 5], 2: [10], 3: [11]}
 
 
+def test_paragraph_chunks_equal_plain_packing(spark):
+    """Random paragraphs over many blocks, and a text of 100,000 of them."""
+    rng = random.Random(2)
+    counts = [[rng.choice((1, 2, 3, 5, 8, 13, 30)) for _ in range(n)] for n in (1, 255, 256, 257, 900)]
+    counts.append([rng.choice((1, 4, 7)) for _ in range(100_000)])
+
+    def plain(sizes, target=10, minimum=3):
+        out, held = [], 0
+        for n in sizes:
+            if n >= 12:
+                out += [held] + [min(target, n - i) for i in range(0, n, target)]
+                held = 0
+            elif held + n <= target:
+                held += n
+            else:
+                out.append(held)
+                held = n
+        return [n for n in out + [held] if n >= minimum]
+
+    values = ["\n\n".join(" ".join(["w"] * n) for n in sizes) for sizes in counts]
+    rows = text.paragraph_chunks(_texts(spark, values), ["id"], target=10, minimum=3)
+    got = {}
+    for r in rows.orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(len(r.text.split()))
+    assert got == {i: plain(sizes) for i, sizes in enumerate(counts) if plain(sizes)}
+
+
 def test_cleaning_removes_words_inside_words(spark):
     df = _texts(spark, ["Excited <b>x</b> [a](http://u.v) see www.x.y\n\n\n  end", None, "No content found in response"])
     got = [r[0] for r in df.orderBy("id").select(text.clean_content(F.col("text"))).collect()]

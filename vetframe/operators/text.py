@@ -13,6 +13,9 @@ from ..functions.columns import let
 # Chunk sizes, statement limits and the words that make a statement testable.
 CHUNK_WORDS, CHUNK_OVERLAP, CHUNK_MIN_CHARS = 500, 50, 50
 PARAGRAPH_TARGET, PARAGRAPH_MIN, PARAGRAPH_SLACK = 512, 120, 1.2
+#: Paragraphs whose chunk borders are gathered together.
+PARAGRAPH_BLOCK = 256
+_BORDERS = "array<struct<first:int,end:int,long:boolean>>"
 STATEMENT_MIN_CHARS, ASSERTION_CHARS, STATEMENTS_PER_TEXT = 20, 100, 50
 TESTABLE_WORDS = (
     "is", "are", "was", "were", "has", "have", "had",
@@ -102,37 +105,91 @@ def paragraph_chunks_of(
 
     Paragraphs are packed greedily; one that is much longer than the target is cut by itself.
     Pieces under ``minimum`` words are dropped.
+
+    The packing only carries numbers: the chunk's first paragraph and its words so far. Borders are
+    gathered in blocks of ``PARAGRAPH_BLOCK`` paragraphs, so that no long array is copied at each
+    step, and the words are put together once the borders are known.
     """
-    empty = F.array().cast("array<string>")
     paragraphs = F.filter(
         F.transform(F.split(text, r"\n{2,}"), lambda p: words(p)), lambda w: F.size(w) > 0
     )
+    none = F.array().cast(_BORDERS)
+
+    def border(first, end, long):
+        return F.struct(first.alias("first"), end.alias("end"), F.lit(long).alias("long"))
+
+    def state(cuts, first, held):
+        return F.struct(cuts.alias("cuts"), first.alias("first"), held.alias("held"))
+
+    def step(at, p):
+        cuts, held = at["cuts"], at["held"]
+        closed = F.when(
+            held > 0, F.array_append(cuts, border(at["first"], p["i"], False))
+        ).otherwise(cuts)
+        alone = F.array_append(closed, border(p["i"], p["i"] + 1, True))
+        return (
+            F.when(
+                p["n"] >= F.lit(target * PARAGRAPH_SLACK),
+                state(alone, p["i"] + 1, F.lit(0)),
+            )
+            .when(
+                held + p["n"] <= target, state(cuts, at["first"], held + p["n"])
+            )
+            .otherwise(state(closed, p["i"], p["n"]))
+        )
 
-    def piece(w):
-        return F.when(F.size(w) >= minimum, F.array(F.array_join(w, " "))).otherwise(empty)
-
-    def step(state, w):
-        chunks, buffer = state["chunks"], state["buffer"]
-        long = F.size(w) >= F.lit(target * PARAGRAPH_SLACK)
-        fits = F.size(buffer) + F.size(w) <= target
-        cut = F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - 1, F.lit(target)),
-                lambda i: piece(F.slice(w, i + 1, F.lit(target))),
+    def part(values, first, end):
+        """Elements one by one: ``slice`` would copy the whole array each time."""
+        return F.transform(F.sequence(first, end - 1), lambda i: F.get(values, i))
+
+    def borders(sizes):
+        # The state is copied at each step, so a block's steps don't see the earlier borders.
+        def block(at, lo):
+            within = F.aggregate(
+                part(sizes, lo, F.least(lo + PARAGRAPH_BLOCK, F.size(sizes))),
+                state(none, at["first"], at["held"]), step,
+            )
+            return let(
+                within, lambda s: state(F.concat(at["cuts"], s["cuts"]), s["first"], s["held"])
             )
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(PARAGRAPH_BLOCK)),
+            state(none, F.lit(0), F.lit(0)), block,
+            lambda s: F.when(
+                s["held"] > 0,
+                F.array_append(s["cuts"], border(s["first"], F.size(sizes), False)),
+            ).otherwise(s["cuts"]),
         )
-        return F.struct(
-            F.when(long, F.concat(chunks, piece(buffer), cut))
-            .when(fits, chunks)
-            .otherwise(F.concat(chunks, piece(buffer)))
-            .alias("chunks"),
-            F.when(long, empty).when(fits, F.concat(buffer, w)).otherwise(w).alias("buffer"),
+
+    def piece(w):
+        whole = F.array(F.array_join(w, " "))
+        return F.when(F.size(w) >= minimum, whole).otherwise(F.array().cast("array<string>"))
+
+    def pieces(packed, c):
+        held = F.flatten(part(packed, c["first"], c["end"]))
+        starts = lambda w: F.sequence(F.lit(0), F.size(w) - 1, F.lit(target))
+        return let(
+            held,
+            lambda w: F.when(
+                c["long"],
+                F.flatten(
+                    F.transform(
+                        starts(w),
+                        lambda i: let(part(w, i, F.least(i + target, F.size(w))), piece),
+                    )
+                ),
+            ).otherwise(piece(w)),
         )
 
-    start = F.struct(empty.alias("chunks"), empty.alias("buffer"))
-    return F.aggregate(
-        paragraphs, start, step, lambda s: F.concat(s["chunks"], piece(s["buffer"]))
-    )
+    def chunks(packed):
+        sizes = F.transform(
+            packed, lambda w, i: F.struct(i.alias("i"), F.size(w).alias("n"))
+        )
+        cut = F.flatten(F.transform(let(sizes, borders), lambda c: pieces(packed, c)))
+        return F.when(F.size(packed) > 0, cut)
+
+    return let(paragraphs, chunks)
 
 
 def paragraph_chunks(

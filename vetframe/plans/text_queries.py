@@ -64,11 +64,40 @@ def word_chunks(spark, sf_dir):
     )
 
 
-@query("paragraph_chunks")
+# One step of the recursion for each paragraph of a text: where its chunk began, and the words so
+# far (none after a paragraph that is cut by itself).
+_PACKING = f"""WITH RECURSIVE
+raw AS (SELECT doc_id, unnest(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{{2,}}'),
+    lambda p: list_filter(string_split_regex(p, '{text.WHITE_CLASS}+'), lambda w: w <> ''))) AS ws,
+  generate_subscripts(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{{2,}}'), 1) AS k
+  FROM documents),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, len(ws) AS n, ws FROM raw WHERE len(ws) > 0),
+walk AS (
+  SELECT doc_id, i, i AS s, n, CASE WHEN n >= {text.PARAGRAPH_TARGET * text.PARAGRAPH_SLACK} THEN NULL ELSE n END AS held
+  FROM p WHERE i = 1
+  UNION ALL
+  SELECT p.doc_id, p.i, CASE WHEN p.n < {text.PARAGRAPH_TARGET * text.PARAGRAPH_SLACK} AND held + p.n <= {text.PARAGRAPH_TARGET}
+      THEN s ELSE p.i END, p.n,
+    CASE WHEN p.n >= {text.PARAGRAPH_TARGET * text.PARAGRAPH_SLACK} THEN NULL
+      WHEN held + p.n <= {text.PARAGRAPH_TARGET} THEN held + p.n ELSE p.n END
+  FROM walk JOIN p ON p.doc_id = walk.doc_id AND p.i = walk.i + 1),
+packed AS (SELECT doc_id, s, bool_or(held IS NULL) AS cut, flatten(list(ws ORDER BY i)) AS ws
+  FROM walk JOIN p USING (doc_id, i) GROUP BY doc_id, s),
+pieces AS (SELECT doc_id, s, a, ws[a + 1 : a + size] AS ws FROM (SELECT doc_id, s, ws,
+    CASE WHEN cut THEN {text.PARAGRAPH_TARGET} ELSE len(ws) END AS size,
+    unnest(range(0, len(ws), CASE WHEN cut THEN {text.PARAGRAPH_TARGET} ELSE len(ws) END)) AS a FROM packed)),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, a) - 1 AS INTEGER) AS pos,
+    len(ws) AS words, array_to_string(ws, ' ') AS text FROM pieces WHERE len(ws) >= {text.PARAGRAPH_MIN})"""
+
+
+@query(
+    "paragraph_chunks",
+    f"{_PACKING} SELECT doc_id, pos, CAST(words AS INTEGER) AS words, {_digest('text')} AS digest FROM chunks",
+)
 def paragraph_chunks(spark, sf_dir):
     spaced = _documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return text.paragraph_chunks(spaced, ["doc_id"]).select(
-        "doc_id", "pos", F.size(F.split("text", " ")).alias("words")
+        "doc_id", "pos", F.size(F.split("text", " ")).alias("words"), F.md5("text").alias("digest")
     )
 
 
