@@ -370,6 +370,57 @@ def test_tables_hold_all_fingerprints_within_the_radius():
         assert index.near(f).tolist() == want and k in want
 
 
+def test_two_flipped_bits_in_a_byte_reach_a_radius_of_23():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    for radius in (0, 7, 8, 23):
+        tables = decontamination.Tables(prints, radius)
+        asked = prints[:40].copy()
+        for k in range(40):
+            for b in rng.choice(64, rng.integers(0, radius + 1), replace=False).tolist():
+                asked[k] ^= np.uint64(1 << b)
+        want = np.nonzero(np.bitwise_count(prints ^ asked[:, None]) <= radius)
+        got = tables.within(asked)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+        assert {(k, k) for k in range(40)} <= set(zip(*(g.tolist() for g in got)))
+
+
+def test_window_prints_equal_prints_of_each_window(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    starts = np.sort(rng.choice(800, 90, replace=False))
+    want = [int(decontamination.packed(decontamination.signs(words[s : s + 60]).sum(axis=0, keepdims=True))[0]) for s in starts]
+    for strip in (7, 1 << 14):
+        monkeypatch.setattr(decontamination, "STRIP", strip)
+        for chosen in (slice(None), slice(None, None, 9)):
+            assert decontamination.window_prints(words, starts[chosen], 60).tolist() == want[chosen]
+
+
+def test_simhash_finds_the_pairs_and_loses_few(spark, documents, monkeypatch):
+    """Cut items whose words repeat as in prose; the exact search says what there is to find."""
+    rng = np.random.default_rng(12)
+    vocabulary = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    draw = lambda n: vocabulary[(4000 * rng.random(n) ** 3).astype(int)]
+    items = [(k, draw((12, 30, 50, 100)[k % 4])) for k in range(400)]
+    near, exact = (decontamination.Items(items, 5, r) for r in (decontamination.RADIUS, None))
+    n_exact = n_near = 0
+    for k, words in items:
+        cut = (len(words) - 4) // 9
+        doc = np.concatenate([draw(30), words[: len(words) - cut], draw(cut + 30)])
+        all_of = decontamination._matches(doc, exact, 5, 0.8)
+        found = decontamination._matches(doc, near, 5, 0.8)
+        assert set(found) <= set(all_of)
+        n_exact += len(all_of)
+        n_near += len(found)
+    assert n_exact >= 400 and n_near >= 0.995 * n_exact
+    # On the table nothing is lost; without the tables nothing is found.
+    table = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    want = sorted(map(tuple, decontamination.matches(documents, table, radius=None).collect()))
+    assert want and sorted(map(tuple, decontamination.matches(documents, table).collect())) == want
+    monkeypatch.setattr(decontamination.Tables, "within", lambda self, f: (np.zeros(0, dtype=int),) * 2)
+    assert not decontamination._matches(items[0][1], near, 5, 0.8)
+
+
 def test_clean_keeps_rows_and_columns(spark, edges, empty):
     items = spark.createDataFrame([(1, "line one line two same text"), (2, None)], "item_id long, text string")
     kept = decontamination.clean(edges, items)

@@ -6,16 +6,17 @@ item if some window of as many words as the item has (or the whole document, if
 reaches a weighted shingle similarity of ``SIMILARITY``: the sum of the smaller over the sum of the
 larger counts of all shingles.
 
-Search. A window that can reach the similarity shares a known number of shingles with the item.
-Windows that don't share as many with all items together are passed over; for the others, an
-inverted index from shingles to items counts what each window shares with each item, and the pairs
-that share enough are checked exactly. No step loses anything.
-
-A caller may ask for a SimHash of the windows' words besides (``radius``): then only items within so
-many of its 64 bits are checked. The items' SimHashes stand in eight tables by their bytes: two
-fingerprints within 15 bits differ by one bit at most in some byte, so looking up each byte and its
-eight neighbours finds all items within the radius. The similarity doesn't bound the radius: at the
-limit of 0.8, about one window of a hundred lies beyond 15 bits.
+Search. The windows of a document that are as long as an item get a SimHash of their words, rolled on
+from prefix sums. The SimHashes of the items of one length stand in eight tables by their bytes
+(``Tables``): two fingerprints within ``RADIUS`` bits differ in a byte of the eight by ``RADIUS // 8``
+bits at most, so looking up each byte and its neighbours by so many bits finds every item within the
+radius. The pairs found are compared exactly. Windows that share fewer shingles with all items
+together than the similarity takes are passed over before; that loses nothing.
+
+The similarity doesn't bound the bits in which two windows differ: at the limit of 0.8 they are ten
+on average, and a radius of 23 keeps what is measured in ``tests/llm/test_texts.py``. ``radius=None``
+asks for the exact search instead: an inverted index from shingles to items counts what every window
+shares with every item, and each pair that shares enough is compared.
 
 Items are read in blocks of ``BLOCK_ITEMS`` items; a block is what a job broadcasts, so its size
 has a bound, and each block goes over all documents.
@@ -38,9 +39,9 @@ from .wordhash import ALPHANUMERIC, run_hashes, spans, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Bits that differ at most; below 16, a byte of the eight differs in one bit at most. None: no
-#: SimHash, as one would lose windows.
-RADIUS = None
+#: Bits in which the SimHashes of a window and an item differ at most. None: no SimHash, but what
+#: windows and items share, counted.
+RADIUS = 23
 #: Items of a block, and their words at most (a longer item makes a block of its own).
 BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 4_000_000
@@ -77,9 +78,36 @@ def similarity(a: Counter, b: Counter) -> float:
     return smaller / larger if larger else 0.0
 
 
+class Tables:
+    """SimHashes of items, found again by any byte of the eight."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        #: What to flip in a byte: all masks of as many bits as the nearest byte differs by at most.
+        self.flips = np.flatnonzero(np.bitwise_count(np.arange(256)) <= radius // 8).astype(np.uint8)
+        of_byte = np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(-1, 8)
+        #: By byte: places in ``prints`` by the byte's value, and where each value begins.
+        self.places = [np.argsort(of_byte[:, b], kind="stable") for b in range(8)]
+        self.first = [np.searchsorted(of_byte[p, b], np.arange(257)) for b, p in enumerate(self.places)]
+
+    def within(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, place)`` of all pairs within the radius: rows of ``fingerprints``, places in
+        ``prints``, both ascending."""
+        asked = np.ascontiguousarray(fingerprints.astype("<u8")).view(np.uint8).reshape(-1, 8)
+        met = [np.zeros(0, dtype=np.int64)]
+        for byte, (places, first) in enumerate(zip(self.places, self.first)):
+            values = (asked[:, byte, None] ^ self.flips).ravel()
+            n = first[1:][values] - first[values]
+            rows = np.repeat(np.arange(len(asked)), n.reshape(len(asked), -1).sum(axis=1))
+            at = places[np.arange(n.sum()) + np.repeat(first[values] - np.cumsum(n) + n, n)]
+            close = np.bitwise_count(fingerprints[rows] ^ self.prints[at]) <= self.radius
+            met.append(rows[close] * len(self.prints) + at[close])
+        return np.divmod(np.unique(np.concatenate(met)), max(1, len(self.prints)))
+
+
 class Items:
-    """A block of benchmark items: shingles with their items; fingerprints and their tables if
-    there is a radius."""
+    """A block of benchmark items: shingles with their items, and the tables of fingerprints of the
+    items of each size (without a radius: the items of each shingle)."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]], shingle: int, radius: int | None):
         self.shingle, self.radius = shingle, radius
@@ -97,10 +125,18 @@ class Items:
             self.by_length.setdefault(k, ([], None))[0].append(n)
         for k, hs in held.items():
             self.by_length[k] = (self.by_length[k][0], np.unique(np.concatenate(hs)))
+        #: By item size: item numbers and the tables of their fingerprints.
+        self.tables: dict[int, tuple[np.ndarray, Tables]] = {}
         #: By item size: sorted shingles, where the items of each begin, item numbers.
         self.holders: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        if radius is not None:
+            prints = [packed(signs(w).sum(axis=0, keepdims=True))[0] for _, w in items]
+            self.prints = np.array(prints, dtype=np.uint64)
         for size in np.unique(self.sizes).tolist():
             numbers = np.flatnonzero(self.sizes == size)
+            if radius is not None:
+                self.tables[size] = (numbers, Tables(self.prints[numbers], radius))
+                continue
             own = [np.array(list(self.counts[n]), dtype=np.uint64) for n in numbers.tolist()]
             grams = np.concatenate(own)
             order = np.argsort(grams, kind="stable")
@@ -109,24 +145,11 @@ class Items:
                 known, np.append(first, len(grams)),
                 np.repeat(numbers, [len(g) for g in own])[order],
             )
-        if radius is None:
-            return
-        prints = [packed(signs(w).sum(axis=0, keepdims=True))[0] for _, w in items]
-        self.prints = np.array(prints, dtype=np.uint64)
-        self.tables = []
-        for byte in range(8):
-            values = (self.prints >> np.uint64(8 * byte)).astype(np.uint8)
-            self.tables.append([np.flatnonzero(values == v) for v in range(256)])
 
     def near(self, fingerprint: int) -> np.ndarray:
         """Numbers of all items within the radius."""
-        found = []
-        for byte, table in enumerate(self.tables):
-            v = (fingerprint >> (8 * byte)) & 255
-            found += [table[v]] + [table[v ^ (1 << b)] for b in range(8)]
-        candidates = np.unique(np.concatenate(found))
-        apart = np.bitwise_count(self.prints[candidates] ^ np.uint64(fingerprint))
-        return candidates[apart <= self.radius]
+        asked = np.array([fingerprint], dtype=np.uint64)
+        return np.sort(np.concatenate([n[t.within(asked)[1]] for n, t in self.tables.values()]))
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -166,6 +189,9 @@ def _matches(words: np.ndarray, items: Items, k: int, least: float) -> dict[int,
         for s, n in pairs:
             if n in best and best[n][0] == 1.0:
                 continue
+            # All but ``m - need`` of the window's shingles are the item's: so is one of the first.
+            if not any(g in items.counts[n] for g in grams[s : s + int(m - need) + 1].tolist()):
+                continue
             x = similarity(Counter(grams[s : s + m].tolist()), items.counts[n])
             if x >= least and (n not in best or x > best[n][0]):
                 best[n] = (x, s, window)
@@ -208,28 +234,29 @@ def _near(
 ) -> Iterator[tuple[int, int]]:
     """``(start, item number)``: windows with a SimHash within the radius of an item's of ``size``."""
     prints = window_prints(words, starts, window)
-    last: tuple[int, np.ndarray] | None = None
-    for s, p in zip(starts.tolist(), prints.tolist()):
-        if last is None or last[0] != p:
-            last = (p, items.near(p))
-        for n in last[1].tolist():
-            if items.sizes[n] == size:
-                yield s, n
+    numbers, tables = items.tables[size]
+    step = max(1, PAIRS // len(numbers))
+    for lo in range(0, len(starts), step):
+        rows, places = tables.within(prints[lo : lo + step])
+        yield from zip(starts[lo + rows].tolist(), numbers[places].tolist())
 
 
 def window_prints(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHashes of the windows of ``size`` words at ascending ``starts``, strip by strip."""
+    """SimHashes of the windows of ``size`` words at ascending ``starts``, strip by strip; words that
+    lie in no window are skipped."""
     out = np.empty(len(starts), dtype=np.uint64)
+    borders = np.append(np.flatnonzero(np.diff(starts) > size) + 1, len(starts)).tolist()
     lo = 0
-    while lo < len(starts):
-        first = int(starts[lo])
-        hi = int(np.searchsorted(starts, first + STRIP, side="right"))
-        last = int(starts[hi - 1]) + size
-        sums = np.zeros((last - first + 1, 64), dtype=np.int32)
-        np.cumsum(signs(words[first:last]), axis=0, out=sums[1:])
-        at = starts[lo:hi] - first
-        out[lo:hi] = packed(sums[at + size] - sums[at])
-        lo = hi
+    for end in borders:
+        while lo < end:
+            first = int(starts[lo])
+            hi = min(end, int(np.searchsorted(starts, first + STRIP, side="right")))
+            last = int(starts[hi - 1]) + size
+            sums = np.zeros((last - first + 1, 64), dtype=np.int32)
+            np.cumsum(signs(words[first:last]), axis=0, out=sums[1:])
+            at = starts[lo:hi] - first
+            out[lo:hi] = packed(sums[at + size] - sums[at])
+            lo = hi
     return out
 
 
@@ -267,8 +294,6 @@ def matches(
 ) -> DataFrame:
     """``(doc_id, item_id, similarity, start, n_words)``: the most similar window of each document
     for every item it holds; ``start`` counts words from 0."""
-    if radius is not None and radius > 15:
-        raise ValueError("eight tables with one differing bit each guarantee a radius of 15 at most")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = slim.schema["doc_id"].dataType.simpleString()
