@@ -289,6 +289,46 @@ def test_one_edit_at_each_place_equals_plain_alignment():
     assert n_found > 150
 
 
+def test_winnowed_templates_keep_every_notice(monkeypatch):
+    """Words changed as densely as the coverage allows, evenly and at random, in long templates."""
+    rng = random.Random(8)
+    templates = {str(n): " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (20, 48, 90, 140, 400)}
+    index = licenses.Index(templates)
+    shapes = dict(zip(index.names, index.shapes))
+    assert shapes == {"20": (2, 1), "48": (2, 2), "90": (2, 2), "140": (3, 2), "400": (3, 2)}
+    for t, name in enumerate(index.names):
+        gram, window = index.shapes[t]
+        n_grams, held = int(name) - gram + 1, sum(len(p) for k, p in index.places.items() if k[1] == index.shapes[t] and p[0][0] == t)
+        assert held == n_grams if window == 1 else held < 0.8 * n_grams, name
+    for t, (name, text) in enumerate(templates.items()):
+        n = int(name)
+        edits = n - -(-n * 4 // 5)
+        for trial in range(30):
+            words = text.split()
+            places = [int((i + 0.5) * n / edits) for i in range(edits)] if trial == 0 else rng.sample(range(n), edits)
+            for i in places:
+                words[i] = f"x{rng.randrange(10**6)}"
+            noise = [f"n{rng.randrange(10**6)}" for _ in range(trial)]
+            got = licenses.notices(licenses.hashes(" ".join(noise + words + noise)), index)
+            assert [(r[0], r[2]) for r in got] == [(t, n - edits)], (name, trial)
+    whole = licenses.hashes(templates["400"])
+    assert len(licenses.notices(whole, index)) == 1
+    monkeypatch.setattr(licenses, "winnow", lambda grams, window: np.zeros(0, dtype=np.int64))
+    assert licenses.notices(whole, index) == []
+
+
+def test_winnowing_takes_the_last_smallest_hash_of_each_window():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 5, 60):
+        grams = rng.integers(0, 6, n).astype(np.uint64)
+        for window in (1, 2, 4):
+            want = set()
+            for lo in range(max(1, n - window + 1)) if n else ():
+                part = grams[lo : lo + window].tolist()
+                want.add(lo + max(i for i, g in enumerate(part) if g == min(part)))
+            assert licenses.winnow(grams, window).tolist() == sorted(want)
+
+
 def test_notices_of_the_table(spark, documents, edges, empty):
     got = {(r.doc_id, r.license) for r in licenses.scan(documents).collect()}
     names = ("MIT", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0")

@@ -1,10 +1,13 @@
 """License notices in texts: winnowed fingerprints pick candidates, banded alignment measures them.
 
-Templates are word sequences (letters and digits in lower case). Of every ``WINDOW`` consecutive
-``GRAM``-word hashes of a template the smallest is a fingerprint, so any ``GRAM + WINDOW - 1`` words
-in common share one. Where the words that ``COVERAGE`` lets change and the words that the band lets
-come in can leave fewer in a row (``unbroken``), every gram is a fingerprint, of as many words as
-stay in a row (``GRAM`` at most), so no notice lacks one. An inverted index leads from fingerprints to templates and places in them.
+Templates are word sequences (letters and digits in lower case). Templates and documents are winnowed
+alike: of every few consecutive hashes of a few words the smallest is a fingerprint, so that as many
+words in a row as both hold make them share one. How many stay in a row at least, where the words that
+``COVERAGE`` lets change and the words that the band lets come in are spread as badly as they can be,
+follows from the template's length (``unbroken``): four from 136 words on, three from 46 on, else two
+or one. It sets the words of a gram and the grams of a window (``shape``); where no more than two words
+stay, there is nothing to choose from and every gram is a fingerprint. So no notice lacks one. An inverted
+index leads from fingerprints to templates and places in them.
 Fingerprints found in a document pair a template with a diagonal (place in the document less place
 in the template); each diagonal whose stretch of the document holds enough of the template's
 words, in any order, is a candidate, which is aligned with that stretch inside a band around the
@@ -34,8 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from .base import batch_of, chunks, utf8
 from .wordhash import ALPHANUMERIC, run_hashes, spans, word_hashes
 
+#: Words of a gram at most.
 GRAM = 3
-WINDOW = 3
 COVERAGE = 0.8
 #: Words by which an alignment may stray from its diagonal, at most; a third of the template's
 #: words if those are fewer.
@@ -86,14 +89,14 @@ def hashes(text: str | None) -> np.ndarray:
     return word_hashes(data, *spans(data, ALPHANUMERIC))
 
 
-def winnow(grams: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Places of the smallest hash (the last of equal ones) in every window of hashes."""
-    places = set()
-    for lo in range(max(1, len(grams) - window + 1)):
-        part = grams[lo : lo + window]
-        if len(part):
-            places.add(lo + len(part) - 1 - int(np.argmin(part[::-1])))
-    return sorted(places)
+def winnow(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash (the last of equal ones) in every window of hashes, ascending;
+    fewer hashes than a window are one window."""
+    width = min(window, len(grams))
+    if not width:
+        return np.zeros(0, dtype=np.int64)
+    backwards = np.lib.stride_tricks.sliding_window_view(grams, width)[:, ::-1]
+    return np.unique(np.arange(len(backwards)) + width - 1 - backwards.argmin(axis=1))
 
 
 def band_of(n: int) -> int:
@@ -108,6 +111,14 @@ def unbroken(n: int, coverage: float) -> int:
     return -(-equal // (n - equal + band_of(n) + 1))
 
 
+def shape(n: int, coverage: float) -> tuple[int, int]:
+    """``(words of a gram, grams of a window)`` of a template of ``n`` words: any words that stay
+    unbroken hold a whole window."""
+    row = max(1, unbroken(n, coverage))
+    gram = min(GRAM, row - 1) if row > 2 else row
+    return gram, row - gram + 1
+
+
 class Index:
     """Templates and the inverted index of their fingerprints."""
 
@@ -117,14 +128,15 @@ class Index:
         n = sum(map(len, self.words))
         if n > MAX_WORDS:
             raise ValueError(f"templates have {n} words; the index is sent to all executors")
-        self.grams = [max(1, min(GRAM, unbroken(len(w), coverage))) for w in self.words]
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        self.shapes = [shape(len(w), coverage) for w in self.words]
+        #: By fingerprint and how it was winnowed: templates and places in them.
+        self.places: dict[tuple[int, tuple[int, int]], list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
-            grams = run_hashes(words, self.grams[t])
-            long = unbroken(len(words), coverage) >= GRAM + WINDOW - 1
-            for at in winnow(grams) if long else range(len(grams)):
-                self.places.setdefault(int(grams[at]), []).append((t, at))
-        self.known = np.array(sorted(self.places), dtype=np.uint64)
+            gram, window = self.shapes[t]
+            grams = run_hashes(words, gram)
+            for at in winnow(grams, window).tolist():
+                self.places.setdefault((int(grams[at]), self.shapes[t]), []).append((t, at))
+        self.known = np.array(sorted({h for h, _ in self.places}), dtype=np.uint64)
 
 
 def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -155,16 +167,12 @@ def align(template: list[int], words: list[int], diagonal: int, band: int = BAND
 def notices(words: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[tuple]:
     """``(template number, share, equal, first, last)`` of a document's words, in order."""
     found: dict[int, dict[int, int]] = {}
-    for k in set(index.grams):
-        grams = run_hashes(words, k)
-        if not len(grams):
-            continue
-        at = np.searchsorted(index.known, grams)
-        at[at == len(index.known)] = 0
-        for j in np.flatnonzero(index.known[at] == grams).tolist():
-            for t, i in index.places[int(grams[j])]:
-                if index.grams[t] == k:
-                    found.setdefault(t, {})[j - i] = j
+    for gram, window in set(index.shapes):
+        grams = run_hashes(words, gram)
+        chosen = winnow(grams, window)
+        for j in chosen[np.isin(grams[chosen], index.known)].tolist():
+            for t, i in index.places.get((int(grams[j]), (gram, window)), ()):
+                found.setdefault(t, {})[j - i] = j
     reports = []
     for t, diagonals in found.items():
         template = index.words[t].tolist()
@@ -208,7 +216,7 @@ def scan(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        lengths = set(index.grams)
+        lengths = {gram for gram, _ in index.shapes}
         for batch in batches:
             owners: list[int] = []
             rows: dict[str, list] = {f.name: [] for f in _FOUND}
