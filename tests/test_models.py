@@ -94,6 +94,16 @@ def test_noise_and_importance(table, model):
     assert modeling.top_importances(found, 1).count() == 1
 
 
+def test_a_table_in_one_task_is_spread_for_a_forest(spark):
+    df = spark.range(12_000).select("id", (F.col("id") % 7).alias("v")).coalesce(1)
+    parts = modeling.spread(df, ["id"])
+    assert parts.rdd.getNumPartitions() == 3 and parts.exceptAll(df).count() == 0 and parts.count() == 12_000
+    assert modeling.spread(df.limit(100), ["id"]).rdd.getNumPartitions() == 1
+    assert modeling.spread(df, ["id"], 10**9).rdd.getNumPartitions() == modeling.SPREAD_PARTS
+    forest = modeling.baseline_regressor(["v"], "id").getStages()[-1]
+    assert forest.getCacheNodeIds()
+
+
 def test_corruption_hits_the_wanted_share(table):
     dirty = modeling.corrupt(table, ["id"], ["x1"])
     assert dirty.filter("corrupted = 1").count() == 30
