@@ -10,6 +10,9 @@ terms of a query give a similarity that its k-th best chunk reaches for certain.
 long as all of them together stay below that, can't bring a chunk among the best by themselves: their
 postings, the longest ones, are not read for candidates. Of the others' sums, only those that could
 still get there are completed with the weak terms.
+
+A batch that meets each posting only a few times needs none of this: it is scored where the texts are cut, chunk
+by chunk, and postings are neither stored nor shuffled. An index is stored only if it is read more than once.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ SALT_ROWS = 100_000
 SEED_TERMS = 2
 #: More than rounding can move a similarity.
 ROUNDING = 1e-6
+#: Characters of the texts whose terms are counted in one task.
+TASK_CHARS = 4_000_000
+#: A batch that meets a posting at most so many times on average is scored in one pass over the texts.
+ONE_PASS = 64
 
 
 @dataclass
@@ -44,6 +51,15 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     bounds: DataFrame
+    #: Are postings computed from the texts at each reading? They are then placed by chunk.
+    computed: bool = False
+
+    def stored(self) -> Index:
+        """The same with postings that can be read again."""
+        if not self.computed:
+            return self
+        postings = settle(self.postings)
+        return Index(self.chunks, postings, self.terms, _bounds(postings))
 
     def save(self, path: str) -> None:
         """Write the tables under a folder; postings by term, so that a query batch skips those of others."""
@@ -51,7 +67,10 @@ class Index:
         by_term = self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
         by_term.write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.bounds.write.mode("overwrite").parquet(f"{path}/bounds")
+        bounds = self.bounds
+        if self.computed:
+            bounds = _bounds(self.postings.sparkSession.read.parquet(f"{path}/postings"))
+        bounds.write.mode("overwrite").parquet(f"{path}/bounds")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
@@ -60,6 +79,10 @@ class Index:
         )
 
 
+def _bounds(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.max("weight").alias("max_weight"))
+
+
 def index_terms(text: Column, stop_words: Sequence[str] = ENGLISH) -> Column:
     """Lower-cased words in order, without the stop words."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN))
@@ -76,41 +99,64 @@ def _with_pairs(words: Column) -> Column:
 
 
 def term_counts(
-    df: DataFrame, key: str, text: str = "text", stop_words: Sequence[str] = ENGLISH
+    df: DataFrame, key: str, text: str = "text", stop_words: Sequence[str] = ENGLISH,
+    terms: DataFrame | None = None, parts: int | None = None,
 ) -> DataFrame:
-    """``(key, term, tf)`` with single words and neighbouring pairs.
+    """``(key, term, tf)`` with single words and neighbouring pairs; of the given ``terms`` only, if any.
 
-    Every text also has one row with a NULL term, so that texts without terms are still counted.
+    Without ``terms`` every text also has one row with a NULL term, so that texts without terms are still counted.
 
     The text is shuffled by key before it is exploded into terms, several times its size; counting
-    and all later work per key then needs no further shuffle.
+    and all later work per key then needs no further shuffle. ``parts`` bounds what a task counts.
     """
-    tokens = df.select(key, text).repartition(key).select(
-        key, index_terms(F.col(text), stop_words).alias("_w")
-    )
-    return (
-        tokens.select(key, F.explode(let(F.col("_w"), _with_pairs)).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    placed = df.select(key, text)
+    placed = placed.repartition(parts, F.col(key)) if parts else placed.repartition(key)
+    tokens = placed.select(key, index_terms(F.col(text), stop_words).alias("_w"))
+    exploded = tokens.select(key, F.explode(let(F.col("_w"), _with_pairs)).alias("term"))
+    if terms is not None:
+        exploded = exploded.join(broadcast_if_small(terms.select("term")), "term", "left_semi")
+    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, chunks: int, max_terms: int = MAX_TERMS) -> DataFrame:
-    """The most frequent terms with chunk frequency and smoothed idf, at most ``max_terms`` rows."""
-    return (
-        counts.filter("term is not null")
-        .groupBy("term")
-        .agg(F.sum("tf").alias("corpus_frequency"), F.count("*").alias("chunk_frequency"))
-        .orderBy(F.col("corpus_frequency").desc(), "term")
-        .limit(max_terms)
-        .select(
-            "term",
-            "corpus_frequency",
-            "chunk_frequency",
-            (F.ln((1 + F.lit(chunks)) / (1 + F.col("chunk_frequency")).cast("double")) + 1).alias(
-                "idf"
-            ),
-        )
+def frequent_terms(
+    df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS, stop_words: Sequence[str] = ENGLISH
+) -> DataFrame:
+    """``(term, corpus_frequency)`` of the most frequent terms, at most ``max_terms`` rows.
+
+    A pair is no more frequent than either of its words. Words are counted first; pairs with a word that is
+    rarer than the last of the ``max_terms`` most frequent words can't be among the terms and are not counted.
+    """
+    tokens = df.select(index_terms(F.col(text), stop_words).alias("_w"))
+    frequency = F.count("*").alias("corpus_frequency")
+    by_frequency = [F.col("corpus_frequency").desc(), F.col("term")]
+    words = settle(tokens.select(F.explode("_w").alias("term")).groupBy("term").agg(frequency))
+    best = words.orderBy(*by_frequency).limit(max_terms)
+    reached = best.agg(
+        F.when(F.count("*") == max_terms, F.min("corpus_frequency")).alias("least")
+    ).first()["least"] or 1
+    able = words.filter(F.col("corpus_frequency") >= reached)
+    neighbours = F.zip_with(
+        F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))),
+        F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
+        lambda a, b: F.struct(a.alias("_a"), b.alias("_b")),
+    )
+    pairs = tokens.select(F.inline(neighbours))
+    if reached > 1:
+        known = broadcast_if_small(able.select("term"))
+        for side in ("_a", "_b"):
+            pairs = pairs.join(known.withColumnRenamed("term", side), side, "left_semi")
+    pairs = pairs.groupBy(F.concat("_a", F.lit(" "), "_b").alias("term")).agg(frequency)
+    return settle(able.unionByName(pairs).orderBy(*by_frequency).limit(max_terms))
+
+
+def vocabulary(counts: DataFrame, frequent: DataFrame, chunks: int) -> DataFrame:
+    """The frequent terms with chunk frequency and smoothed idf, from the counts ``(key, term, tf)``."""
+    found = counts.groupBy("term").agg(F.count("*").alias("chunk_frequency"))
+    return frequent.join(found, "term").select(
+        "term",
+        "corpus_frequency",
+        "chunk_frequency",
+        (F.ln((1 + F.lit(chunks)) / (1 + F.col("chunk_frequency")).cast("double")) + 1).alias("idf"),
     )
 
 
@@ -128,15 +174,19 @@ def build_index(
 ) -> Index:
     """Index chunks ``(chunk_id, text, …)``.
 
-    The texts are cut into terms once; vocabulary and weights both derive from the settled counts, and the
-    postings, which every retrieval reads more than once, are settled as well.
-    The vocabulary holds at most ``max_terms`` rows and is broadcast.
+    The vocabulary, at most ``max_terms`` rows, is found first and broadcast; only its terms are then counted
+    by chunk, in as many tasks as the texts are long. Counts and postings are several times as large as the
+    texts and are computed from them when they are read.
     """
-    counts = settle(term_counts(chunks, "chunk_id", "text", stop_words))
-    total = counts.filter("term is null").count()
-    terms = settle(vocabulary(counts, total, max_terms))
-    postings = settle(weighted(counts, "chunk_id", terms))
-    return Index(chunks, postings, terms, postings.groupBy("term").agg(F.max("weight").alias("max_weight")))
+    texts = chunks.select("chunk_id", "text").filter("text IS NOT NULL")
+    total = texts.select("chunk_id").distinct().count()
+    length = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    frequent = frequent_terms(texts, "text", max_terms, stop_words)
+    parts = 1 + length // TASK_CHARS
+    counts = term_counts(texts, "chunk_id", "text", stop_words, frequent, parts)
+    terms = settle(vocabulary(counts, frequent, total))
+    postings = weighted(counts, "chunk_id", terms)
+    return Index(chunks, postings, terms, _bounds(postings), computed=True)
 
 
 def query_weights(
@@ -234,6 +284,12 @@ def candidates(
     return kept.select("query_id", "chunk_id", "_sum"), split.filter("_weak").select("query_id", "term", "_qw")
 
 
+def _meets_few(weights: DataFrame, terms: DataFrame) -> bool:
+    """Does the batch meet a posting at most ``ONE_PASS`` times on average?"""
+    asked = weights.join(broadcast_if_small(terms), "term").agg(F.sum("chunk_frequency")).first()[0] or 0
+    return asked <= ONE_PASS * (terms.agg(F.sum("chunk_frequency")).first()[0] or 0)
+
+
 def similarities(
     weights: DataFrame,
     index: Index,
@@ -243,17 +299,29 @@ def similarities(
 ) -> DataFrame:
     """``(query_id, chunk_id, similarity)`` of the combinations that can be among the results.
 
-    Candidates are stored; their chunks' postings are read once more for the weak terms of the queries.
+    A batch of few meetings is scored in one pass. Otherwise candidates are stored; their chunks' postings are read once more for the weak terms of the queries.
     """
+    weights = settle(weights)
+    if weights.limit(broadcast_rows + 1).count() <= broadcast_rows and _meets_few(weights, index.terms):
+        query_side = F.broadcast(weights.select("query_id", "term", F.col("weight").alias("_qw")))
+        sums = index.postings.join(query_side, "term").groupBy("query_id", "chunk_id").agg(
+            F.round(F.sum(F.col("weight") * F.col("_qw")), 6).alias("similarity")
+        )
+        return sums.filter(F.col("similarity") > min_similarity)
+    index = index.stored()
     found, weak = candidates(weights, index, top_k, min_similarity, broadcast_rows)
     found, weak = settle(found), settle(weak)
-    terms = broadcast_if_small(weak.select("term").distinct())
-    rest = (
-        index.postings.join(terms, "term", "left_semi")
-        .join(broadcast_if_small(found.select("query_id", "chunk_id"), broadcast_rows), "chunk_id")
-        .join(broadcast_if_small(weak, broadcast_rows), ["query_id", "term"])
-        .select("query_id", "chunk_id", (F.col("weight") * F.col("_qw")).alias("_sum"))
-    )
+    pairs = found.select("query_id", "chunk_id")
+    if pairs.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        terms = broadcast_if_small(weak.select("term").distinct())
+        met = (
+            index.postings.join(terms, "term", "left_semi")
+            .join(F.broadcast(pairs), "chunk_id")
+            .join(broadcast_if_small(weak, broadcast_rows), ["query_id", "term"])
+        )
+    else:  # by term first: a chunk's candidates times all its weak terms would be many more rows
+        met = _by_term(weak, index.postings, broadcast_rows).join(pairs, ["query_id", "chunk_id"])
+    rest = met.select("query_id", "chunk_id", (F.col("weight") * F.col("_qw")).alias("_sum"))
     return found.unionByName(rest).groupBy("query_id", "chunk_id").agg(
         F.round(F.sum("_sum"), 6).alias("similarity")
     )
