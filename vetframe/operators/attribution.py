@@ -17,6 +17,8 @@ from ..functions.ordering import global_row_number, hash_order, lookup
 
 # Fixed value: background size.
 BACKGROUND_ROWS = 100
+#: Hybrids of a row that are scored side by side; of more, each gets a row of its own.
+IN_PLACE = 16
 
 
 def background_sample(
@@ -147,14 +149,15 @@ def compare_models(phi: DataFrame, models: Sequence[str], top: int | None = None
 Scorer = Callable[[DataFrame, str], DataFrame]
 
 
-def _hybrids(
+def _permuted(
     df: DataFrame, key: Sequence[str], features: Sequence[str], background: DataFrame, seed: int,
     permutations: int,
 ) -> DataFrame:
-    """One row per (row, permutation): its values, a background row and a feature order.
+    """One row per (row, permutation): its values, a background row and every feature's draw ``_h``.
 
     The background may be of any size: its rows are numbered in a repeatable order, and every
-    (row, permutation) looks its pick up by number.
+    (row, permutation) looks its pick up by number. Rows are brought together by key first, before they are
+    multiplied, so that what is summed for a key later needs no shuffle and no table of a whole file's keys.
     """
     values = F.array(*[quoted(f).cast("double") for f in features])
     by_value = [F.xxhash64("_b"), F.col("_b")]
@@ -162,30 +165,61 @@ def _hybrids(
     rows = table.count()
     if not rows:
         raise ValueError("the background holds no rows")
+    keys = [quoted(k) for k in key]
+    drawn = [
+        F.xxhash64(*keys, F.col("_perm"), F.lit(j), F.lit(seed)).alias("h") for j in range(len(features))
+    ]
+    pick = F.pmod(F.xxhash64(*keys, F.col("_perm"), F.lit(seed + 1)), F.lit(rows))
+    return (
+        df.select(*key, values.alias("_x"))
+        .repartition(*keys)
+        .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+        .select("*", F.array(*drawn).alias("_h"), (pick + 1).alias("_pick"))
+        .join(table, "_pick")
+        .drop("_pick")
+    )
+
+
+def _ordered(permuted: DataFrame, features: int) -> DataFrame:
+    """With ``_order``: the features by their draws."""
     order = F.transform(
         F.array_sort(
             F.array(
-                *[
-                    F.struct(
-                        F.xxhash64(*[quoted(k) for k in key], F.col("_perm"), F.lit(j), F.lit(seed)).alias("h"),
-                        F.lit(j).alias("j"),
-                    )
-                    for j in range(len(features))
-                ]
+                *[F.struct(F.get("_h", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(features)]
             )
         ),
         lambda s: s["j"],
     )
-    pick = F.pmod(
-        F.xxhash64(*[quoted(k) for k in key], F.col("_perm"), F.lit(seed + 1)), F.lit(rows)
-    )
-    return (
-        df.select(*key, F.array(*[quoted(f).cast("double") for f in features]).alias("_x"))
-        .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-        .select("*", order.alias("_order"), (pick + 1).alias("_pick"))
-        .join(table, "_pick")
-        .drop("_pick")
-    )
+    return permuted.withColumn("_order", order).drop("_h")
+
+
+def _place(j: int, features: int) -> Column:
+    """How many features come before feature ``j``; of equal draws the first."""
+    own = F.get("_h", F.lit(j))
+    before = [
+        (F.get("_h", F.lit(i)) <= own) if i < j else (F.get("_h", F.lit(i)) < own)
+        for i in range(features) if i != j
+    ]
+    return sum((b.cast("int") for b in before), F.lit(0))
+
+
+def _known_sum(values: Sequence[Column]) -> Column:
+    """The sum of the values that are not NULL, as the aggregate has it."""
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    return F.when(F.coalesce(*values).isNotNull(), total)
+
+
+def _scored_in_place(df: DataFrame, hybrids: Sequence[Sequence[Column]], score: Scorer) -> DataFrame:
+    """The table with ``_v0``, ``_v1``, ...: the scores of hybrids given by whether a feature is the row's."""
+    out = df
+    for i, from_row in enumerate(hybrids):
+        values = [
+            F.when(own, F.get("_x", F.lit(j))).otherwise(F.get("_b", F.lit(j)))
+            for j, own in enumerate(from_row)
+        ]
+        scored = score(out.withColumn("_features", F.array(*values)), "_features")
+        out = scored.drop("_features").withColumnRenamed("_value", f"_v{i}")
+    return out
 
 
 def shapley_values(
@@ -202,12 +236,31 @@ def shapley_values(
     ``score(frame, column)`` adds a ``_value`` column with the model output for the feature array
     in ``column``. Along a random feature order, a feature's contribution is the score after it
     takes the row's value less the score before, so every hybrid is scored once and enters the
-    sum twice, with opposite signs.
+    sum twice, with opposite signs. Up to ``IN_PLACE`` hybrids are scored side by side in their row.
     """
     d = len(features)
-    expanded = _hybrids(df, key, features, background, seed, permutations).withColumn(
-        "_step", F.explode(F.sequence(F.lit(0), F.lit(d)))
-    )
+    permuted = _permuted(df, key, features, background, seed, permutations)
+    names = F.array(*[F.lit(f) for f in features])
+    if 0 < d < IN_PLACE and len(set(features)) == d:
+        places = permuted.select("*", *[_place(j, d).alias(f"_place{j}") for j in range(d)]).drop("_h")
+        steps = [[F.col(f"_place{j}") < step for j in range(d)] for step in range(d + 1)]
+        scored = _scored_in_place(places, steps, score)
+        values = F.array(*[F.col(f"_v{step}") for step in range(d + 1)])
+        sums = scored.groupBy(*key).agg(
+            *[
+                (
+                    F.sum(
+                        _known_sum(
+                            [F.get(values, F.col(f"_place{j}") + 1), -F.get(values, F.col(f"_place{j}"))]
+                        )
+                    )
+                    / permutations
+                ).alias(f"_phi{j}")
+                for j in range(d)
+            ]
+        )
+        return _long(key, sums, {f: F.col(f"_phi{j}") for j, f in enumerate(features)})
+    expanded = _ordered(permuted, d).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
     hybrid = F.transform(
         F.sequence(F.lit(0), F.lit(d - 1)),
         lambda j: F.when(
@@ -215,7 +268,6 @@ def shapley_values(
         ).otherwise(F.get("_b", j)),
     )
     scored = score(expanded.withColumn("_features", hybrid), "_features")
-    names = F.array(*[F.lit(f) for f in features])
     signed = F.array_compact(
         F.array(
             F.when(
@@ -235,6 +287,14 @@ def shapley_values(
     )
 
 
+def _pair_effects(per_row: DataFrame) -> DataFrame:
+    return per_row.groupBy("feature_a", "feature_b").agg(
+        F.avg(F.abs("value")).alias("mean_abs_interaction"),
+        F.avg("value").alias("mean_interaction"),
+        count_where(F.col("value") != 0).alias("rows_interacting"),
+    )
+
+
 def shapley_interactions(
     df: DataFrame,
     key: Sequence[str],
@@ -252,6 +312,44 @@ def shapley_interactions(
     """
     d = len(features)
     index = {f: i for i, f in enumerate(features)}
+    permuted = _permuted(df, key, features, background, seed, permutations)
+    if 0 < 4 * len(pairs) <= IN_PLACE and len(set(pairs)) == len(pairs) and len(index) == d:
+        places = permuted.select("*", *[_place(j, d).alias(f"_place{j}") for j in range(d)]).drop("_h")
+
+        def used(a, b, use_a, use_b):
+            before = [F.col(f"_place{j}") < F.col(f"_place{index[a]}") for j in range(d)]
+            # The first of the pair decides, as it does where both names are one feature.
+            return [
+                F.lit(use_a) if j == index[a] else F.lit(use_b) if j == index[b] else before[j]
+                for j in range(d)
+            ]
+
+        both = [(True, True), (True, False), (False, True), (False, False)]
+        hybrids = [used(a, b, *use) for a, b in pairs for use in both]
+        scored = _scored_in_place(places, hybrids, score)
+        v = [F.col(f"_v{i}") for i in range(len(hybrids))]
+        sums = scored.groupBy(*key).agg(
+            *[
+                (
+                    F.sum(_known_sum([v[4 * i], -v[4 * i + 1], -v[4 * i + 2], v[4 * i + 3]])) / permutations
+                ).alias(f"_pair{i}")
+                for i in range(len(pairs))
+            ]
+        )
+        per_row = sums.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                            F.col(f"_pair{i}").alias("value"),
+                        )
+                        for i, (a, b) in enumerate(pairs)
+                    ]
+                )
+            )
+        )
+        return _pair_effects(per_row)
     cases = F.array(
         *[
             F.struct(
@@ -264,9 +362,7 @@ def shapley_interactions(
             for use_b in (0, 1)
         ]
     )
-    expanded = _hybrids(df, key, features, background, seed, permutations).select(
-        "*", F.inline(cases)
-    )
+    expanded = _ordered(permuted, d).select("*", F.inline(cases))
     # The pair enters as one player at the place of its first feature; the others keep their order.
     from_row = F.transform(
         F.sequence(F.lit(0), F.lit(d - 1)),
@@ -283,8 +379,4 @@ def shapley_interactions(
     per_row = scored.groupBy(*key, "feature_a", "feature_b").agg(
         (F.sum(sign * F.col("_value")) / permutations).alias("value")
     )
-    return per_row.groupBy("feature_a", "feature_b").agg(
-        F.avg(F.abs("value")).alias("mean_abs_interaction"),
-        F.avg("value").alias("mean_interaction"),
-        count_where(F.col("value") != 0).alias("rows_interacting"),
-    )
+    return _pair_effects(per_row)
