@@ -104,6 +104,34 @@ def test_a_table_in_one_task_is_spread_for_a_forest(spark):
     assert forest.getCacheNodeIds()
 
 
+def test_linear_models_are_scored_by_columns_as_by_the_model(table):
+    df = table.withColumn("x1", F.when(F.col("id") % 50 != 0, F.col("x1")))
+    prepared, stages, inputs = modeling.mixed_features(table, "y", exclude=["id"])
+    learner = modeling.LogisticRegression(labelCol="y", regParam=0.01)
+    fitted = modeling.Pipeline(stages=[*stages, modeling.assembled(inputs), learner]).fit(prepared)
+    plain = modeling.baseline_classifier(FEATURES, "y", 600, None, 30).fit(table)
+    for model, rows in ((fitted, prepared), (fitted, prepared.withColumn("g", F.lit("new"))), (plain, table)):
+        assert modeling.linear_margin(model) is not None
+        own = modeling.predict(model, rows).select("id", "y_pred", "score")
+        theirs = modeling.positive_score(model.transform(rows)).select("id", "prediction", F.col("score").alias("s"))
+        bad = own.join(theirs, "id").filter("y_pred <> prediction OR abs(score - s) > 1e-9")
+        assert own.count() == 600 and bad.count() == 0
+    assert modeling.predict(plain, df).filter("id % 50 = 0 AND (y_pred <> 0 OR NOT isnan(score))").count() == 0
+
+
+def test_hybrids_side_by_side_equal_rows_of_their_own(table, model, monkeypatch):
+    few, score = table.filter("id < 30"), modeling.margin_scorer(model)
+    background = attribution.background_sample(table, ["id"], 7)
+    found = []
+    for limit in (attribution.IN_PLACE, 0):
+        monkeypatch.setattr(attribution, "IN_PLACE", limit)
+        phi = attribution.shapley_values(few, ["id"], FEATURES, background, score)
+        pairs = attribution.shapley_interactions(few, ["id"], FEATURES, [("x2", "x1")], background, score)
+        values = sorted((r.id, r.feature, round(r.phi, 9)) for r in phi.collect())
+        found.append((values, [round(pairs.first()[c], 9) for c in ("mean_abs_interaction", "mean_interaction")]))
+    assert found[0] == found[1] and len(found[0][0]) == 60
+
+
 def test_corruption_hits_the_wanted_share(table):
     dirty = modeling.corrupt(table, ["id"], ["x1"])
     assert dirty.filter("corrupted = 1").count() == 30

@@ -178,6 +178,22 @@ def test_pruning_scores_few_pairs_and_loses_none(spark):
     assert every.filter("similarity > 0").count() > found.count()
 
 
+def test_only_pairs_of_frequent_words_are_counted_and_none_is_lost(spark):
+    """The last place of the vocabulary is tied between words and pairs."""
+    texts = ["a1 b1 c1 d1"] * 4 + ["a1 b1 x1", "d1 c1 y1", "z1 a1", "b1 c1"]
+    df = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    total = Counter()
+    for t in texts:
+        words = t.split()
+        total.update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    for size in range(1, len(total) + 2):
+        expected = sorted(total.items(), key=lambda t: (-t[1], t[0]))[:size]
+        got = retrieval.frequent_terms(df, "text", size, []).collect() if size in (3, 5, 20) else None
+        assert got is None or sorted((r.term, r.corpus_frequency) for r in got) == sorted(expected)
+    index = retrieval.build_index(df, stop_words=[])
+    assert index.computed and not index.stored().computed  # no postings are stored unless asked for
+
+
 def test_index_survives_a_round_trip(spark, tmp_path):
     c = spark.createDataFrame([("a", "alpha beta gamma"), ("b", "beta delta")], "chunk_id string, text string")
     index = retrieval.build_index(c, stop_words=[])

@@ -175,9 +175,10 @@ def build_index(
     """Index chunks ``(chunk_id, text, …)``.
 
     The vocabulary, at most ``max_terms`` rows, is found first and broadcast; only its terms are then counted
-    by chunk, in as many tasks as the texts are long. Counts and postings are several times as large as the
-    texts and are computed from them when they are read.
+    by chunk, in as many tasks as the texts are long. The chunks are settled, so that they are cut once;
+    counts and postings are several times as large and are computed from them when they are read.
     """
+    chunks = settle(chunks)
     texts = chunks.select("chunk_id", "text").filter("text IS NOT NULL")
     total = texts.select("chunk_id").distinct().count()
     length = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
