@@ -94,6 +94,33 @@ def test_noise_and_importance(table, model):
     assert modeling.top_importances(found, 1).count() == 1
 
 
+def test_a_forest_is_asked_once_for_each_cell_of_its_thresholds(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 40), rng.gauss(0, 1)) for i in range(300)]
+    df = spark.createDataFrame([(*r, r[1] * r[2]) for r in rows], "id long, a int, b double, y double")
+    model = modeling.baseline_regressor(["a", "b"], "y", trees=5).fit(df)
+    cuts = modeling.forest_cuts(model)
+    edges = [x for at in cuts.values() for x in at]
+    odd = [(0, None, 0.5), (1, 7, math.nan), (2, 7, None), (3, -5, math.inf), (4, 99, -math.inf), (5, 0, -0.0)]
+    odd += [(10 + i, i % 40, x) for i, x in enumerate(edges)]
+    odd = [*odd, *odd]  # keys come twice
+    asked = df.select("id", "a", "b").unionByName(spark.createDataFrame(odd, "id long, a int, b double"))
+    own = model.transform(asked).select("id", "a", "b", "prediction")
+    found = modeling.with_prediction(model, asked)
+    assert found.columns == ["id", "a", "b", "prediction"]
+    assert found.exceptAll(own).count() == 0 and own.exceptAll(found).count() == 0
+    assert "UDF" not in found._jdf.queryExecution().executedPlan().toString()
+    assert modeling.predict(model, asked).columns == ["id", "a", "b", "y_pred", "score"]
+    assert modeling.forest_cuts(model, cells=10) is None
+    # The same number as asking for every noisy copy.
+    got = modeling.robustness_regression(model, df, ["id"], ["a", "b"], "y").first()
+    noisy = modeling._noisy_predictions(model, df, ["id"], ["a", "b"], (0.01,), 20, 42)
+    each = model.transform(noisy.drop("prediction", "base_prediction", "features")).groupBy("trial")
+    error = each.agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("e")).collect()
+    clean = model.transform(df).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
+    assert math.isclose(got.avg_rmse_drift, sum(abs(r.e - clean) for r in error) / 20, abs_tol=1e-9)
+
+
 def test_a_table_in_one_task_is_spread_for_a_forest(spark):
     df = spark.range(12_000).select("id", (F.col("id") % 7).alias("v")).coalesce(1)
     parts = modeling.spread(df, ["id"])
