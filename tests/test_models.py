@@ -94,6 +94,18 @@ def test_noise_and_importance(table, model):
     assert modeling.top_importances(found, 1).count() == 1
 
 
+def test_like_rows_are_shuffled_side_by_side_for_a_permutation(spark, table):
+    model = modeling.baseline_classifier(FEATURES, "y", 600, weight=None, iterations=5).fit(table)
+    found = modeling.permutation_importance(model, table, ["id"], FEATURES, "y", repeats=2, range_rows=100)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    window, copies, sort = plan.index("Window"), plan.rindex("Generate explode("), plan.index("Sort [y")
+    assert window < copies < sort  # from the top: sorted first, then copied for the repeats, then shuffled
+    other = modeling.permutation_importance(
+        model, table.repartition(7, "x2").orderBy("x1"), ["id"], FEATURES, "y", repeats=2, range_rows=1000
+    )
+    assert sorted(found.collect()) == sorted(other.collect())
+
+
 def test_a_forest_is_asked_once_for_each_cell_of_its_thresholds(spark):
     rng = random.Random(4)
     rows = [(i, rng.randint(0, 40), rng.gauss(0, 1)) for i in range(300)]
