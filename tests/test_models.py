@@ -171,6 +171,20 @@ def test_hybrids_side_by_side_equal_rows_of_their_own(table, model, monkeypatch)
     assert found[0] == found[1] and len(found[0][0]) == 60
 
 
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interactions_shuffle_rows_once_before_they_are_multiplied(table, model):
+    background, score = attribution.background_sample(table, ["id"], 3), modeling.margin_scorer(model)
+    pairs = attribution.shapley_interactions(table, ["id"], FEATURES, [("x1", "x2")], background, score)
+    plan = _executed(pairs)
+    # By the pair (few rows), and, below what multiplies the rows, by the key.
+    assert plan.count("Exchange hashpartitioning(") == 2 and plan.count("Generate explode(") == 1
+    assert plan.index("Generate explode(") < plan.index("Exchange hashpartitioning(id")
+    assert "UDF" not in plan
+
+
 def test_corruption_hits_the_wanted_share(table):
     dirty = modeling.corrupt(table, ["id"], ["x1"])
     assert dirty.filter("corrupted = 1").count() == 30
