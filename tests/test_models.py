@@ -185,6 +185,14 @@ def test_interactions_shuffle_rows_once_before_they_are_multiplied(table, model)
     assert "UDF" not in plan
 
 
+def test_shapley_values_shuffle_rows_once_before_they_are_multiplied(table, model):
+    background = attribution.background_sample(table, ["id"], 3)
+    plan = _executed(attribution.shapley_values(table, ["id"], FEATURES, background, modeling.margin_scorer(model)))
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("Generate explode(") == 1
+    assert plan.index("Generate explode(") < plan.index("Exchange hashpartitioning(id")
+    assert "UDF" not in plan
+
+
 def test_corruption_hits_the_wanted_share(table):
     dirty = modeling.corrupt(table, ["id"], ["x1"])
     assert dirty.filter("corrupted = 1").count() == 30
