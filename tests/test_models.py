@@ -193,6 +193,13 @@ def test_shapley_values_shuffle_rows_once_before_they_are_multiplied(table, mode
     assert "UDF" not in plan
 
 
+def test_noisy_copies_are_scored_where_they_are_made(table, model):
+    plan = _executed(modeling.robustness_classification(model, table, ["id"], FEATURES))
+    # One shuffle, of the counts by level; the copies and the vectors of a model's stages are none of it.
+    assert plan.count("Exchange ") == 1 and plan.index("Exchange hashpartitioning(sigma") < plan.index("Generate inline(")
+    assert plan.count("Generate ") == 1 and "UDF" not in plan
+
+
 def test_corruption_hits_the_wanted_share(table):
     dirty = modeling.corrupt(table, ["id"], ["x1"])
     assert dirty.filter("corrupted = 1").count() == 30
