@@ -4,6 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from vetframe.operators import attribution, evaluation, modeling, scoring, splits
@@ -292,3 +295,55 @@ def test_groups_are_not_imputed(table):
     found = scoring.validate_model(df, "y", ["id"], ["g"], folds=2, trials=1, repeats=1)
     gap = found.metrics.filter("metric = 'subgroup_accuracy_gap'").first().value
     assert gap < 0.06
+
+
+def _mixed(table):
+    """Rows with folds, gaps and text; the estimator of the complete validation."""
+    df = table.withColumn("x2", F.when(F.col("id") % 13 != 0, F.col("x2")))
+    df = df.withColumn("g", F.when(F.col("id") % 10 != 0, F.col("g"))).withColumn("one", F.lit(2.5))
+    prepared, stages, inputs = modeling.mixed_features(df, "y", exclude=["id"])
+    learner = LogisticRegression(labelCol="y", maxIter=200, tol=1e-4, regParam=1 / 600, standardization=False)
+    estimator = Pipeline(stages=[*stages, modeling.assembled(inputs), learner])
+    return prepared.withColumn("fold", (F.col("id") % 3).cast("int")), estimator
+
+
+def test_folds_are_fitted_without_a_vector_for_each_stage(table, monkeypatch):
+    folded, estimator = _mixed(table)
+    plain = [estimator.fit(folded.filter(F.col("fold") != i)) for i in range(3)]
+    seen, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df, *a: seen.append(df.columns) or fit(self, df, *a))
+    got = modeling.cross_val_predict(folded, estimator, 3)
+    assert seen == [["y", "features"]] * 3
+    for i, model in enumerate(plain):
+        right = model.transform(folded.filter(F.col("fold") == i)).select("id", "prediction", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+        both = right.join(got, "id")
+        assert both.count() == right.count() > 0
+        assert both.filter("prediction <> y_pred OR abs(p - score) > 1e-9").count() == 0
+
+
+def test_missing_numbers_are_refused_as_by_the_stages(table):
+    folded, estimator = _mixed(table)
+    broken = folded.withColumn("x1", F.when(F.col("id") != 5, F.col("x1")))
+    with pytest.raises(Exception, match="missing value in column x1"):
+        modeling.fit(estimator, broken)
+    # Stages that leave out rows are not passed over.
+    lenient = estimator.copy()
+    lenient.getStages()[0].setHandleInvalid("skip")
+    assert modeling.fit(lenient, broken).stages[-1].numFeatures > 3
+
+
+def test_permuted_features_of_a_linear_model_are_scored_in_their_row(table, model, monkeypatch):
+    found = modeling.permutation_importance(model, table, ["id"], FEATURES, "y", repeats=2, range_rows=50)
+    copies = [p for p in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in p]
+    assert len(copies) == 1, "rows are copied for the repeats only, not for the features"
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in found.collect()}
+    monkeypatch.setattr(modeling, "linear_margin", lambda *a: None)
+    general = modeling.permutation_importance(model, table, ["id"], FEATURES, "y", repeats=2, range_rows=50)
+    assert got == {r.feature: (r.importance_mean, r.importance_std) for r in general.collect()}
+
+
+def test_validation_stores_its_table_once(table, monkeypatch):
+    stored, persist = [], type(table).persist
+    monkeypatch.setattr(type(table), "persist", lambda self, *a: stored.append(self.columns) or persist(self, *a))
+    found = scoring.validate_model(table, "y", ["id"], ["g"], folds=2, trials=1, repeats=1)
+    assert found.results.count() == 9 and len(stored) == 1 and "fold" in stored[0]
